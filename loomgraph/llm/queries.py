@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, near_dedup, quality, sharding, toxicity, url_filter, warc
-from .common import read
+from . import bpe, decontaminate, fingerprint, line_dedup, near_dedup, quality, sharding, toxicity, url_filter, warc
+from .common import only, read
 
 
 def ranks_path(name: str = "byte_bpe_multi_50k.tiktoken") -> str:
@@ -16,6 +16,10 @@ def ranks_path(name: str = "byte_bpe_multi_50k.tiktoken") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), ranks_path())
 
@@ -58,7 +62,11 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), size=5, percent=75)
 
 
-_ALL = (op2_bpe, op3_warc, op4_url_rules, op5_quality, op6_shards, op7_toxicity, op8_fingerprint, op9_minhash)
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicated(only(read(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
+_ALL = (op1_decontamination, op2_bpe, op3_warc, op4_url_rules, op5_quality, op6_shards, op7_toxicity, op8_fingerprint, op9_minhash, op10_line_dedup)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 ORACLES: dict[str, str] = {
