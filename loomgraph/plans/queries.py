@@ -179,12 +179,12 @@ def vertex_degree(spark, sf_dir):
     return merge.degrees(e).withColumnRenamed("id", "seq").join(g.vertices(spark, sf_dir).select("seq", "id"), "seq").select("id", "degree")
 
 
-@query(f"""WITH {E}, a AS ({best_sql('ASIA', None, 2)}), b AS ({best_sql('CHINA', None, 2)}),
+@query(f"""WITH {E}, a AS ({best_sql('ASIA', None, 2)}), b AS ({best_sql('NATION_2', None, 2)}),
   p AS (SELECT a.id AS from_id, b.id AS to_id, least(a.id, b.id) AS lo, greatest(a.id, b.id) AS hi FROM a, b)
   SELECT e.source, e.target, e.type, e.weight, p.from_id, p.to_id FROM e JOIN p ON least(e.source, e.target) = p.lo AND greatest(e.source, e.target) = p.hi ORDER BY length(e.description) DESC, e.seq LIMIT 8""")
 def relations_between_pair(spark, sf_dir):
     v = g.vertices(spark, sf_dir)
-    return search.relations_between(v, g.edges(spark, sf_dir, None, v), "ASIA", "CHINA").select("source", "target", "type", "weight", "from_id", "to_id")
+    return search.relations_between(v, g.edges(spark, sf_dir, None, v), "ASIA", "NATION_2").select("source", "target", "type", "weight", "from_id", "to_id")
 
 
 _SPANS = "SELECT r_regionkey AS k, r_regionkey * 400 AS a, r_regionkey * 400 + 900 AS b FROM region UNION ALL SELECT 100 + n_nationkey, n_nationkey * 90, n_nationkey * 90 + 70 FROM nation"
@@ -231,9 +231,9 @@ def substring_link_join(spark, sf_dir):
     return resolve.containing(docs, "body", g.read(spark, sf_dir, "benchmark"), "text").select("doc_id", "item_id")
 
 
-@query("WITH u AS (SELECT p_brand, p_type, count(*) AS n, min(p_partkey) AS p_partkey FROM part GROUP BY p_brand, p_type HAVING count(*) = 1) SELECT p_brand, p_type, p_partkey FROM u")
+@query("WITH u AS (SELECT p_brand, p_type, p_size, count(*) AS n, min(p_partkey) AS p_partkey FROM part GROUP BY p_brand, p_type, p_size HAVING count(*) = 1) SELECT p_brand, p_type, p_size, p_partkey FROM u")
 def unique_candidate_lookup(spark, sf_dir):
-    return resolve.unique_only(g.read(spark, sf_dir, "part").select("p_brand", "p_type", "p_partkey"), ["p_brand", "p_type"])
+    return resolve.unique_only(g.read(spark, sf_dir, "part").select("p_brand", "p_type", "p_size", "p_partkey"), ["p_brand", "p_type", "p_size"])
 
 
 @query(r"""WITH p AS (SELECT DISTINCT string_split(regexp_extract(url, '://([^?#]*)', 1), '/') AS s FROM pages), x AS (SELECT DISTINCT array_to_string(list_slice(s, 1, i), '/') AS directory FROM (SELECT s, unnest(range(1, len(s))) AS i FROM p)) SELECT directory FROM x""")
@@ -353,10 +353,10 @@ def search_docs_count(spark, sf_dir):
     return search.search_documentation(_units(spark, sf_dir), "the").select("doc_id", "hits")
 
 
-@query(r"""WITH l AS (SELECT page_id, unnest(string_split(regexp_replace(html, '<(h[1-4]|title)>', chr(10) || '# ', 'g'), chr(10))) AS line FROM pages), s AS (SELECT page_id, trim(regexp_extract(line, '^#{1,4}\s+(.+)$', 1)) AS section FROM l)
+@query(r"""WITH l AS (SELECT page_id, unnest(string_split(regexp_replace(regexp_replace(html, '<(h[1-4]|title)>', chr(10) || '# ', 'g'), '</(h[1-4]|title)>', chr(10), 'g'), chr(10))) AS line FROM pages), s AS (SELECT page_id, trim(regexp_extract(line, '^#{1,4}\s+(.+)$', 1)) AS section FROM l)
   SELECT page_id, section, count(*) AS n FROM s WHERE section <> '' AND length(section) < 120 GROUP BY ALL""")
 def doc_sections(spark, sf_dir):
-    marked = F.regexp_replace("html", "<(h[1-4]|title)>", "\n# ")
+    marked = F.regexp_replace(F.regexp_replace("html", "<(h[1-4]|title)>", "\n# "), "</(h[1-4]|title)>", "\n")
     from .units import sections
 
     return g.read(spark, sf_dir, "pages").select("page_id", F.explode(sections(marked)).alias("section")).groupBy("page_id", "section").agg(F.count("*").alias("n"))
@@ -423,10 +423,10 @@ def evidence_summary(spark, sf_dir):
     return evidence.summary(_evidence(spark, sf_dir).withColumn("source", F.concat("source", F.lit("/"), "kind")))
 
 
-@query(f"""WITH {V}, t AS (SELECT *, CASE WHEN lower(qualified_name) = 'egypt' THEN 5 WHEN string_split(lower(qualified_name), '.')[-1] = 'egypt' THEN 4 WHEN contains(lower(qualified_name), 'egypt') THEN 2 ELSE 0 END AS score FROM v)
+@query(f"""WITH {V}, t AS (SELECT *, CASE WHEN lower(qualified_name) = 'nation_1' THEN 5 WHEN string_split(lower(qualified_name), '.')[-1] = 'nation_1' THEN 4 WHEN contains(lower(qualified_name), 'nation_1') THEN 2 ELSE 0 END AS score FROM v)
   SELECT id, qualified_name, score FROM t WHERE score > 0 ORDER BY score DESC, length(qualified_name) DESC, seq LIMIT 8""")
 def find_titles_topk(spark, sf_dir):
-    return search.find_titles(g.vertices(spark, sf_dir).withColumn("title", F.col("qualified_name")), "egypt").select("id", "qualified_name", "score")
+    return search.find_titles(g.vertices(spark, sf_dir).withColumn("title", F.col("qualified_name")), "nation_1").select("id", "qualified_name", "score")
 
 
 @query(f"WITH {E} SELECT source, target, type, weight FROM e WHERE starts_with(description, 'CALLS:') AND (contains(source, 'ab') OR contains(target, 'ab') OR contains(lower(description), 'ab')) ORDER BY weight DESC, seq LIMIT 8")
