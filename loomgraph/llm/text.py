@@ -24,7 +24,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=1)
+@lru_cache(maxsize=2)
 def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     n = 1 << bits
     out = []
@@ -107,9 +107,8 @@ def shingles(w: Words, size: int) -> list[np.ndarray]:
     return out
 
 
-def chunks(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
-    """The column's texts as UTF-8, null as empty, in blocks of about CHUNK bytes; with the index of each block's first."""
-    values = pc.fill_null(column.cast(pa.string()), "").cast(pa.binary()).to_pylist()
+def blocks(values: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    """Texts in blocks of about CHUNK bytes, with the index of each block's first."""
     i = 0
     while i < len(values):
         j, room = i, CHUNK
@@ -118,3 +117,8 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
             j += 1
         yield i, values[i:j]
         i = j
+
+
+def chunks(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """The column's texts as UTF-8, null as empty, in blocks."""
+    return blocks(pc.fill_null(column.cast(pa.string()), "").cast(pa.binary()).to_pylist())

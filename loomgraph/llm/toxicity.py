@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .labelled import remainder, sample
 from .quality import score
-from .text import LETTERS, words
+from .text import LETTERS, blocks, words
 
 #: Labelled texts of each class that a model is fitted on at most.
 MOST = 3000
@@ -48,13 +48,16 @@ IDENTITY = {
 
 
 def _sets(texts: list[bytes]) -> list[np.ndarray]:
-    w = words(texts, LETTERS)
-    return [np.unique(w.hashes[a:b]) for a, b in zip(w.starts[:-1], w.starts[1:])]
+    """The distinct word hashes of each text, worked out in blocks as a chunk of text takes many times its size."""
+    out: list[np.ndarray] = []
+    for _, block in blocks(texts):
+        w = words(block, LETTERS)
+        out += [np.unique(w.hashes[a:b]) for a, b in zip(w.starts[:-1], w.starts[1:])]
+    return out
 
 
 def _hashes(terms: list[str]) -> list[int]:
-    w = words([t.encode() for t in terms], LETTERS)
-    return [int(h) for h in w.hashes]
+    return [int(h) for h in words([t.encode() for t in terms], LETTERS).hashes]
 
 
 @dataclass
