@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.vectors import LOCAL_DIM, bucket, tokens
 
@@ -37,6 +38,7 @@ def nearest_vectors(queries: DataFrame, table: DataFrame, k: int, key: str = "id
     rows = [(r[0], r[1]) for r in queries.select(query, vector).where(F.col(vector).isNotNull()).orderBy(query).collect()]
     ids = {query: queries.schema[query].dataType, key: table.schema[key].dataType}
     schema = f"{query} {ids[query].simpleString()}, {key} {ids[key].simpleString()}, similarity double"
+    kinds = [to_arrow_type(ids[query]), to_arrow_type(ids[key])]
     out = None
     for i in range(0, max(1, len(rows)), QUERIES):
         block = rows[i : i + QUERIES]
@@ -55,7 +57,7 @@ def nearest_vectors(queries: DataFrame, table: DataFrame, k: int, key: str = "id
                 order = np.argsort(own, kind="stable")
                 top = np.argsort(-s[:, order], axis=1, kind="stable")[:, :k]
                 at = order[top]
-                yield pa.RecordBatch.from_pydict({query: pa.array(np.repeat(np.array(names), at.shape[1])), key: pa.array(own[at].ravel()), "similarity": pa.array(np.take_along_axis(s, at, 1).ravel())})
+                yield pa.RecordBatch.from_pydict({query: pa.array(np.repeat(np.array(names), at.shape[1]), kinds[0]), key: pa.array(own[at].ravel(), kinds[1]), "similarity": pa.array(np.take_along_axis(s, at, 1).ravel())})
 
         found = table.select(key, vector).mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
