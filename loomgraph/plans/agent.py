@@ -124,7 +124,7 @@ PLANS = {
 
 def analysis(ix: Index, question: str) -> dict:
     """The type of a question and its symbols, by patterns."""
-    row = ix.spark.createDataFrame([(question,)], "q string").select(route.question_type(F.col("q")).alias("type"), route.question_symbols(F.col("q")).alias("symbols"), route.hint(route.question_type(F.col("q"))).alias("hint")).first()
+    row = ix.spark.createDataFrame([(question,)], "q string").select(route.question_type(F.col("q")).alias("type"), route.question_symbols(F.col("q")).alias("symbols"), route.symbol(F.col("q")).alias("symbol"), route.path_symbols(F.col("q")).alias("path"), route.hint(route.question_type(F.col("q"))).alias("hint")).first()
     return row.asDict(True)
 
 
@@ -133,11 +133,12 @@ def planned(state: dict) -> list[tuple[str, list[str]]]:
     if state["round"]:
         return []
     about = state["analysis"]
-    symbols = about["symbols"] or [state["question"]]
+    ends = [about["path"]["source"], about["path"]["target"]]
+    ends = ends if all(ends) else (about["symbols"] or [about["symbol"]])[:2]
     calls = []
     for name in PLANS.get(about["type"], ["search_code_symbol", "local_graph_search"]):
         whole = name.endswith("graph_search") or name == "code_overview"
-        calls.append((name, [state["question"]] if whole else symbols[:2] if name == "call_path" else symbols[:1]))
+        calls.append((name, [state["question"]] if whole else ends if name == "call_path" else [about["symbol"]]))
     return calls
 
 
