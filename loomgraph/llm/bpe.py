@@ -15,8 +15,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,17 +25,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import ship
+from .common import lean, ship
 
 #: Characters of text that are split at once.
-CHUNK = 3_000_000
+CHUNK = 500_000
+#: Ids that are decoded at once.
+RUN = 200_000
 #: Pieces longer than this many bytes are merged with a heap.
 MAX_ROWS = 200
 #: Distinct pieces that a worker remembers before it starts anew.
-MEMORY = 700_000
+MEMORY = 150_000
 #: Pieces to encode in one recursive query.
-BLOCK = 60_000
+BLOCK = 8_000
 
+_CUT = re.compile(r"(?<=\S) (?=\S)")
 _OTHER, _LETTER, _NUMBER, _SPACE, _EDGE = 0, 1, 2, 3, 4
 
 ENCODE_SQL = """
@@ -125,6 +129,15 @@ def split(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray]:
     return data, offsets, owner
 
 
+def cuts(text: str) -> Iterator[str]:
+    """A text in parts of some CHUNK characters, cut where a single blank stands between others: a piece begins there."""
+    at = 0
+    while len(text) - at > CHUNK and (m := _CUT.search(text, at + CHUNK)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
+
+
 class Coder:
     """Encodes and decodes with one rank table; lives as long as its worker."""
 
@@ -143,8 +156,8 @@ class Coder:
                 if x is not None and y is not None:
                     left.append(x), right.append(y), new.append(i)
         pair = np.array(left, np.int64) * 65536 + np.array(right, np.int64)
-        self.merge = dict(zip(pair.tolist(), new))
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.pairs = (pair, new)
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
         self._make("merges", pa.table({"pair": pair, "n": np.array(new, np.int32)}))
         self._make("vocabulary", pa.table({"t": np.array(list(self.ranks.values()), np.int32), "b": [b.hex() for b in self.ranks]}))
         self.reset()
@@ -179,6 +192,10 @@ class Coder:
         self.db.unregister("pieces")
         return np.asarray(got["t"]), np.bincount(np.asarray(got["w"]), minlength=len(words))
 
+    @cached_property
+    def merge(self) -> dict[int, int]:
+        return dict(zip(self.pairs[0].tolist(), self.pairs[1]))
+
     def by_heap(self, word: bytes) -> list[int]:
         ids = self.single[np.frombuffer(word, np.uint8)].tolist()
         n = len(ids)
@@ -214,6 +231,13 @@ class Coder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each text has."""
+        if any(len(t) > CHUNK for t in texts):
+            parts = [(i, p) for i, t in enumerate(texts) for p in cuts(t)]
+            ids, sizes = self._blocks([p for _, p in parts])
+            return ids, np.bincount([i for i, _ in parts], sizes, len(texts)).astype(np.int64)
+        return self._blocks(texts)
+
+    def _blocks(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         out, sizes = [], []
         i = 0
         while i < len(texts):
@@ -249,19 +273,25 @@ class Coder:
 
     def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
         """The bytes of each of the id sequences that lie one after the other in ids."""
-        out = [b""] * len(sizes)
-        ends = np.cumsum(sizes)
+        # runs of at most RUN ids, a sequence's runs one after the other
+        many = np.maximum(1, -(-sizes // RUN))
+        owner = np.repeat(np.arange(len(sizes)), many)
+        last = np.cumsum(many) - 1
+        runs = np.full(len(owner), RUN, np.int64)
+        runs[last] = sizes - (many - 1) * RUN
+        parts: list[list[bytes]] = [[] for _ in range(len(sizes))]
+        ends = np.cumsum(runs)
         i = 0
-        while i < len(sizes):
-            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + CHUNK)))
-            a, b = int(ends[i] - sizes[i]), int(ends[j - 1])
-            d = np.repeat(np.arange(i, j, dtype=np.int32), sizes[i:j])
+        while i < len(runs):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + RUN)))
+            a, b = int(ends[i] - runs[i]), int(ends[j - 1])
+            d = np.repeat(np.arange(i, j, dtype=np.int32), runs[i:j])
             self.db.register("tokens", pa.table({"d": d, "p": np.arange(b - a, dtype=np.int64), "t": ids[a:b].astype(np.int32)}))
             for k, x in self.db.execute(DECODE_SQL).fetchall():
-                out[k] = x
+                parts[owner[k]].append(x)
             self.db.unregister("tokens")
             i = j
-        return out
+        return [p[0] if len(p) == 1 else b"".join(p) for p in parts]
 
 
 @lru_cache(maxsize=2)
@@ -296,7 +326,7 @@ def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
             ids, sizes = coder(path).encode(_texts(batch.column(batch.schema.names.index(text))))
             yield _with(batch, ids=pa.array(_pack(ids, sizes), pa.binary()), n_tokens=pa.array(sizes, pa.int64()))
 
-    return df.mapInArrow(run, _schema(df, ids=T.BinaryType(), n_tokens=T.LongType()))
+    return df.mapInArrow(lean(run), _schema(df, ids=T.BinaryType(), n_tokens=T.LongType()))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -310,7 +340,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
             out = coder(path).decode(np.frombuffer(b"".join(raw), "<u4"), sizes)
             yield _with(batch, decoded=pa.array(out, pa.binary()))
 
-    return df.mapInArrow(run, _schema(df, decoded=T.BinaryType()))
+    return df.mapInArrow(lean(run), _schema(df, decoded=T.BinaryType()))
 
 
 def round_trip(df: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -328,4 +358,4 @@ def round_trip(df: DataFrame, path: str, text: str = "text", key: str = "doc_id"
 
     kind = df.schema[key].dataType
     schema = T.StructType([T.StructField(key, kind), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-    return df.select(f"`{key}`", f"`{text}`").mapInArrow(run, schema)
+    return df.select(f"`{key}`", f"`{text}`").mapInArrow(lean(run), schema)

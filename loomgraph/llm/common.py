@@ -2,34 +2,66 @@
 
 from __future__ import annotations
 
-import os
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
-import zipfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Applications that already have the package.
-_SHIPPED: set[str] = set()
+from ..shipping import ship as _ship
+
+#: Rows of an Arrow batch where the session keeps Spark's default, which is made for narrow rows.
+BATCH = 1000
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in every Python worker, wherever the driver found it."""
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    name = os.path.basename(root)
-    path = os.path.join(tempfile.mkdtemp(prefix="ship-"), f"{name}-{uuid.uuid4().hex[:8]}.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for d, _, files in os.walk(root):
-            for f in files:
-                if f.endswith(".py"):
-                    full = os.path.join(d, f)
-                    z.write(full, os.path.join(name, os.path.relpath(full, root)))
-    sc.addPyFile(path)
-    _SHIPPED.add(sc.applicationId)
+    """Make this package importable in every Python worker, and batches of whole texts small."""
+    _ship(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH))
+
+
+#: The operator that this worker last worked for.
+_LAST: list[str] = [""]
+
+
+def _trim() -> None:
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def _take_over(owner: str) -> None:
+    """Let go of what other operators have left in this worker."""
+    if _LAST[0] != owner:
+        _LAST[0] = owner
+        package = __name__.rpartition(".")[0]
+        for name, module in list(sys.modules.items()):
+            if name.startswith(package) and name != owner and module is not None:
+                for held in list(vars(module).values()):
+                    if hasattr(held, "cache_clear") and getattr(held, "__module__", owner) != owner:
+                        held.cache_clear()
+        _trim()
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` for a worker that lives on after its partition and may then serve another operator: memory is given back."""
+    owner = run.__module__
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _take_over(owner)
+        yield from run(batches)
+        _trim()
+
+    return inner
 
 
 def scratch_root(spark: SparkSession) -> str:

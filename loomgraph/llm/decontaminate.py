@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship
+from .common import lean, ship
 
 #: Least length of a piece; the edit budget of an item of n characters is n // PIECE - 1.
 PIECE = 12
@@ -167,7 +167,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 columns = list(zip(*rows)) or [()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
-        found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, FOUND)
+        found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), FOUND)
         out = found if out is None else out.union(found)
     return out
 
@@ -184,5 +184,5 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for batch in batches:
                 yield batch.filter(pa.array([not matcher.matches(t.as_py()) for t in batch.column(at)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, T.StructType(docs.schema.fields))
+        docs = docs.mapInArrow(lean(run), T.StructType(docs.schema.fields))
     return docs

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import lean, ship
 from .labelled import remainder, sample
 from .text import NOT_SPACE, Words, chunks, mix, prefix_hashes, words
 
@@ -154,7 +154,7 @@ def score(docs: DataFrame, model, name: str = "score") -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(first, len(texts)), name: pa.array(sent.value.scores(texts), pa.float64())})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, {name} double")
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(lean(run), f"doc_id {kind}, {name} double")
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once (one longer text still goes whole).
-CHUNK = 2_000_000
+CHUNK = 700_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 

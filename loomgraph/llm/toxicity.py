@@ -179,7 +179,7 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject, each once for as often as it occurs."""
     from pyspark.sql import types as T
 
-    from .common import ship
+    from .common import lean, ship
 
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model(docs, labels))
@@ -194,4 +194,4 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
             for first, texts in chunks(batch.column(at)):
                 yield batch.slice(first, len(texts)).filter(pa.array(sent.value.scores(texts) < 0.5))
 
-    return docs.mapInArrow(run, T.StructType(docs.schema.fields))
+    return docs.mapInArrow(lean(run), T.StructType(docs.schema.fields))
