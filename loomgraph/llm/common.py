@@ -31,7 +31,7 @@ def ship(spark: SparkSession) -> None:
 _LAST: list[str] = [""]
 
 
-def _trim() -> None:
+def trim() -> None:
     gc.collect()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -49,7 +49,7 @@ def _take_over(owner: str) -> None:
                 for held in list(vars(module).values()):
                     if hasattr(held, "cache_clear") and getattr(held, "__module__", owner) != owner:
                         held.cache_clear()
-        _trim()
+        trim()
 
 
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
@@ -59,7 +59,7 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _take_over(owner)
         yield from run(batches)
-        _trim()
+        trim()
 
     return inner
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, ship
+from .common import lean, ship, trim
 from .labelled import remainder, sample
 from .text import NOT_SPACE, Words, chunks, mix, prefix_hashes, words
 
@@ -161,4 +161,7 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row; labels of held-out documents are not learned from."""
     out = F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False))
     rows, counts = sample(docs, labels, "quality", ~out, MOST)
-    return score(docs, train(rows, counts)).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    fitted = train(rows, counts)
+    del rows
+    trim()
+    return score(docs, fitted).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -22,6 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trim
 from .labelled import remainder, sample
 from .quality import score
 from .text import LETTERS, blocks, words
@@ -162,7 +163,9 @@ def _fit(entries, y: np.ndarray, share: np.ndarray, swap, fair: float, w: np.nda
 
 def model(docs: DataFrame, labels: DataFrame) -> Model:
     """A model fitted on the labels of rows that are not held out."""
-    return train(*sample(docs, labels, "toxic", ~held_out(), MOST))
+    fitted = train(*sample(docs, labels, "toxic", ~held_out(), MOST))
+    trim()
+    return fitted
 
 
 def held_out():
