@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, ship, written
+from .common import forget, lean, ship, written
 from .components import BROADCAST_LABELS, components
 from .text import NOT_SPACE, chunks, mix, shingles, words
 
@@ -130,7 +130,7 @@ def signatures(docs: DataFrame, size: int = 5) -> DataFrame:
                     "keys": pa.array([keys.get(i) for i in range(len(sets))], pa.list_(pa.int64())),
                 })
 
-    return docs.select("doc_id", "text").mapInArrow(run, SIGNED)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), SIGNED)
 
 
 def sketched(texts: DataFrame, size: int) -> DataFrame:
@@ -148,7 +148,7 @@ def sketched(texts: DataFrame, size: int) -> DataFrame:
                     odd = odd_sketch(minhash([sets[i] for i in full], SAMPLES, 1))
                     yield pa.RecordBatch.from_pydict({"node": kept.column(0), "text": kept.column(1), "sketch": pa.array(list(odd), pa.list_(pa.int64()))})
 
-    return texts.select("node", "text").mapInArrow(run, "node long, text string, sketch array<long>")
+    return texts.select("node", "text").mapInArrow(lean(run), "node long, text string, sketch array<long>")
 
 
 def _sets(column: pa.Array, size: int) -> list[np.ndarray]:
@@ -174,7 +174,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     few = F.broadcast(pairs) if pairs.count() <= BROADCAST_LABELS else pairs
     own, other = texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
     both = own.join(few, "a").join(other, "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "ta", "tb").mapInArrow(lean(run), "a long, b long")
 
 
 def _close(most: int):
@@ -265,7 +265,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
             if links[-1].limit(1).count():
                 labels = components(reduce(DataFrame.union, links))
     least = signed.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"))
-    named = least.join(labels, "node", "left").select("d1", "d2", F.coalesce("label", "node").alias("label"))
+    # a table, so that a hot set of copies meets it in a join that Spark can split
+    named = written(least.join(labels, "node", "left").select("d1", "d2", F.coalesce("label", "node").alias("label")), "named")
     out = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("d1")).alias("d1"), "d2").join(named, ["d1", "d2"], "left")
     forget(buckets, ids, texts, *tried, *links)
     return out.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
