@@ -23,13 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import forget, ship, written
+from .common import forget, lean, ship, written
 from .text import NOT_SPACE, chunks, mix, prefix_hashes
 
 #: Words that a line needs to pair documents.
 RARE = 6
 #: Words of a run of aligned lines that is deleted.
 BLOCK = 20
+#: Pairs of documents that are held as Python lists at once.
+PAIRS = 500
 #: Line numbers to delete that may be broadcast (4 bytes each); beyond that documents are shuffled.
 BROADCAST_LINES = 2_000_000
 
@@ -142,7 +144,7 @@ def sequences(docs: DataFrame) -> DataFrame:
                 })
 
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("version"))
-    return rows.mapInArrow(run, "doc_id long, version long, hashes array<long>, words array<int>")
+    return rows.mapInArrow(lean(run), "doc_id long, version long, hashes array<long>, words array<int>")
 
 
 def aligned(docs: DataFrame, rare: int = RARE, block: int = BLOCK) -> DataFrame:
@@ -158,16 +160,16 @@ def aligned(docs: DataFrame, rare: int = RARE, block: int = BLOCK) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, taken = [], []
-            columns = [c.to_pylist() for c in (batch.column(3), batch.column(4), batch.column(5))]
-            for n, (a, words, b) in enumerate(zip(*columns)):
-                got = [{"line": i, "words": words[i]} for i, _ in patience(a, b)]
-                if got:
-                    at.append(n), taken.append(got)
-            kept = batch.select([0, 1, 2]).take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(taken, pa.list_(pa.struct([("line", pa.int32()), ("words", pa.int32())])))], ["doc_id", "version", "first", "taken"])
-
-    found = both.mapInArrow(run, "doc_id long, version long, first long, taken array<struct<line: int, words: int>>")
+            for first in range(0, batch.num_rows, PAIRS):
+                some = batch.slice(first, PAIRS)
+                at, taken = [], []
+                for n, (a, words, b) in enumerate(zip(*(some.column(i).to_pylist() for i in (3, 4, 5)))):
+                    if got := [{"line": i, "words": words[i]} for i, _ in patience(a, b)]:
+                        at.append(n), taken.append(got)
+                kept = some.select([0, 1, 2]).take(pa.array(at, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(taken, pa.list_(pa.struct([("line", pa.int32()), ("words", pa.int32())])))], ["doc_id", "version", "first", "taken"])
+
+    found = both.mapInArrow(lean(run), "doc_id long, version long, first long, taken array<struct<line: int, words: int>>")
     by = found.groupBy("doc_id", "version").agg(F.flatten(F.collect_list("taken")).alias("taken"), F.array_sort(F.collect_set("first")).alias("partners"))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +180,7 @@ def aligned(docs: DataFrame, rare: int = RARE, block: int = BLOCK) -> DataFrame:
             out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, pa.list_(pa.int32())), pa.array(words, pa.int64()), batch.column(3)], ["doc_id", "version", "gone", "removed_words", "partners"])
             yield out.filter(pa.array([bool(g) for g in gone], pa.bool_()))
 
-    out = written(by.select("doc_id", "version", "taken", "partners").mapInArrow(choose, "doc_id long, version long, gone array<int>, removed_words long, partners array<long>"), "gone")
+    out = written(by.select("doc_id", "version", "taken", "partners").mapInArrow(lean(choose), "doc_id long, version long, gone array<int>, removed_words long, partners array<long>"), "gone")
     forget(known, shared)
     return out
 
@@ -219,4 +221,4 @@ def deduplicated(docs: DataFrame, rare: int = RARE, block: int = BLOCK) -> DataF
             columns = [texts if i == at else batch.column(i) for i in range(number)] + [batch.column(i) for i in range(number + 1, number + 4)]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
