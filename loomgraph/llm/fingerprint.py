@@ -28,6 +28,8 @@ WIDE = 8
 SIGNS = 128
 #: Runs of neighbouring documents, at least; the ids at their ends go through the driver.
 RUNS = 512
+#: Rows of a run, and runs made on their account at most: a row's run is found by some 2 * sqrt(runs) comparisons.
+RUN_ROWS, MOST_RUNS = 20_000, 65_536
 #: Words of a piece.
 PIECE = r"[^\S\n]*(?:\S+[^\S\n]*){1,8}"
 _LOW = 0xFFFFFFFF
@@ -96,11 +98,11 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
     The next document is that of the next smaller doc_id; after the smallest comes the largest. Documents are dealt once,
     into runs of neighbouring ids; the document at the upper end of a run also goes to the run above as its last one's
-    next. There are more runs where there are more partitions.
+    next. There are more runs where there are more rows or partitions.
     """
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    runs = max(RUNS, 4 * parts(docs.sparkSession))
-    ends = rows.agg(F.percentile_approx("doc_id", [i / runs for i in range(1, runs)], 20 * runs), F.max("doc_id")).first()
+    runs = max(RUNS, 4 * parts(docs.sparkSession), min(MOST_RUNS, docs.count() // RUN_ROWS))
+    ends = rows.agg(F.percentile_approx("doc_id", [i / runs for i in range(1, runs)], min(20 * runs, 1_000_000)), F.max("doc_id")).first()
     bounds = sorted({*(ends[0] or []), *([ends[1]] if ends[1] is not None else [])})
     run, top = _run(F.col("doc_id"), bounds), len(bounds) - 1
     own, guest = F.struct(run.alias("run"), F.lit(False).alias("guest")), F.struct(F.when(run == top, 0).otherwise(run + 1).alias("run"), F.lit(True).alias("guest"))
