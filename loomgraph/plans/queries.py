@@ -586,3 +586,42 @@ def windowed_event_counts(spark, sf_dir):
     from ..streaming.merge import windowed_counts
 
     return windowed_counts(g.read(spark, sf_dir, "events"))
+
+
+@query("""SELECT c_nationkey, c_mktsegment, max(c_custkey) AS seq, arg_max(c_name, c_custkey) AS name FROM customer GROUP BY ALL""")
+def last_definition_lookup(spark, sf_dir):
+    c = F.col
+    defs = g.read(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment", c("c_name").alias("name"), c("c_custkey").alias("seq"))
+    return resolve.last_definition(defs, ["c_nationkey", "c_mktsegment"])
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 4 > 0 AND p_size % 4 + p_partkey % 3 - 1 > p_size % 4 THEN p_brand || ':' || (p_size % 4) || '-' || (p_size % 4 + p_partkey % 3 - 1)
+  WHEN p_size % 4 > 0 THEN p_brand || ':' || (p_size % 4) ELSE p_brand END AS location FROM part""")
+def entity_locations(spark, sf_dir):
+    start = (F.col("p_size") % 4).cast("long")
+    return g.read(spark, sf_dir, "part").select("p_partkey", identity.location(F.col("p_brand"), start, start + F.col("p_partkey") % 3 - 1).alias("location"))
+
+
+_SNIPPET_SQL = "s AS (SELECT l_orderkey AS title, list(DISTINCT l_partkey ORDER BY l_partkey) AS ids FROM lineitem GROUP BY l_orderkey)"
+
+
+@query(f"""WITH {_SNIPPET_SQL}, x AS (SELECT title, unnest(ids[1:3]) AS id, unnest(range(len(ids[1:3]))) AS place FROM s)
+  SELECT x.title, x.place::INT AS place, x.id::VARCHAR AS unit_id, p.p_brand AS file FROM x JOIN part p ON p.p_partkey = x.id""")
+def source_snippets(spark, sf_dir):
+    line = g.read(spark, sf_dir, "lineitem")
+    entities = line.groupBy(F.col("l_orderkey").alias("title")).agg(F.transform(F.array_sort(F.collect_set("l_partkey")), lambda x: x.cast("string")).alias("text_unit_ids"))
+    units = g.read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), F.concat(F.lit("[file: "), "p_brand", F.lit("] [type: file]\n")).alias("text"))
+    return search.snippets(entities, units).select("title", "place", "unit_id", "file")
+
+
+@query("""SELECT l_partkey::VARCHAR AS id, string_agg(l_orderkey::VARCHAR, ',' ORDER BY l_orderkey) AS entity_ids, count(*) AS n FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem) GROUP BY l_partkey""")
+def text_unit_backrefs(spark, sf_dir):
+    from .index import back_references
+
+    c = F.col
+    line = g.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    entities = line.groupBy(c("l_orderkey").alias("seq")).agg(F.collect_list(c("l_partkey").cast("string")).alias("text_unit_ids")).withColumn("id", c("seq").cast("string"))
+    units = line.select(c("l_partkey").alias("seq")).distinct().withColumn("id", c("seq").cast("string")).withColumn("document_id", F.lit("d"))
+    docs = spark.createDataFrame([("d",)], "id string")
+    out = back_references(docs, units, entities, entities.limit(0))["text_units"]
+    return out.select("id", F.array_join("entity_ids", ",").alias("entity_ids"), F.size("entity_ids").cast("long").alias("n"))

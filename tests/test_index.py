@@ -172,3 +172,12 @@ def test_enrichment(made):
     got = enriched(e, lambda texts: ["concept"] * len(texts), most=2)
     assert got.where("description like '% concept'").count() == 2
     assert enriched(e, lambda texts: 1 / 0).count() == e.count()
+
+
+def test_back_references(spark, built):
+    units = {r["id"]: r for r in spark.read.parquet(f"{built}/text_units.parquet").collect()}
+    docs = spark.read.parquet(f"{built}/documents.parquet").collect()
+    assert sorted(u for d in docs for u in d["text_unit_ids"]) == sorted(units)
+    for e in spark.read.parquet(f"{built}/entities.parquet").collect():
+        assert all(e["id"] in units[u]["entity_ids"] for u in e["text_unit_ids"])
+    assert all(u["relationship_ids"] is not None for u in units.values())
