@@ -43,7 +43,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each document, doc_id, the number of tokens, and digests of ids and decoded bytes."""
-    return bpe.round_trip(docs, ranks_path())
+    return bpe.round_trip(docs, ranks_path(), limits=bpe.SMALL)
 
 
 STAGES = [

@@ -18,6 +18,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,16 +28,25 @@ from pyspark.sql import types as T
 
 from .common import lean, ship
 
-#: Characters of text that are split at once.
-CHUNK = 500_000
 #: Ids that are decoded at once.
 RUN = 200_000
 #: Pieces longer than this many bytes are merged with a heap.
 MAX_ROWS = 200
-#: Distinct pieces that a worker remembers before it starts anew.
-MEMORY = 150_000
-#: Pieces to encode in one recursive query.
-BLOCK = 8_000
+
+
+class Limits(NamedTuple):
+    """What a worker holds at once; the less, the more often pieces are encoded anew."""
+
+    #: Characters of text that are split at once.
+    chunk: int = 1_500_000
+    #: Distinct pieces that a worker remembers before it starts anew.
+    memory: int = 500_000
+    #: Pieces to encode in one recursive query.
+    block: int = 30_000
+
+
+#: For workers that serve other operators as well.
+SMALL = Limits(500_000, 150_000, 8_000)
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _OTHER, _LETTER, _NUMBER, _SPACE, _EDGE = 0, 1, 2, 3, 4
@@ -129,10 +139,10 @@ def split(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray]:
     return data, offsets, owner
 
 
-def cuts(text: str) -> Iterator[str]:
-    """A text in parts of some CHUNK characters, cut where a single blank stands between others: a piece begins there."""
+def cuts(text: str, chunk: int) -> Iterator[str]:
+    """A text in parts of some ``chunk`` characters, cut where a single blank stands between others: a piece begins there."""
     at = 0
-    while len(text) - at > CHUNK and (m := _CUT.search(text, at + CHUNK)):
+    while len(text) - at > chunk and (m := _CUT.search(text, at + chunk)):
         yield text[at : m.start()]
         at = m.start()
     yield text[at:]
@@ -141,9 +151,11 @@ def cuts(text: str) -> Iterator[str]:
 class Coder:
     """Encodes and decodes with one rank table; lives as long as its worker."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limits: Limits = Limits()):
         import duckdb
 
+        self.limits = limits
+
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         if len(self.ranks) and max(self.ranks.values()) >= 65536:
@@ -221,8 +233,8 @@ class Coder:
         if whole:
             self._keep(whole, np.fromiter(map(self.ranks.__getitem__, whole), np.int64, len(whole)), np.ones(len(whole), np.int64))
         rest = [w for w in new if w not in self.ranks and len(w) <= MAX_ROWS]
-        for i in range(0, len(rest), BLOCK):
-            block = rest[i : i + BLOCK]
+        for i in range(0, len(rest), self.limits.block):
+            block = rest[i : i + self.limits.block]
             self._keep(block, *self.by_rows(block))
         for w in new:
             if len(w) > MAX_ROWS and w not in self.ranks:
@@ -231,8 +243,8 @@ class Coder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each text has."""
-        if any(len(t) > CHUNK for t in texts):
-            parts = [(i, p) for i, t in enumerate(texts) for p in cuts(t)]
+        if any(len(t) > self.limits.chunk for t in texts):
+            parts = [(i, p) for i, t in enumerate(texts) for p in cuts(t, self.limits.chunk)]
             ids, sizes = self._blocks([p for _, p in parts])
             return ids, np.bincount([i for i, _ in parts], sizes, len(texts)).astype(np.int64)
         return self._blocks(texts)
@@ -241,7 +253,7 @@ class Coder:
         out, sizes = [], []
         i = 0
         while i < len(texts):
-            j, room = i, CHUNK
+            j, room = i, self.limits.chunk
             while j < len(texts) and (j == i or len(texts[j]) <= room):
                 room -= len(texts[j])
                 j += 1
@@ -254,7 +266,7 @@ class Coder:
         data, offsets, owner = split(texts)
         pieces = pa.Array.from_buffers(pa.binary(), len(owner), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
         words = pieces.dictionary.to_pylist()
-        if len(self.known) > MEMORY:
+        if len(self.known) > self.limits.memory:
             self.reset()
         self.learn(words)
         if len(self.parts) > 1:
@@ -295,8 +307,8 @@ class Coder:
 
 
 @lru_cache(maxsize=2)
-def coder(path: str) -> Coder:
-    return Coder(path)
+def coder(path: str, limits: Limits = Limits()) -> Coder:
+    return Coder(path, limits)
 
 
 def _texts(column: pa.Array) -> list[str]:
@@ -343,17 +355,17 @@ def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     return df.mapInArrow(lean(run), _schema(df, decoded=T.BinaryType()))
 
 
-def round_trip(df: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+def round_trip(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", limits: Limits = Limits()) -> DataFrame:
     """``key, n_tokens, ids_sha256, decoded_sha256``: :func:`encode` and :func:`decode` in one pass that keeps digests only."""
     ship(df.sparkSession)
     hexed = lambda values: pa.array([hashlib.sha256(x).hexdigest() for x in values], pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sizes = coder(path).encode(_texts(batch.column(1)))
+            ids, sizes = coder(path, limits).encode(_texts(batch.column(1)))
             yield pa.RecordBatch.from_pydict({
                 key: batch.column(0), "n_tokens": pa.array(sizes, pa.int64()),
-                "ids_sha256": hexed(_pack(ids, sizes)), "decoded_sha256": hexed(coder(path).decode(ids, sizes)),
+                "ids_sha256": hexed(_pack(ids, sizes)), "decoded_sha256": hexed(coder(path, limits).decode(ids, sizes)),
             })
 
     kind = df.schema[key].dataType

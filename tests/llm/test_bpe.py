@@ -32,14 +32,13 @@ def test_random_texts_encode_as_the_library_does(encoding):
 
 
 def test_long_texts_in_parts(encoding, monkeypatch):
-    monkeypatch.setattr(bpe, "CHUNK", 50)
     monkeypatch.setattr(bpe, "RUN", 7)
-    coder = bpe.Coder(ranks_path())
+    coder = bpe.Coder(ranks_path(), bpe.Limits(50, 20, 3))
     texts = ["it 's  a long\n text, isn't it? " * 20, "x" * 300, "", " 'll" * 99, "a  b" * 70]
     ids, sizes = coder.encode(texts)
     ends = np.cumsum(sizes)
     for t, e, s in zip(texts, ends, sizes):
-        assert "".join(bpe.cuts(t)) == t and ids[e - s : e].tolist() == encoding.encode_ordinary(t)
+        assert "".join(bpe.cuts(t, 50)) == t and ids[e - s : e].tolist() == encoding.encode_ordinary(t)
     assert [x.decode() for x in coder.decode(ids, sizes)] == texts
 
 
