@@ -2,7 +2,8 @@
 
 A line is what lies between line ends, cut further at the ends of sentences. Each document becomes the sequence of its
 lines' hashes. A line of at least ``RARE`` words that several documents hold pairs each later document with the first
-that holds it; short lines, which many documents share by chance, pair none. So a line in n documents makes n - 1 pairs
+that holds it; a shorter line, which many documents share by chance, pairs none by itself, but each shortest run of lines
+with ``BLOCK`` words does, so that any shared run of so many words pairs. What is in n documents makes n - 1 pairs
 whatever n is. Every pair is aligned by patience diff: lines that are unique in both and in the longest common order
 are anchors, equal neighbours of anchors join them, and the gaps between are aligned likewise. Of a document's lines
 aligned with any earlier document, each run of at least ``BLOCK`` words is deleted.
@@ -24,9 +25,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import forget, lean, ship, written
-from .text import NOT_SPACE, chunks, mix, prefix_hashes
+from .text import NOT_SPACE, _powers, chunks, mix, prefix_hashes
 
-#: Words that a line needs to pair documents.
+#: Words that a line needs to pair documents by itself.
 RARE = 6
 #: Words of a run of aligned lines that is deleted.
 BLOCK = 20
@@ -63,6 +64,32 @@ def lines(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return begin - shift, end - shift, hashes, words, starts
 
 
+def windows(hashes: np.ndarray, words: np.ndarray, starts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all texts: the shortest runs of lines with least words or more, from each line on and up to each line.
+
+    Gives first line, end, hash, and the hash of the core: the run within that can lose a line at neither side, which is
+    the run itself for many. Hashes depend on the lines alone; that of a single line is its own.
+    """
+    n = len(hashes)
+    total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    ends = np.searchsorted(total, total[:-1] + least)
+    begins = np.searchsorted(total, total[1:] - least, "right") - 1
+    sizes = np.diff(starts)
+    on = np.flatnonzero(ends <= np.repeat(starts[1:], sizes))
+    up = np.flatnonzero(begins >= np.repeat(starts[:-1], sizes))
+    up = up[ends[begins[up]] != up + 1]
+    begin, end = np.concatenate([on, begins[up]]), np.concatenate([ends[on], up + 1])
+    core = np.concatenate([begins[ends[on] - 1], begins[up]]), np.concatenate([ends[on], ends[begins[up]]])
+    power, inverse = _powers(max(16, n.bit_length()))
+    own = hashes.view(np.uint64)
+    h = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own * power[:n])])
+
+    def joined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.where(y - x == 1, own[x], mix((h[y] - h[x]) * inverse[x] + (y - x).astype(np.uint64))).view(np.int64)
+
+    return begin, end, joined(begin, end), joined(*core)
+
+
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Pairs of equal elements of two sequences, in order in both."""
     out: list[tuple[int, int]] = []
@@ -128,8 +155,8 @@ def runs(taken: dict[int, int], least: int) -> list[int]:
     return out
 
 
-def sequences(docs: DataFrame) -> DataFrame:
-    """``doc_id, version, hashes, words``: the lines of every row with a doc_id; version tells texts of one doc_id apart."""
+def sequences(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``doc_id, version, hashes, words, cores``: the lines of every row with a doc_id, and the hashes of its cores of several lines; version tells texts of one doc_id apart."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,20 +164,24 @@ def sequences(docs: DataFrame) -> DataFrame:
             for first, texts in chunks(batch.column(1)):
                 _, _, hashes, words, starts = lines(texts)
                 offsets = pa.array(starts, pa.int32())
+                begin, end, runs, cores = windows(hashes, words, starts, block)
+                some = np.flatnonzero((runs == cores) & (end - begin > 1))
                 kept = batch.slice(first, len(texts))
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": kept.column(0), "version": kept.column(2),
                     "hashes": pa.ListArray.from_arrays(offsets, pa.array(hashes, pa.int64())), "words": pa.ListArray.from_arrays(offsets, pa.array(words, pa.int32())),
+                    "cores": pa.ListArray.from_arrays(pa.array(np.searchsorted(begin[some], starts), pa.int32()), pa.array(runs[some], pa.int64())),
                 })
 
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("version"))
-    return rows.mapInArrow(lean(run), "doc_id long, version long, hashes array<long>, words array<int>")
+    return rows.mapInArrow(lean(run), "doc_id long, version long, hashes array<long>, words array<int>, cores array<long>")
 
 
 def aligned(docs: DataFrame, rare: int = RARE, block: int = BLOCK) -> DataFrame:
     """``doc_id, version, gone, removed_words, partners``: the line numbers to delete of each document that loses any."""
-    known = written(sequences(docs), "lines")
-    held = known.select("doc_id", F.explode(F.array_distinct(F.filter(F.arrays_zip("hashes", "words"), lambda x: x["words"] >= rare))).alias("l")).select("doc_id", F.col("l.hashes").alias("hash"))
+    known = written(sequences(docs, block), "lines")
+    single = F.filter("hashes", lambda x, i: F.get("words", i) >= min(rare, block))
+    held = known.select("doc_id", F.explode(F.array_distinct(F.concat(single, "cores"))).alias("hash"))
     shared = held.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("hash", "first")
     shared = written(shared, "shared")
     pairs = held.join(shared, "hash").where("doc_id > first").select("first", "doc_id").distinct()

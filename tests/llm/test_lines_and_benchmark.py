@@ -113,3 +113,14 @@ def test_patience_is_a_common_subsequence():
         assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
     same = list(range(30))
     assert line_dedup.patience(same, same) == [(i, i) for i in same]
+
+
+def test_copies_of_short_lines_alone_go(spark):
+    rng = random.Random(5)
+    verse = [" ".join(f"{rng.choice('abcdefgh')}{rng.randrange(40)}" for _ in range(rng.randint(1, 5))) for _ in range(60)]
+    letters = " ".join(f"{rng.choice('ERWHDA')}{rng.choice('ERWHDA')}.!!" for _ in range(155))
+    texts = ["\n".join(verse), letters, "\n".join(verse), letters, "My own words come first here.\n" + "\n".join(verse[20:40]) + "\nand last", "\n".join(verse[:3])]
+    rows = {r["doc_id"]: r for r in line_dedup.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [rows[i]["text"] for i in (0, 1, 5)] == [texts[i] for i in (0, 1, 5)]
+    assert rows[2]["text"] == rows[3]["text"] == "" and rows[2]["partners"] == [0] and rows[3]["partners"] == [1]
+    assert rows[4]["text"] == "My own words come first here.\nand last" and rows[4]["removed_lines"] == 20
