@@ -5,8 +5,11 @@ lines' hashes. A line of at least ``RARE`` words that several documents hold pai
 that holds it; a shorter line, which many documents share by chance, pairs none by itself, but each shortest run of lines
 with ``BLOCK`` words does, so that any shared run of so many words pairs. What is in n documents makes n - 1 pairs
 whatever n is. Every pair is aligned by patience diff: lines that are unique in both and in the longest common order
-are anchors, equal neighbours of anchors join them, and the gaps between are aligned likewise. Of a document's lines
-aligned with any earlier document, each run of at least ``BLOCK`` words is deleted.
+are anchors, equal neighbours of anchors join them, and the gaps between are aligned likewise. What patience diff leaves
+out, as it is repeated or in another order, is found by the shortest runs with ``BLOCK`` words that both texts have; those
+of which the earlier text has the core alone are looked up among the runs left so by other pairs. Of a document's lines
+aligned with any earlier document, each run of at least ``BLOCK`` words is deleted: every run of so many words that an
+earlier document has goes.
 
 Defined cases: a null text has no lines and stays null; the earlier of two documents is that with the smaller doc_id;
 rows of one doc_id are not compared with one another, and rows without one with none; a text may lose all its lines and
@@ -33,7 +36,7 @@ RARE = 6
 BLOCK = 20
 #: Pairs of documents that are held as Python lists at once.
 PAIRS = 500
-#: Line numbers to delete that may be broadcast (4 bytes each); beyond that documents are shuffled.
+#: Numbers of 4 bytes, of lines to delete and partners, that may be broadcast; beyond that documents are shuffled.
 BROADCAST_LINES = 2_000_000
 
 
@@ -186,21 +189,48 @@ def aligned(docs: DataFrame, rare: int = RARE, block: int = BLOCK) -> DataFrame:
     shared = written(shared, "shared")
     pairs = held.join(shared, "hash").where("doc_id > first").select("first", "doc_id").distinct()
     later = known.select("doc_id", "version", F.col("hashes").alias("a"), "words")
-    earlier = known.select(F.col("doc_id").alias("first"), F.col("hashes").alias("b"))
-    both = written(pairs, "pairs").join(later, "doc_id").join(earlier, "first").select("doc_id", "version", "first", "a", "words", "b")
+    earlier = known.select(F.col("doc_id").alias("first"), F.col("hashes").alias("b"), F.col("words").alias("b_words"))
+    both = written(pairs, "pairs").join(later, "doc_id").join(earlier, "first").select("doc_id", "version", "first", "a", "words", "b", "b_words")
+    line = pa.struct([("line", pa.int32()), ("words", pa.int32())])
+    loose = pa.struct([("hash", pa.int64()), ("taken", pa.list_(line))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, PAIRS):
                 some = batch.slice(first, PAIRS)
-                at, taken = [], []
-                for n, (a, words, b) in enumerate(zip(*(some.column(i).to_pylist() for i in (3, 4, 5)))):
-                    if got := [{"line": i, "words": words[i]} for i, _ in patience(a, b)]:
-                        at.append(n), taken.append(got)
-                kept = some.select([0, 1, 2]).take(pa.array(at, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(taken, pa.list_(pa.struct([("line", pa.int32()), ("words", pa.int32())])))], ["doc_id", "version", "first", "taken"])
-
-    found = both.mapInArrow(lean(run), "doc_id long, version long, first long, taken array<struct<line: int, words: int>>")
+                (a, words, starts), (b, b_words, b_starts) = (_flat(some.column(i), some.column(i + 1)) for i in (3, 5))
+                begin, end, runs, cores = windows(a, words, starts, block)
+                b_begin, _, b_runs, _ = windows(b, b_words, b_starts, block)
+                there = _salted(b_runs, b_begin, b_starts)
+                whole = np.isin(_salted(runs, begin, starts), there)
+                part = np.flatnonzero(np.isin(_salted(cores, begin, starts), there) & ~whole)
+                change = np.bincount(begin[whole], minlength=len(a) + 1) - np.bincount(end[whole], minlength=len(a) + 1)
+                taken = np.cumsum(change)[:-1] > 0
+                for n, (x, y) in enumerate(zip(some.column(3).to_pylist(), some.column(5).to_pylist())):
+                    if got := patience(x, y):
+                        taken[starts[n] + np.array([i for i, _ in got])] = True
+                part = part[np.argsort(begin[part], kind="stable")]
+                sizes = end[part] - begin[part]
+                edges = np.concatenate([[0], np.cumsum(sizes)])
+                inner = np.arange(edges[-1]) + np.repeat(begin[part] - edges[:-1], sizes)
+
+                def listed(at: np.ndarray, offsets: np.ndarray, words=words, starts=starts) -> pa.Array:
+                    place = at - starts[np.searchsorted(starts, at, "right") - 1]
+                    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(place, pa.int32()), pa.array(words[at], pa.int32())], fields=list(line)))
+
+                at = np.flatnonzero(taken)
+                left = pa.StructArray.from_arrays([pa.array(runs[part], pa.int64()), listed(inner, edges)], fields=list(loose))
+                left = pa.ListArray.from_arrays(pa.array(np.searchsorted(begin[part], starts), pa.int32()), left)
+                out = pa.RecordBatch.from_arrays([*some.columns[:3], listed(at, np.searchsorted(at, starts)), left], ["doc_id", "version", "first", "taken", "loose"])
+                yield out.filter(pa.array(np.diff(np.searchsorted(at, starts)) > 0))
+
+    lines_of = "array<struct<line: int, words: int>>"
+    each = written(both.mapInArrow(lean(run), f"doc_id long, version long, first long, taken {lines_of}, loose array<struct<hash: bigint, taken: {lines_of}>>"), "found")
+    # a run that is not whole in the first holder of its core may be so in another document, which has met that holder too
+    left = each.select("doc_id", "version", F.explode("loose").alias("l")).select("doc_id", "version", "l.hash", "l.taken")
+    least = left.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("hash", "first")
+    more = left.join(least, "hash").where("doc_id > first").select("doc_id", "version", "first", "taken")
+    found = each.drop("loose").unionByName(more)
     by = found.groupBy("doc_id", "version").agg(F.flatten(F.collect_list("taken")).alias("taken"), F.array_sort(F.collect_set("first")).alias("partners"))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,10 +242,22 @@ def aligned(docs: DataFrame, rare: int = RARE, block: int = BLOCK) -> DataFrame:
             yield out.filter(pa.array([bool(g) for g in gone], pa.bool_()))
 
     out = written(by.select("doc_id", "version", "taken", "partners").mapInArrow(lean(choose), "doc_id long, version long, gone array<int>, removed_words long, partners array<long>"), "gone")
-    forget(known, shared)
+    forget(known, shared, each)
     return out
 
 
+def _flat(hashes: pa.ListArray, words: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The lines of several texts in a row, and where each text's begin."""
+    starts = np.concatenate([[0], np.cumsum(hashes.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+    return hashes.flatten().to_numpy(zero_copy_only=False), words.flatten().to_numpy(zero_copy_only=False), starts
+
+
+def _salted(runs: np.ndarray, begin: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Hashes of runs, told apart by the text that each begins in."""
+    text = np.searchsorted(starts, begin, "right").astype(np.uint64)
+    return mix(runs.view(np.uint64) + mix(text))
+
+
 def without(text: bytes, gone: list[int]) -> bytes:
     """A text without the lines of these numbers; what divides a line from the next goes with it."""
     begin = lines([text])[0].tolist()
@@ -228,8 +270,11 @@ def without(text: bytes, gone: list[int]) -> bytes:
 def deduplicated(docs: DataFrame, rare: int = RARE, block: int = BLOCK) -> DataFrame:
     """``docs`` with its texts' repeated blocks deleted, and columns ``removed_lines``, ``removed_words`` and ``partners``."""
     gone = aligned(docs, rare, block)
-    few = (gone.agg(F.sum(F.size("gone") + F.size("partners") + 4)).first()[0] or 0) <= BROADCAST_LINES
-    gone = gone.select(F.col("doc_id").alias("_doc"), F.col("version").alias("_version"), F.col("gone").alias("_gone"), F.col("removed_words").alias("_words"), F.col("partners").alias("_partners"))
+    # neighbouring lines travel as one range, by its first and last
+    first = F.filter("gone", lambda x, i: (i == 0) | (F.get("gone", i - 1) != x - 1))
+    last = F.filter("gone", lambda x, i: (i == F.size("gone") - 1) | (F.get("gone", i + 1) != x + 1))
+    gone = gone.select(F.col("doc_id").alias("_doc"), F.col("version").alias("_version"), F.arrays_zip(first.alias("first"), last.alias("last")).alias("_gone"), F.size("gone").cast("long").alias("_lines"), F.col("removed_words").alias("_words"), F.col("partners").alias("_partners"))
+    few = (gone.agg(F.sum(2 * F.size("_gone") + 2 * F.size("_partners") + 8)).first()[0] or 0) <= BROADCAST_LINES
     keyed = docs.withColumn("_key", F.xxhash64(F.col("text").cast("string")))
     joined = keyed.join(F.broadcast(gone) if few else gone, (keyed["doc_id"] == gone["_doc"]) & (keyed["_key"] == gone["_version"]), "left")
     names = [c for c in docs.columns if c not in ("removed_lines", "removed_words", "partners")]
@@ -240,13 +285,13 @@ def deduplicated(docs: DataFrame, rare: int = RARE, block: int = BLOCK) -> DataF
     zero = F.array().cast("array<bigint>")
     rows = joined.select(
         *[F.col(f"`{n}`").cast("string").alias(n) if n == "text" else F.col(f"`{n}`") for n in names], F.col("_gone"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("removed_lines"), F.coalesce("_words", F.lit(0).cast("long")).alias("removed_words"), F.coalesce("_partners", zero).alias("partners"),
+        F.coalesce("_lines", F.lit(0).cast("long")).alias("removed_lines"), F.coalesce("_words", F.lit(0).cast("long")).alias("removed_words"), F.coalesce("_partners", zero).alias("partners"),
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(at)
-            gone = batch.column(number).to_pylist()
+            gone = [g and [i for r in g for i in range(r["first"], r["last"] + 1)] for g in batch.column(number).to_pylist()]
             if any(gone):
                 texts = pa.array([t if not g else without(t.encode(), g).decode() for t, g in zip(texts.to_pylist(), gone)], pa.string())
             columns = [texts if i == at else batch.column(i) for i in range(number)] + [batch.column(i) for i in range(number + 1, number + 4)]

@@ -124,3 +124,35 @@ def test_copies_of_short_lines_alone_go(spark):
     assert [rows[i]["text"] for i in (0, 1, 5)] == [texts[i] for i in (0, 1, 5)]
     assert rows[2]["text"] == rows[3]["text"] == "" and rows[2]["partners"] == [0] and rows[3]["partners"] == [1]
     assert rows[4]["text"] == "My own words come first here.\nand last" and rows[4]["removed_lines"] == 20
+
+
+def in_earlier(docs, block=line_dedup.BLOCK):
+    """Of each document: the lines within any run of block words or more that an earlier document holds, by all runs."""
+    held, out = {}, {}
+    for d, t in sorted(docs):
+        _, _, h, w, _ = (x.tolist() for x in line_dedup.lines([t.encode()]))
+        runs = [(i, j) for i in range(len(h)) for j in range(i + 1, len(h) + 1) if sum(w[i:j]) >= block]
+        out[d] = {x for i, j in runs if tuple(h[i:j]) in held for x in range(i, j)}
+        held |= {tuple(h[i:j]): d for i, j in runs}
+    return out
+
+
+def test_every_run_that_an_earlier_document_has_goes(spark):
+    rng = random.Random(6)
+    passage = lambda name, n, k: [" ".join(f"{name}{i}w{x}" for x in range(k)) + "." for i in range(n)]
+    p, q, r, own = passage("p", 4, 8), passage("q", 4, 8), passage("r", 9, 3), lambda d, n: passage(f"own{d}x{n}", 2, 7)
+    texts = [
+        p + own(0, 0) + p, own(1, 0) + p + own(1, 1), own(2, 0) + p + own(2, 1) + p,  # the first holder has it twice
+        q + own(3, 0), own(4, 0) + q + own(4, 1) + q + own(4, 2),  # the later one has it twice
+        r + q, q + own(6, 0) + r, p + r + q, q + r + p,  # another order
+        ["a line that is long enough to hold twenty words by itself as it goes on and on until its very end."] + own(9, 0),
+        ["a line that is long enough to hold twenty words by itself as it goes on and on until its very end.", "short tail here."] + own(10, 0),
+        own(11, 0) + ["a line that is long enough to hold twenty words by itself as it goes on and on until its very end.", "short tail here."],
+    ]
+    few = [" ".join(f"v{i}w{x}" for x in range(n)) + "." for i, n in enumerate((1, 2, 3, 4, 7, 11, 21, 5, 6, 1))]
+    texts += [[few[rng.randrange(len(few))] for _ in range(rng.randrange(1, 25))] for _ in range(40)]
+    docs = [(d, "\n".join(t)) for d, t in enumerate(texts)]
+    want = in_earlier(docs)
+    found = {x["doc_id"]: set(x["gone"]) for x in line_dedup.aligned(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(want[d] <= found.get(d, set()) for d, _ in docs)
+    assert all(found.get(d, set()) == want[d] for d in range(12))
