@@ -462,7 +462,7 @@ def classify_files(spark, sf_dir):
 def communities(spark, sf_dir):
     from ..operators.community import communities as split
 
-    v, e = _view(spark, sf_dir, ["CONTAINS"], ["region", "nation", "customer", "supplier"])
+    v, e = _view(spark, sf_dir, None)
     return split(v, e)
 
 
@@ -476,6 +476,14 @@ def connected_components(spark, sf_dir):
     return connected(v, e)
 
 
+@query(None)
+def connected_components_all(spark, sf_dir):
+    """Over all vertices and edges, for which the closure in SQL above is too large."""
+    from ..operators.community import connected
+
+    return connected(*_view(spark, sf_dir, None))
+
+
 @query(None)
 def chunk_text_units(spark, sf_dir):
     from .units import chunks
