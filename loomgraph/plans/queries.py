@@ -381,6 +381,14 @@ def hash_embedding_buckets(spark, sf_dir):
     return bucket_counts(g.read(spark, sf_dir, "documents").where("lang = 'en'"), "doc_id", "text")
 
 
+@query(None)
+def hash_embedding_buckets_all(spark, sf_dir):
+    """Of documents in all languages: no SQL, as engines differ in what they lower outside of A-Z."""
+    from .embed import bucket_counts
+
+    return bucket_counts(g.read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding AS a FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT q.query_id, e.vec_id, list_cosine_similarity(q.a::DOUBLE[], e.embedding::DOUBLE[]) AS c FROM q, embeddings e),
   r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, rank::INT AS rank, round(c, 6) AS similarity FROM r WHERE rank <= 5""")
 def knn_cosine(spark, sf_dir):
