@@ -1,79 +1,82 @@
 """Line deduplication by pairwise alignment.
 
-A line is what lies between line ends, cut further at the ends of sentences. Each document becomes the sequence of its
-lines' hashes. A line of at least ``RARE`` words that several documents hold pairs each later document with the first
-that holds it; a shorter line, which many documents share by chance, pairs none by itself, but each shortest run of lines
-with ``BLOCK`` words does, so that any shared run of so many words pairs. What is in n documents makes n - 1 pairs
-whatever n is. Every pair is aligned by patience diff: lines that are unique in both and in the longest common order
-are anchors, equal neighbours of anchors join them, and the gaps between are aligned likewise. What patience diff leaves
-out, as it is repeated or in another order, is found by the shortest runs with ``BLOCK`` words that both texts have; those
-of which the earlier text has the core alone are looked up among the runs left so by other pairs. Of a document's lines
-aligned with any earlier document, each run of at least ``BLOCK`` words is deleted: every run of so many words that an
-earlier document has goes.
+A line is what lies between line ends, cut further at the ends of sentences. A passage is a shortest run of lines with
+``BLOCK`` words or more, from a line on or up to a line; a long line is one by itself. Passages are told by the hash of
+their lines, and the number of documents that hold each is counted over all documents. One that several hold pairs each
+later document with an earlier holder: a rare one, of at most ``RARE`` documents, with the last holder before it, a more
+frequent one with the first, so that what is in n documents makes n - 1 pairs and no group of holders is ever gathered.
+
+Each pair is aligned by patience diff over the passages they share: the longest chain that ascends in both texts comes
+first, and what lies off it, as it is repeated or in another order, is dealt into further ascending chains by patience
+sorting. Neighbours of a chain that are neighbours in both texts make a block. Every block is a run of BLOCK words or
+more that one earlier document holds, and is deleted from the later one.
+
+Which holder a document is paired with does not change what it loses: every holder of a passage has the whole of it, and
+a run of BLOCK words or more is covered by the passages in it. So exactly the lines go that are in a run of BLOCK words
+or more, unbroken in one earlier document; nothing is united over several partners before it is measured.
 
 Defined cases: a null text has no lines and stays null; the earlier of two documents is that with the smaller doc_id;
 rows of one doc_id are not compared with one another, and rows without one with none; a text may lose all its lines and
-stays as an empty text; an empty table gives no rows; other columns pass through unchanged.
+stays as an empty text; an empty table gives no rows; other columns pass through unchanged, and a report column whose
+name is taken gets underscores at its end.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import forget, lean, ship, written
-from .text import NOT_SPACE, _powers, chunks, mix, prefix_hashes
+from .text import NOT_SPACE, SLICE, Joined, chunks, hashes, mix, sums
 
-#: Words that a line needs to pair documents by itself.
-RARE = 6
-#: Words of a run of aligned lines that is deleted.
+#: Words of a passage.
 BLOCK = 20
-#: Pairs of documents that are held as Python lists at once.
-PAIRS = 500
-#: Numbers of 4 bytes, of lines to delete and partners, that may be broadcast; beyond that documents are shuffled.
+#: Documents that hold a rare passage at most.
+RARE = 32
+#: Numbers of 4 bytes, of blocks to delete, that may be broadcast; beyond that documents are shuffled.
 BROADCAST_LINES = 2_000_000
+#: Columns that tell what a text has lost.
+REPORT = ("removed_lines", "removed_words", "partners")
 
 
 def lines(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all texts' lines: begin and end within the text, hash, number of words; and where each text's lines begin."""
-    joined = b"\n".join(texts) + b"\n"
-    data = np.frombuffer(joined, np.uint8)
-    before = np.empty_like(data)
-    before[0], before[1:] = 10, data[:-1]
-    # a line ends at a line end, and at blanks that follow one or the end of a sentence
-    cut = data == 10
-    blank = (data == 32) | (data == 9)
-    opens = blank & ~((before == 32) | (before == 9))
-    ends = np.isin(before[opens], np.frombuffer(b"\n.!?", np.uint8))
-    cut[blank] = ends[np.cumsum(opens)[blank] - 1]
-    change = np.flatnonzero(np.diff(np.concatenate([[True], cut, [True]]).view(np.int8)))
-    begin, end = change[::2], change[1::2]
-    h, inverse = prefix_hashes(data)
-    hashes = mix((h[end] - h[begin]) * inverse[begin] + (end - begin).astype(np.uint64)).view(np.int64)
-    solid = NOT_SPACE[data]
-    first = solid.copy()
-    first[1:] &= ~solid[:-1]
-    total = np.concatenate([[0], np.cumsum(first)])
-    words = total[end] - total[begin]
+    """Of all texts' lines: begin and end within the text, hash, number of words; and where each text's lines begin.
+
+    A line ends at a line end, and at blanks that follow one or the end of a sentence. Work goes in slices, so that a long
+    text takes little more than itself and its lines.
+    """
+    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    found, last, divides, open_ = Joined(), 10, True, False
+    for at in range(0, len(data), SLICE):
+        part = data[at : at + SLICE]
+        before = np.empty_like(part)
+        before[0], before[1:] = last, part[:-1]
+        cut = part == 10
+        blank = (part == 32) | (part == 9)
+        opens = blank & ~((before == 32) | (before == 9))
+        # of each run of blanks, the one that goes on from the slice before first: whether it divides lines
+        ends = np.concatenate([[divides], np.isin(before[opens], np.frombuffer(b"\n.!?", np.uint8))])
+        cut[blank] = ends[np.cumsum(opens)[blank]]
+        change = np.flatnonzero(np.diff(np.concatenate([[True], cut, [True]]).view(np.int8)))
+        begin, end = change[::2], change[1::2]
+        total = np.concatenate([[0], np.cumsum(NOT_SPACE[part] & ~NOT_SPACE[before])])
+        found.add(at, begin, end, sums(part.astype(np.uint64) + np.uint64(1), begin, end), total[end] - total[begin], open_ and not cut[0])
+        last, divides, open_ = part[-1], bool(ends[-1]), not cut[-1]
+    begin, end, hashed, words = found.ranges()
     edges = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)])
     starts = np.searchsorted(begin, edges)
     shift = np.repeat(edges[:-1], np.diff(starts))
-    return begin - shift, end - shift, hashes, words, starts
+    return begin - shift, end - shift, hashed.view(np.int64), words, starts
 
 
-def windows(hashes: np.ndarray, words: np.ndarray, starts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all texts: the shortest runs of lines with least words or more, from each line on and up to each line.
-
-    Gives first line, end, hash, and the hash of the core: the run within that can lose a line at neither side, which is
-    the run itself for many. Hashes depend on the lines alone; that of a single line is its own.
-    """
-    n = len(hashes)
+def windows(hashed: np.ndarray, words: np.ndarray, starts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The passages of all texts, in order: first line, end, and a hash that depends on the lines alone."""
     total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
     ends = np.searchsorted(total, total[:-1] + least)
     begins = np.searchsorted(total, total[1:] - least, "right") - 1
@@ -82,219 +85,202 @@ def windows(hashes: np.ndarray, words: np.ndarray, starts: np.ndarray, least: in
     up = np.flatnonzero(begins >= np.repeat(starts[:-1], sizes))
     up = up[ends[begins[up]] != up + 1]
     begin, end = np.concatenate([on, begins[up]]), np.concatenate([ends[on], up + 1])
-    core = np.concatenate([begins[ends[on] - 1], begins[up]]), np.concatenate([ends[on], ends[begins[up]]])
-    power, inverse = _powers(max(16, n.bit_length()))
-    own = hashes.view(np.uint64)
-    h = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own * power[:n])])
-
-    def joined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return np.where(y - x == 1, own[x], mix((h[y] - h[x]) * inverse[x] + (y - x).astype(np.uint64))).view(np.int64)
-
-    return begin, end, joined(begin, end), joined(*core)
-
-
-def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Pairs of equal elements of two sequences, in order in both."""
-    out: list[tuple[int, int]] = []
-    todo = [(0, len(a), 0, len(b))]
-    while todo:
-        i, j, k, m = todo.pop()
-        while i < j and k < m and a[i] == b[k]:
-            out.append((i, k))
-            i, k = i + 1, k + 1
-        while i < j and k < m and a[j - 1] == b[m - 1]:
-            j, m = j - 1, m - 1
-            out.append((j, m))
-        if i == j or k == m:
-            continue
-        there: dict[int, int] = {}
-        for y in range(k, m):
-            there[b[y]] = -1 if b[y] in there else y
-        here: dict[int, int] = {}
-        for x in range(i, j):
-            if there.get(a[x], -1) >= 0:
-                here[a[x]] = -1 if a[x] in here else x
-        common = [(x, there[v]) for v, x in here.items() if x >= 0]
-        if not common:
-            continue
-        common.sort()
-        # the longest increasing run of places in b
-        tails: list[int] = []
-        ends: list[int] = []
-        back = [-1] * len(common)
-        for n, (_, y) in enumerate(common):
-            at = bisect_left(tails, y)
-            back[n] = ends[at - 1] if at else -1
-            if at == len(tails):
-                tails.append(y), ends.append(n)
-            else:
-                tails[at], ends[at] = y, n
-        chain, n = [], ends[-1]
-        while n >= 0:
-            chain.append(common[n])
-            n = back[n]
-        chain.reverse()
-        x, y = i, k
-        for p, q in chain:
-            # the gap before an anchor; its equal tail grows backwards from the anchor
-            todo.append((x, p, y, q))
-            out.append((p, q))
-            x, y = p + 1, q + 1
-        todo.append((x, j, y, m))
-    return sorted(out)
-
-
-def runs(taken: dict[int, int], least: int) -> list[int]:
-    """Of line numbers with their words: those in runs of neighbours with least words or more."""
-    out: list[int] = []
-    run: list[int] = []
-    for i in [*sorted(taken), None]:
-        if run and i != run[-1] + 1:
-            if sum(taken[x] for x in run) >= least:
-                out += run
-            run = []
-        if i is not None:
-            run.append(i)
+    order = np.lexsort((end, begin))
+    begin, end = begin[order], end[order]
+    return begin, end, hashes(sums(hashed.view(np.uint64), begin, end), end - begin).view(np.int64)
+
+
+def chains(there: list[int]) -> list[int]:
+    """The chain of each place of a sequence: 0 for a longest ascending one, others for what that leaves out.
+
+    The rest is dealt as in patience sorting: each place goes onto the chain whose last value is the largest below its own.
+    """
+    tails: list[int] = []
+    at: list[int] = []
+    back = [-1] * len(there)
+    for n, y in enumerate(there):
+        k = bisect_left(tails, y)
+        back[n] = at[k - 1] if k else -1
+        if k == len(tails):
+            tails.append(y), at.append(n)
+        else:
+            tails[k], at[k] = y, n
+    out = [-1] * len(there)
+    n = at[-1] if at else -1
+    while n >= 0:
+        out[n] = 0
+        n = back[n]
+    # the other chains by their last values, descending, as negative numbers
+    lasts: list[int] = []
+    for n, y in enumerate(there):
+        if out[n] < 0:
+            k = bisect_right(lasts, -y)
+            if k == len(lasts):
+                lasts.append(-y)
+            lasts[k] = -y
+            out[n] = k + 1
     return out
 
 
-def sequences(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``doc_id, version, hashes, words, cores``: the lines of every row with a doc_id, and the hashes of its cores of several lines; version tells texts of one doc_id apart."""
+def passages(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``doc_id, version, hash, begin, end, kind`` of each passage of every row with a doc_id.
+
+    version tells texts of one doc_id apart; kind is 0 where the text has the passage further ahead as well.
+    """
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in chunks(batch.column(1)):
-                _, _, hashes, words, starts = lines(texts)
-                offsets = pa.array(starts, pa.int32())
-                begin, end, runs, cores = windows(hashes, words, starts, block)
-                some = np.flatnonzero((runs == cores) & (end - begin > 1))
-                kept = batch.slice(first, len(texts))
+                _, _, hashed, words, starts = lines(texts)
+                begin, end, key = windows(hashed, words, starts, block)
+                text = np.searchsorted(starts, begin, "right") - 1
+                _, head = np.unique(mix(key.view(np.uint64) + mix(text.astype(np.uint64))), return_index=True)
+                kind = np.zeros(len(key), np.int8)
+                kind[head] = 1
+                own = pa.array(first + text)
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": kept.column(0), "version": kept.column(2),
-                    "hashes": pa.ListArray.from_arrays(offsets, pa.array(hashes, pa.int64())), "words": pa.ListArray.from_arrays(offsets, pa.array(words, pa.int32())),
-                    "cores": pa.ListArray.from_arrays(pa.array(np.searchsorted(begin[some], starts), pa.int32()), pa.array(runs[some], pa.int64())),
+                    "doc_id": batch.column(0).take(own), "version": batch.column(2).take(own), "hash": pa.array(key),
+                    "begin": pa.array(begin - starts[text], pa.int32()), "end": pa.array(end - starts[text], pa.int32()), "kind": pa.array(kind),
                 })
 
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("version"))
-    return rows.mapInArrow(lean(run), "doc_id long, version long, hashes array<long>, words array<int>, cores array<long>")
-
-
-def aligned(docs: DataFrame, rare: int = RARE, block: int = BLOCK) -> DataFrame:
-    """``doc_id, version, gone, removed_words, partners``: the line numbers to delete of each document that loses any."""
-    known = written(sequences(docs, block), "lines")
-    single = F.filter("hashes", lambda x, i: F.get("words", i) >= min(rare, block))
-    held = known.select("doc_id", F.explode(F.array_distinct(F.concat(single, "cores"))).alias("hash"))
-    shared = held.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("hash", "first")
-    shared = written(shared, "shared")
-    pairs = held.join(shared, "hash").where("doc_id > first").select("first", "doc_id").distinct()
-    later = known.select("doc_id", "version", F.col("hashes").alias("a"), "words")
-    earlier = known.select(F.col("doc_id").alias("first"), F.col("hashes").alias("b"), F.col("words").alias("b_words"))
-    both = written(pairs, "pairs").join(later, "doc_id").join(earlier, "first").select("doc_id", "version", "first", "a", "words", "b", "b_words")
-    line = pa.struct([("line", pa.int32()), ("words", pa.int32())])
-    loose = pa.struct([("hash", pa.int64()), ("taken", pa.list_(line))])
+    return rows.mapInArrow(lean(run), "doc_id long, version long, hash long, begin int, end int, kind tinyint")
+
+
+def paired(docs: DataFrame, block: int = BLOCK, rare: int = RARE) -> tuple[DataFrame, list[DataFrame]]:
+    """``doc_id, version, partner, begin, end, there`` of each passage that an earlier document holds, and scratch tables.
+
+    there is the first line of the passage in the partner. Holders of one passage meet in its own group only if it is rare.
+    """
+    known = written(passages(docs, block), "passages")
+    heads = known.where("kind = 1").groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"), F.min_by("begin", "doc_id").alias("there"))
+    held = written(known.join(heads.where("first < last").select("hash", "first", "n", "there"), "hash"), "held")
+    before = Window.partitionBy("hash").orderBy("doc_id").rangeBetween(Window.unboundedPreceding, -1)
+    nearest = F.max(F.struct(F.when(F.col("kind") == 1, F.col("doc_id")).alias("doc_id"), "begin")).over(before)
+    few = held.where(F.col("n") <= rare).withColumn("earlier", nearest).where("earlier.doc_id is not null")
+    many = held.where((F.col("n") > rare) & (F.col("doc_id") > F.col("first")))
+    names = ["doc_id", "version", "partner", "begin", "end", "there"]
+    out = few.select("doc_id", "version", F.col("earlier.doc_id").alias("partner"), "begin", "end", F.col("earlier.begin").alias("there"))
+    return out.select(*names).unionByName(many.withColumnRenamed("first", "partner").select(*names)), [known, held]
+
+
+BLOCKS = "array<struct<begin: int, end: int, partner: bigint, there: int>>"
+
+
+def aligned(docs: DataFrame, block: int = BLOCK, rare: int = RARE) -> DataFrame:
+    """``doc_id, version, blocks`` of each document that loses any: first line and end of each block, the partner that
+    holds it, and its first line there. Blocks of different partners may overlap."""
+    rows, scratch = paired(docs, block, rare)
+    order = ["doc_id", "version", "partner", "begin", "end"]
+    sorted_ = rows.repartition("doc_id", "version").sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = None
         for batch in batches:
-            for first in range(0, batch.num_rows, PAIRS):
-                some = batch.slice(first, PAIRS)
-                (a, words, starts), (b, b_words, b_starts) = (_flat(some.column(i), some.column(i + 1)) for i in (3, 5))
-                begin, end, runs, cores = windows(a, words, starts, block)
-                b_begin, _, b_runs, _ = windows(b, b_words, b_starts, block)
-                there = _salted(b_runs, b_begin, b_starts)
-                whole = np.isin(_salted(runs, begin, starts), there)
-                part = np.flatnonzero(np.isin(_salted(cores, begin, starts), there) & ~whole)
-                change = np.bincount(begin[whole], minlength=len(a) + 1) - np.bincount(end[whole], minlength=len(a) + 1)
-                taken = np.cumsum(change)[:-1] > 0
-                for n, (x, y) in enumerate(zip(some.column(3).to_pylist(), some.column(5).to_pylist())):
-                    if got := patience(x, y):
-                        taken[starts[n] + np.array([i for i, _ in got])] = True
-                part = part[np.argsort(begin[part], kind="stable")]
-                sizes = end[part] - begin[part]
-                edges = np.concatenate([[0], np.cumsum(sizes)])
-                inner = np.arange(edges[-1]) + np.repeat(begin[part] - edges[:-1], sizes)
-
-                def listed(at: np.ndarray, offsets: np.ndarray, words=words, starts=starts) -> pa.Array:
-                    place = at - starts[np.searchsorted(starts, at, "right") - 1]
-                    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(place, pa.int32()), pa.array(words[at], pa.int32())], fields=list(line)))
-
-                at = np.flatnonzero(taken)
-                left = pa.StructArray.from_arrays([pa.array(runs[part], pa.int64()), listed(inner, edges)], fields=list(loose))
-                left = pa.ListArray.from_arrays(pa.array(np.searchsorted(begin[part], starts), pa.int32()), left)
-                out = pa.RecordBatch.from_arrays([*some.columns[:3], listed(at, np.searchsorted(at, starts)), left], ["doc_id", "version", "first", "taken", "loose"])
-                yield out.filter(pa.array(np.diff(np.searchsorted(at, starts)) > 0))
-
-    lines_of = "array<struct<line: int, words: int>>"
-    each = written(both.mapInArrow(lean(run), f"doc_id long, version long, first long, taken {lines_of}, loose array<struct<hash: bigint, taken: {lines_of}>>"), "found")
-    # a run that is not whole in the first holder of its core may be so in another document, which has met that holder too
-    left = each.select("doc_id", "version", F.explode("loose").alias("l")).select("doc_id", "version", "l.hash", "l.taken")
-    least = left.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("hash", "first")
-    more = left.join(least, "hash").where("doc_id > first").select("doc_id", "version", "first", "taken")
-    found = each.drop("loose").unionByName(more)
-    by = found.groupBy("doc_id", "version").agg(F.flatten(F.collect_list("taken")).alias("taken"), F.array_sort(F.collect_set("first")).alias("partners"))
-
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            chosen = [({x["line"]: x["words"] for x in taken}) for taken in batch.column(2).to_pylist()]
-            gone = [runs(t, block) for t in chosen]
-            words = [sum(t[i] for i in g) for t, g in zip(chosen, gone)]
-            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, pa.list_(pa.int32())), pa.array(words, pa.int64()), batch.column(3)], ["doc_id", "version", "gone", "removed_words", "partners"])
-            yield out.filter(pa.array([bool(g) for g in gone], pa.bool_()))
-
-    out = written(by.select("doc_id", "version", "taken", "partners").mapInArrow(lean(choose), "doc_id long, version long, gone array<int>, removed_words long, partners array<long>"), "gone")
-    forget(known, shared, each)
+            if batch.num_rows:
+                table = pa.Table.from_batches([batch]) if open_ is None else pa.concat_tables([open_, pa.Table.from_batches([batch])])
+                doc, version = (table.column(i).to_numpy() for i in (0, 1))
+                # the last document may go on in the next batch
+                same = np.flatnonzero((doc[:-1] != doc[1:]) | (version[:-1] != version[1:]))
+                stop = int(same[-1]) + 1 if len(same) else 0
+                if stop:
+                    yield _blocks(table.slice(0, stop))
+                open_ = table.slice(stop)
+        if open_ is not None:
+            yield _blocks(open_)
+
+    out = written(sorted_.mapInArrow(lean(run), f"doc_id long, version long, blocks {BLOCKS}"), "blocks")
+    forget(*scratch)
     return out
 
 
-def _flat(hashes: pa.ListArray, words: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The lines of several texts in a row, and where each text's begin."""
-    starts = np.concatenate([[0], np.cumsum(hashes.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-    return hashes.flatten().to_numpy(zero_copy_only=False), words.flatten().to_numpy(zero_copy_only=False), starts
+def _blocks(table: pa.Table) -> pa.RecordBatch:
+    """The blocks of documents from the passages that they share with partners, sorted."""
+    doc, version, partner, begin, end, there = (table.column(i).to_numpy() for i in range(6))
+    # rows that are repeated have equal passages
+    again = np.zeros(len(doc), bool)
+    again[1:] = (doc[1:] == doc[:-1]) & (version[1:] == version[:-1]) & (partner[1:] == partner[:-1]) & (begin[1:] == begin[:-1]) & (end[1:] == end[:-1])
+    doc, version, partner, begin, end, there = (x[~again] for x in (doc, version, partner, begin, end, there))
+    new_doc = np.ones(len(doc), bool)
+    new_doc[1:] = (doc[1:] != doc[:-1]) | (version[1:] != version[:-1])
+    new_pair = new_doc.copy()
+    new_pair[1:] |= partner[1:] != partner[:-1]
+    pair = np.cumsum(new_pair) - 1
+    starts = np.append(np.flatnonzero(new_pair), len(doc))
+    # passages that begin on one line follow each other in both texts, so that the line decides, then the end
+    place = there.astype(np.int64) * (1 << 31) + end - begin
+    falls = np.flatnonzero(~new_pair[1:] & (place[1:] <= place[:-1]))
+    chain = np.zeros(len(doc), np.int64)
+    for k in np.unique(pair[falls]).tolist():
+        chain[starts[k] : starts[k + 1]] = chains(place[starts[k] : starts[k + 1]].tolist())
+    turn = np.lexsort((np.arange(len(doc)), chain, pair))
+    pair, chain, doc, version, partner, begin, end, there = (x[turn] for x in (pair, chain, doc, version, partner, begin, end, there))
+    opens = np.ones(len(doc), bool)
+    opens[1:] = (pair[1:] != pair[:-1]) | (chain[1:] != chain[:-1]) | (begin[1:] > end[:-1]) | (begin[1:] - there[1:] != begin[:-1] - there[:-1])
+    at = np.flatnonzero(opens)
+    till = np.append(at[1:], len(doc)) - 1
+    new = np.ones(len(at), bool)
+    new[1:] = (doc[at][1:] != doc[at][:-1]) | (version[at][1:] != version[at][:-1])
+    heads = np.flatnonzero(new)
+    fields = [pa.array(begin[at], pa.int32()), pa.array(end[till], pa.int32()), pa.array(partner[at], pa.int64()), pa.array(there[at], pa.int32())]
+    blocks = pa.ListArray.from_arrays(pa.array(np.append(heads, len(at)), pa.int32()), pa.StructArray.from_arrays(fields, ["begin", "end", "partner", "there"]))
+    return pa.RecordBatch.from_arrays([pa.array(doc[at][heads]), pa.array(version[at][heads]), blocks], ["doc_id", "version", "blocks"])
+
+
+def gone(blocks: list[dict]) -> list[int]:
+    """The numbers of the lines in blocks."""
+    return sorted({i for b in blocks for i in range(b["begin"], b["end"])})
+
+
+def without(text: bytes, gone: list[int]) -> tuple[bytes, int]:
+    """A text without the lines of these numbers, and the words in them; what divides a line from the next goes with it."""
+    begin, _, _, words, _ = lines([text])
+    begin = [*begin.tolist(), len(text)]
+    at = set(gone)
+    out = text[: begin[0]] + b"".join(text[x:y] for i, (x, y) in enumerate(zip(begin, begin[1:])) if i not in at)
+    return (out.rstrip(b"\n\t ") if len(begin) - 2 in at else out), int(words[gone].sum())
 
 
-def _salted(runs: np.ndarray, begin: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Hashes of runs, told apart by the text that each begins in."""
-    text = np.searchsorted(starts, begin, "right").astype(np.uint64)
-    return mix(runs.view(np.uint64) + mix(text))
+def report_names(columns: list[str]) -> list[str]:
+    """Names of the report columns beside these columns."""
+    out = []
+    for name in REPORT:
+        while name in columns or name in out:
+            name += "_"
+        out.append(name)
+    return out
 
 
-def without(text: bytes, gone: list[int]) -> bytes:
-    """A text without the lines of these numbers; what divides a line from the next goes with it."""
-    begin = lines([text])[0].tolist()
-    begin.append(len(text))
-    at = set(gone)
-    out = text[: begin[0]] + b"".join(text[x:y] for i, (x, y) in enumerate(zip(begin, begin[1:])) if i not in at)
-    return out.rstrip(b"\n\t ") if len(begin) - 2 in at else out
-
-
-def deduplicated(docs: DataFrame, rare: int = RARE, block: int = BLOCK) -> DataFrame:
-    """``docs`` with its texts' repeated blocks deleted, and columns ``removed_lines``, ``removed_words`` and ``partners``."""
-    gone = aligned(docs, rare, block)
-    # neighbouring lines travel as one range, by its first and last
-    first = F.filter("gone", lambda x, i: (i == 0) | (F.get("gone", i - 1) != x - 1))
-    last = F.filter("gone", lambda x, i: (i == F.size("gone") - 1) | (F.get("gone", i + 1) != x + 1))
-    gone = gone.select(F.col("doc_id").alias("_doc"), F.col("version").alias("_version"), F.arrays_zip(first.alias("first"), last.alias("last")).alias("_gone"), F.size("gone").cast("long").alias("_lines"), F.col("removed_words").alias("_words"), F.col("partners").alias("_partners"))
-    few = (gone.agg(F.sum(2 * F.size("_gone") + 2 * F.size("_partners") + 8)).first()[0] or 0) <= BROADCAST_LINES
-    keyed = docs.withColumn("_key", F.xxhash64(F.col("text").cast("string")))
-    joined = keyed.join(F.broadcast(gone) if few else gone, (keyed["doc_id"] == gone["_doc"]) & (keyed["_key"] == gone["_version"]), "left")
-    names = [c for c in docs.columns if c not in ("removed_lines", "removed_words", "partners")]
-    at, number = names.index("text"), len(names)
-    schema = T.StructType([T.StructField("text", T.StringType()) if f.name == "text" else f for f in docs.schema.fields if f.name in names])
-    for n, t in (("removed_lines", T.LongType()), ("removed_words", T.LongType()), ("partners", T.ArrayType(T.LongType()))):
+def deduplicated(docs: DataFrame, block: int = BLOCK, rare: int = RARE) -> DataFrame:
+    """``docs`` with its texts' repeated blocks deleted, and columns :func:`report_names`."""
+    found = aligned(docs, block, rare).select(F.col("doc_id").alias("doc"), "version", "blocks")
+    few = (found.agg(F.sum(5 * F.size("blocks") + 8)).first()[0] or 0) <= BROADCAST_LINES
+    keyed = docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64(F.col("text").cast("string")).alias("version"))
+    joined = keyed.join(F.broadcast(found) if few else found, ["doc", "version"], "left")
+    at, number = docs.columns.index("text"), len(docs.columns)
+    fields = [F.col("row").getField(n) for n in docs.columns]
+    fields[at] = fields[at].cast("string")
+    schema = T.StructType([T.StructField("text", T.StringType()) if f.name == "text" else f for f in docs.schema.fields])
+    for n, t in zip(report_names(docs.columns), (T.LongType(), T.LongType(), T.ArrayType(T.LongType()))):
         schema = schema.add(n, t)
-    zero = F.array().cast("array<bigint>")
-    rows = joined.select(
-        *[F.col(f"`{n}`").cast("string").alias(n) if n == "text" else F.col(f"`{n}`") for n in names], F.col("_gone"),
-        F.coalesce("_lines", F.lit(0).cast("long")).alias("removed_lines"), F.coalesce("_words", F.lit(0).cast("long")).alias("removed_words"), F.coalesce("_partners", zero).alias("partners"),
-    )
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(at)
-            gone = [g and [i for r in g for i in range(r["first"], r["last"] + 1)] for g in batch.column(number).to_pylist()]
-            if any(gone):
-                texts = pa.array([t if not g else without(t.encode(), g).decode() for t, g in zip(texts.to_pylist(), gone)], pa.string())
-            columns = [texts if i == at else batch.column(i) for i in range(number)] + [batch.column(i) for i in range(number + 1, number + 4)]
-            yield pa.RecordBatch.from_arrays(columns, schema.names)
-
+            removed, words, partners = [0] * len(texts), [0] * len(texts), [[]] * len(texts)
+            changed = {}
+            for i, blocks in enumerate(batch.column(number).to_pylist()):
+                if blocks:
+                    text, lost = texts[i].as_py().encode(), gone(blocks)
+                    kept, words[i] = without(text, lost)
+                    changed[i], removed[i] = kept.decode(), len(lost)
+                    partners[i] = sorted({b["partner"] for b in blocks})
+            if changed:
+                texts = pa.array([changed.get(i, t) for i, t in enumerate(texts.to_pylist())], pa.string())
+            report = [pa.array(removed, pa.int64()), pa.array(words, pa.int64()), pa.array(partners, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([texts if i == at else batch.column(i) for i in range(number)] + report, names)
+
+    rows = joined.select(*[f.alias(f"c{i}") for i, f in enumerate(fields)], F.col("blocks").alias("blocks"))
     return rows.mapInArrow(lean(run), schema)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import forget, lean, ship, written
 from .components import BROADCAST_LABELS, components
-from .text import NOT_SPACE, chunks, mix, shingles, words
+from .text import NOT_SPACE, chunks, mix, shingles
 
 BANDS, ROWS = 64, 6
 #: MinHash values in an odd sketch, and its bits.
@@ -120,7 +120,7 @@ def signatures(docs: DataFrame, size: int = 5) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in chunks(batch.column(1)):
-                sets = shingles(words(texts, NOT_SPACE), size)
+                sets = shingles(texts, size, NOT_SPACE)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 keys = dict(zip(full, band_keys(minhash([sets[i] for i in full], BANDS * ROWS)))) if full else {}
                 digest = [(mix(s ^ np.uint64(0xA5A5)).sum(dtype=np.uint64), mix(s ^ np.uint64(0x5A5A5A)).sum(dtype=np.uint64)) for s in sets]
@@ -140,7 +140,7 @@ def sketched(texts: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, block in chunks(batch.column(1)):
-                sets = shingles(words(block, NOT_SPACE), size)
+                sets = shingles(block, size, NOT_SPACE)
                 every = [i for i, s in enumerate(sets) if len(s)]
                 for at in range(0, len(every), SETS):
                     full = every[at : at + SETS]
@@ -156,7 +156,7 @@ def _sets(column: pa.Array, size: int) -> list[np.ndarray]:
     out, last, known = [], None, None
     for v in values:
         if v != last:
-            last, known = v, shingles(words([v], NOT_SPACE), size)[0]
+            last, known = v, shingles([v], size, NOT_SPACE)[0]
         out.append(known)
     return out
 

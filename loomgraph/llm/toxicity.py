@@ -1,21 +1,29 @@
 """A toxicity classifier with a counterfactual penalty.
 
-A document is the set of its words; a sparse logistic model weighs them. For each labelled text that names a group of
-people, the term is swapped for others of its kind, and the squared change of the logit is added to the loss, so that
-the mention of one group rather than another does not move a score. A small absolute penalty keeps words without
-evidence at zero. The whole is fitted by accelerated proximal gradient steps in numpy.
-
-A model is a sorted table of word hashes with weights: words that it never saw weigh nothing, however long a text is.
+A document is the set of its words and of some of their character n-grams. A sparse logistic model of words alone
+chooses those that tell the classes apart; a second model weighs them together with the n-grams of those that speak for
+toxicity, so that an unseen inflection of an insult still counts. N-grams also reach words that are no insults, among
+them those that name groups of people. So each labelled text gives counterfactuals: a term of ``IDENTITY`` that it names
+is swapped for others of its kind; where it names none, a term is put into it, in one of four languages by turns, and
+then swapped, and if the text is not toxic it is also compared with itself without the term. The squared change of the
+logit is added to the loss of both models, so that to name a group, or one group rather than another, does not move a score. Both are
+fitted by accelerated proximal gradient steps in numpy.
+
+A model is a table of features with weights: words that it does not know weigh nothing, however long a text is.
 Training takes at most ``MOST`` labelled texts of each class, weighted so that classes count as they do among all
 labels. Labels, lang, source and doc_id are no features.
 
-Defined cases: a null text is an empty one; texts without known words get the score of the bias alone; repeated rows
-get equal scores; without labels of both classes every score is 0; an empty table gives no rows; columns other than
-doc_id and text are not read.
+Defined cases: a null text is an empty one; texts without known words get the score of the bias alone; a text is worked
+on in parts, cut between words, and a word of more than ``CHUNK`` bytes is several; repeated rows get equal scores, as a
+score depends on the text alone, and 0.5 is predicted as 1; a doc_id with labels that differ is not learned from; without
+labels of both classes every score is some 1e-13 and nothing is toxic; an empty table gives no rows; columns other than
+doc_id and text are not read, and :func:`accepted` passes all through.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,105 +33,191 @@ from pyspark.sql import functions as F
 from .common import trim
 from .labelled import remainder, sample
 from .quality import score
-from .text import LETTERS, blocks, words
+from .text import LETTERS, lowered, parted, words
 
 #: Labelled texts of each class that a model is fitted on at most.
 MOST = 3000
 #: Texts that a word must occur in to be weighed.
 LEAST = 5
-#: Strength of the absolute penalty, of the squared one in the second fit, and of the counterfactual one.
-SPARSE, RIDGE, FAIR = 4e-4, 1e-5, 1.0
+#: Strength of the absolute penalty in the first and second fit, of the squared one in the second, and of the counterfactual one.
+SPARSE, AGAIN, RIDGE, FAIR = 4e-4, 1e-4, 1e-5, 1.0
 #: Steps of each fit at most.
-ROUNDS = 150
-#: Counterfactuals made of one text.
-SWAPS = 4
-#: Terms that name groups of people, by kind. Terms of a kind are swapped for one another.
-IDENTITY = {
-    "religion": ["christians", "muslims", "jews", "hindus", "buddhists", "atheists", "catholics", "protestants"],
-    "believer": ["christian", "muslim", "jewish", "hindu", "buddhist", "atheist", "catholic", "protestant"],
-    "people": ["women", "men", "girls", "boys", "immigrants", "refugees", "foreigners", "disabled", "elderly", "teenagers"],
-    "person": ["woman", "man", "girl", "boy", "immigrant", "refugee", "foreigner"],
-    "orientation": ["gay", "lesbian", "bisexual", "transgender", "straight", "queer"],
-    "origin": ["black", "white", "asian", "african", "european", "american", "mexican", "chinese", "indian", "arab"],
-}
-
-
-def _sets(texts: list[bytes]) -> list[np.ndarray]:
-    """The distinct word hashes of each text, worked out in blocks as a chunk of text takes many times its size."""
-    out: list[np.ndarray] = []
-    for _, block in blocks(texts):
-        w = words(block, LETTERS)
-        out += [np.unique(w.hashes[a:b]) for a, b in zip(w.starts[:-1], w.starts[1:])]
-    return out
-
-
-def _hashes(terms: list[str]) -> list[int]:
-    return [int(h) for h in words([t.encode() for t in terms], LETTERS).hashes]
+ROUNDS = 250
+#: Swaps made of one text.
+SWAPS = 3
+#: Terms that name groups of people, by language and kind. Terms of a kind are swapped for one another.
+IDENTITY = [
+    ["christians", "muslims", "jews", "hindus", "buddhists", "atheists", "catholics", "protestants"],
+    ["christian", "muslim", "jewish", "hindu", "buddhist", "atheist", "catholic", "protestant"],
+    ["women", "men", "girls", "boys", "immigrants", "refugees", "foreigners", "teenagers", "pensioners"],
+    ["woman", "man", "girl", "boy", "immigrant", "refugee", "foreigner", "teenager", "pensioner"],
+    ["gay", "lesbian", "bisexual", "transgender", "straight", "queer", "disabled", "deaf", "blind"],
+    ["black", "white", "asian", "african", "european", "american", "mexican", "chinese", "indian", "arab"],
+    ["christen", "muslime", "juden", "hindus", "buddhisten", "atheisten", "katholiken", "protestanten"],
+    ["frauen", "männer", "mädchen", "jungen", "ausländer", "flüchtlinge", "behinderte", "rentner"],
+    ["schwule", "lesben", "schwarze", "weiße", "afrikaner", "araber", "türken", "polen"],
+    ["chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "athées", "catholiques", "protestants"],
+    ["femmes", "hommes", "filles", "garçons", "étrangers", "réfugiés", "handicapés", "retraités"],
+    ["homosexuels", "lesbiennes", "noirs", "blancs", "africains", "arabes", "maghrébins", "roms"],
+    ["cristianos", "musulmanes", "judíos", "hindúes", "budistas", "ateos", "católicos", "protestantes"],
+    ["mujeres", "hombres", "niñas", "niños", "extranjeros", "refugiados", "discapacitados", "jubilados"],
+    ["homosexuales", "lesbianas", "negros", "blancos", "africanos", "árabes", "gitanos", "latinos"],
+]
+
+
+def _grams(data: np.ndarray) -> np.ndarray:
+    """The four bytes from each place on, lower-cased and with blanks between words, as one number; 0 where no word is within."""
+    plain = np.where(LETTERS[data], lowered(data), 32).astype(np.uint32)
+    code = plain[:-3] | plain[1:-2] << np.uint32(8) | plain[2:-1] << np.uint32(16) | plain[3:] << np.uint32(24)
+    code[(plain[1:-2] == 32) | (plain[2:-1] == 32)] = 0
+    return code
+
+
+def _bits(codes: np.ndarray) -> np.ndarray:
+    return (codes * np.uint32(0x9E3779B1)) >> np.uint32(12)
+
+
+class Features:
+    """The place of each known word, by its hash, and of each known n-gram in a table of features."""
+
+    def __init__(self, known_words: np.ndarray, known_grams: np.ndarray):
+        self.words, self.grams = np.unique(known_words), np.unique(known_grams)
+        self.size = len(self.words) + len(self.grams)
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[_bits(self.grams)] = True
+
+    def _at(self, table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(table, values), len(table) - 1)
+        return at, table[at] == values
+
+    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Text and feature of each known feature of each text, once each, sorted."""
+        pairs = [np.zeros(0, np.int64)]
+        for owners, block in parted(texts, LETTERS, whole=False):
+            owner = np.array(owners)
+            w = words(block, LETTERS)
+            if len(self.words):
+                at, known = self._at(self.words, w.hashes)
+                pairs.append(np.unique(np.repeat(owner, np.diff(w.starts))[known] * self.size + at[known]))
+            if len(self.grams):
+                code = _grams(np.concatenate([[np.uint8(32)], w.data, np.full(2, 32, np.uint8)]))
+                hit = np.flatnonzero(self.maybe[_bits(code)])
+                at, known = self._at(self.grams, code[hit])
+                ends = np.cumsum([len(b) + 1 for b in block])
+                pairs.append(np.unique(owner[np.searchsorted(ends, hit[known], "right")] * self.size + len(self.words) + at[known]))
+        every = np.unique(np.concatenate(pairs))
+        return (every // self.size, every % self.size) if self.size else (every, every)
 
 
 @dataclass
 class Model:
-    """hashes, sorted, and the weight of each."""
+    """Features and the weight of each; pairs is the number of counterfactuals of its fit."""
 
-    hashes: np.ndarray
+    features: Features
     weights: np.ndarray
     bias: float
+    pairs: int = 0
+
+    def logits(self, texts: list[bytes]) -> np.ndarray:
+        text, feature = self.features.of(texts)
+        return self.bias + np.bincount(text, self.weights[feature], len(texts))
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        w = words(texts, LETTERS)
-        n = len(texts)
-        logit = np.full(n, self.bias)
-        if len(w.hashes) and len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, w.hashes), len(self.hashes) - 1)
-            known = self.hashes[at] == w.hashes
-            text = np.repeat(np.arange(n), np.diff(w.starts))[known]
-            pairs = np.unique(text * len(self.hashes) + at[known])
-            logit += np.bincount(pairs // len(self.hashes), self.weights[pairs % len(self.hashes)], n)
-        return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-
-
-def swapped(known: np.ndarray, terms: dict[str, list[int]]) -> list[tuple[list[int], list[int]]]:
-    """For a text's set of word hashes: up to SWAPS pairs of terms that go and terms that come."""
-    out = []
-    here = set(known.tolist())
-    for kind in terms.values():
-        there = [t for t in kind if t in here]
-        others = [t for t in kind if t not in here]
-        out += [([t], [o]) for t in there for o in others[:SWAPS]]
-    return out[:SWAPS] if len(out) <= SWAPS else [out[i * len(out) // SWAPS] for i in range(SWAPS)]
+        return 1 / (1 + np.exp(-np.clip(self.logits(texts), -30, 30)))
+
+
+def _vocabulary(texts: list[bytes]) -> np.ndarray:
+    """The hashes of words that at least LEAST texts have."""
+    seen: list[np.ndarray] = []
+    for _, block in parted(texts, LETTERS, whole=False):
+        w = words(block, LETTERS)
+        seen += [np.unique(w.hashes[a:b]) for a, b in zip(w.starts[:-1], w.starts[1:])]
+    found, times = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.uint64), np.zeros(0))
+    return found[times >= LEAST]
+
+
+def _spelled(texts: list[bytes], wanted: np.ndarray) -> list[bytes]:
+    """The words of these hashes, as texts spell them first."""
+    out: dict[int, bytes] = {}
+    left = set(wanted.tolist())
+    for _, block in parted(texts, LETTERS, whole=False):
+        if not left:
+            break
+        w = words(block, LETTERS)
+        for i in np.flatnonzero(np.isin(w.hashes, np.array(sorted(left), np.uint64))):
+            if (h := int(w.hashes[i])) in left:
+                out[h] = w.data[w.begin[i] : w.end[i]].tobytes()
+                left.remove(h)
+    return [out[h] for h in sorted(out)]
+
+
+def counterfactuals(texts: list[bytes], labels: list[int], swaps: int = SWAPS) -> Iterator[tuple[bytes, bytes, bytes]]:
+    """A text without the term, the term, and what comes in its place (b"": nothing).
+
+    Texts that name a term, in order of kinds, give swaps of it; others, by turns, swaps of a term put into them.
+    """
+    kinds = [[t.encode() for t in kind] for kind in IDENTITY]
+    known = {t: kind for kind in reversed(kinds) for t in kind}
+    # longer words first, as a word must match whole
+    word = re.compile(rb"(?<![a-z0-9\x80-\xff])(?:" + b"|".join(sorted(map(re.escape, known), key=len, reverse=True)) + rb")(?![a-z0-9\x80-\xff])", re.IGNORECASE)
+    for i, (text, label) in enumerate(zip(texts, labels)):
+        named = word.search(text)
+        if named:
+            term = named[0].lower()
+            base = re.sub(rb"(?<![a-z0-9\x80-\xff])" + re.escape(term) + rb"(?![a-z0-9\x80-\xff])", b"", text, flags=re.IGNORECASE)
+            kind = known.get(term, [])
+        else:
+            kind, base = kinds[i % len(kinds)], text
+            term = kind[i // len(kinds) % len(kind)]
+        others = [t for t in kind if t != term]
+        first = i % max(1, len(others))
+        for other in (others[first:] + others[:first])[:swaps]:
+            yield base, term, other
+        if label == 0:
+            yield base, term, b""
 
 
 def train(rows: list[tuple[str, int]], counts: dict[int, int], fair: float = FAIR) -> Model:
     have = [sum(1 for _, y in rows if y == c) for c in (0, 1)]
     if not all(have):
-        return Model(np.zeros(0, np.uint64), np.zeros(0), -30.0)
-    y = np.array([c for _, c in rows], float)
-    share = np.array([counts[c] / have[c] for c in (0, 1)])[y.astype(int)]
+        return Model(Features(np.zeros(0, np.uint64), np.zeros(0, np.uint32)), np.zeros(0), -30.0)
+    texts, labels = [t.encode() for t, _ in rows], [c for _, c in rows]
+    y = np.array(labels, float)
+    share = np.array([counts[c] / have[c] for c in (0, 1)])[labels]
     share /= share.sum()
-    sets = _sets([t.encode() for t, _ in rows])
-    words_, times = np.unique(np.concatenate(sets), return_counts=True)
-    terms = {k: _hashes(v) for k, v in IDENTITY.items()}
-    vocabulary = np.unique(np.concatenate([words_[times >= LEAST], np.array(sorted({h for v in terms.values() for h in v}), np.uint64)]))
-    column, row = [], []
-    for i, s in enumerate(sets):
-        at = np.minimum(np.searchsorted(vocabulary, s), len(vocabulary) - 1)
-        at = at[vocabulary[at] == s]
-        column.append(at), row.append(np.full(len(at), i))
-    column, row = np.concatenate(column), np.concatenate(row)
-    n, m = len(rows), len(vocabulary)
-    # counterfactual rows: one more or one less of each swapped term
-    place = lambda h: int(np.searchsorted(vocabulary, np.uint64(h)))
-    change = [[(place(t), 1.0) for t in gone] + [(place(t), -1.0) for t in come] for s in sets for gone, come in swapped(s, terms)]
-    swap = (np.array([i for i, c in enumerate(change) for _ in c], np.int64), np.array([p for c in change for p, _ in c], np.int64), np.array([v for c in change for _, v in c]))
     start = float(np.log(counts[1] / counts[0]))
-    w, b = _fit((row, column), y, share, swap, fair, np.zeros(m), start, SPARSE, 0.0)
-    # the absolute penalty chooses words but also shrinks them; the chosen ones are fitted again without it
-    kept = np.flatnonzero(w)
-    index = np.full(m, -1)
-    index[kept] = np.arange(len(kept))
-    here, there = index[column] >= 0, index[swap[1]] >= 0
-    w, b = _fit((row[here], index[column[here]]), y, share, (swap[0][there], index[swap[1][there]], swap[2][there]), fair, w[kept], b, 0.0, RIDGE)
-    return Model(vocabulary[kept], w, float(b))
+    terms = words(sorted({t.encode() for kind in IDENTITY for t in kind}), LETTERS).hashes
+    # the absolute penalty chooses words but also shrinks them; the chosen ones are fitted again with less of it
+    every = Features(np.concatenate([_vocabulary(texts), terms]), np.zeros(0, np.uint32))
+    w, b = _fit(every.of(texts), y, share, _differences(every, texts, labels)[0], fair, np.zeros(every.size), start, SPARSE, 0.0)
+    bad = _spelled(texts, every.words[w > 0])
+    grams = [np.unique(_grams(np.frombuffer(b" " + x + b"  ", np.uint8))) for x in bad]
+    known = Features(np.concatenate([every.words[w != 0], terms]), np.concatenate([np.zeros(0, np.uint32), *grams]))
+    first = np.zeros(known.size)
+    first[np.searchsorted(known.words, every.words[w != 0])] = w[w != 0]
+    swap, pairs = _differences(known, texts, labels)
+    w, b = _fit(known.of(texts), y, share, swap, fair, first, b, AGAIN, RIDGE)
+    return Model(known, w, float(b), pairs)
+
+
+def _differences(known: Features, texts: list[bytes], labels: list[int]) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], int]:
+    """Sparse rows of the features that counterfactuals lose (1) and win (-1), and how many counterfactuals there are."""
+    made = list(counterfactuals(texts, labels))
+    bases = list(dict.fromkeys(base for base, _, _ in made))
+    number = {base: i for i, base in enumerate(bases)}
+    text, feature = known.of(bases)
+    at = np.searchsorted(text, np.arange(len(bases) + 1))
+    has = [set(feature[x:z].tolist()) for x, z in zip(at, at[1:])]
+    terms = sorted({t for _, *both in made for t in both})
+    text, feature = known.of(terms)
+    adds = {t: set(feature[text == i].tolist()) for i, t in enumerate(terms)}
+    row, column, value = [], [], []
+    for n, (base, term, other) in enumerate(made):
+        own = has[number[base]]
+        goes, comes = adds[term] - own, adds[other] - own
+        for f in sorted(goes ^ comes):
+            row.append(n), column.append(f), value.append(1.0 if f in goes else -1.0)
+    return (np.array(row, np.int64), np.array(column, np.int64), np.array(value)), len(made)
 
 
 def _fit(entries, y: np.ndarray, share: np.ndarray, swap, fair: float, w: np.ndarray, b: float, sparse: float, ridge: float) -> tuple[np.ndarray, float]:
@@ -134,7 +228,7 @@ def _fit(entries, y: np.ndarray, share: np.ndarray, swap, fair: float, w: np.nda
     def smooth(w: np.ndarray, b: float) -> tuple[float, np.ndarray, float]:
         z = np.bincount(row, w[column], n) + b
         loss = share @ np.logaddexp(0, np.where(y > 0, -z, z)) + ridge * (w @ w)
-        r = share * (1 / (1 + np.exp(-z)) - y)
+        r = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
         g = np.bincount(column, r[row], m) + 2 * ridge * w
         if len(crow):
             d = np.bincount(crow, cval * w[ccol], k)

@@ -1,4 +1,5 @@
 import random
+import re
 
 from loomgraph.llm import decontaminate, line_dedup
 from loomgraph.llm.queries import QUERIES
@@ -69,32 +70,78 @@ def test_awkward_rows(spark, odd, none):
     assert line_dedup.deduplicated(none).count() == 0
 
 
-def brute(docs, rare=line_dedup.RARE, block=line_dedup.BLOCK):
-    """The same blocks, by comparing each later document with every earlier first holder of its lines, line by line."""
-    parts = {}
-    for d, t in docs:
-        b, e, h, w, _ = line_dedup.lines([t.encode()])
-        parts[d] = (h.tolist(), w.tolist())
-    first = {}
-    for d in sorted(parts):
-        for h, w in zip(*parts[d]):
-            if w >= rare:
-                first.setdefault(h, d)
-    out = {}
-    for d, (hashes, words) in parts.items():
-        taken = {}
-        for p in {first[h] for h, w in zip(hashes, words) if w >= rare} - {d}:
-            taken |= {i: words[i] for i, _ in line_dedup.patience(hashes, parts[p][0])}
-        out[d] = line_dedup.runs(taken, block)
+def split(text):
+    """A naive splitter: of each line where it begins, its bytes and its words."""
+    out, open_, divides = [], None, True
+    data = text + b"\n"
+    for i, c in enumerate(data):
+        before = data[i - 1 : i] or b"\n"
+        if c in b" \t" and before not in (b" ", b"\t"):
+            divides = before in (b"\n", b".", b"!", b"?")
+        if c == 10 or c in b" \t" and divides:
+            if open_ is not None:
+                out.append((open_, data[open_:i], len(re.findall(rb"[^\x20\x09-\x0d]+", data[open_:i]))))
+            open_ = None
+        elif open_ is None:
+            open_ = i
     return out
 
 
+def brute(docs, block=line_dedup.BLOCK):
+    """The lines that go: of every pair of documents, those in an unbroken common run of block words or more."""
+    parts = {d: split(t.encode()) for d, t in docs}
+    out = {d: set() for d in parts}
+    for d in parts:
+        own = [x for _, x, _ in parts[d]]
+        for p in parts:
+            if p >= d:
+                continue
+            places = {}
+            for j, (_, x, _) in enumerate(parts[p]):
+                places.setdefault(x, []).append(j)
+            match = {(i, j) for i, x in enumerate(own) for j in places.get(x, ())}
+            for i, j in match:
+                if (i - 1, j - 1) not in match:
+                    n = 0
+                    while (i + n, j + n) in match:
+                        n += 1
+                    if sum(w for _, _, w in parts[d][i : i + n]) >= block:
+                        out[d] |= set(range(i, i + n))
+    return out
+
+
+def left(text, gone):
+    """The text without these lines and what follows each."""
+    begin = [b for b, _, _ in split(text)]
+    ends = [*begin[1:], len(text)]
+    out = text[: begin[0]] + b"".join(text[b:e] for i, (b, e) in enumerate(zip(begin, ends)) if i not in gone) if begin else text
+    return out.rstrip(b"\n\t ") if len(begin) - 1 in gone else out
+
+
+def test_lines_against_a_naive_splitter(monkeypatch):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("ab. !?\n\t\x0bé") for _ in range(rng.randrange(0, 80))).encode() for _ in range(200)] + [b"", b"x" * 300, b"a.  \t " * 60, b" " * 200]
+    for size in (line_dedup.SLICE, 16):
+        monkeypatch.setattr(line_dedup, "SLICE", size)
+        begin, end, hashed, words, starts = line_dedup.lines(texts)
+        for t, a, b in zip(texts, starts, starts[1:]):
+            assert [(x, t[x:y], w) for x, y, w in zip(begin[a:b], end[a:b], words[a:b])] == split(t)
+        seen = {}
+        for t, a, b in zip(texts, starts, starts[1:]):
+            for x, y, h in zip(begin[a:b], end[a:b], hashed[a:b]):
+                assert seen.setdefault(t[x:y], h) == h
+        assert len(set(seen.values())) == len(seen)
+
+
 def test_line_query(spark, sf):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     want = brute(docs)
+    assert sum(map(bool, want.values())) > 10
+    words = {d: [w for _, _, w in split(t.encode())] for d, t in docs}
     for r in QUERIES["op10_line_dedup"](spark, sf).collect():
-        text = dict(docs)[r["doc_id"]].encode()
-        assert r["removed_lines"] == len(want[r["doc_id"]]) and r["text"].encode() == line_dedup.without(text, want[r["doc_id"]])
+        d = r["doc_id"]
+        assert r["removed_lines"] == len(want[d]) and r["text"].encode() == left(dict(docs)[d].encode(), want[d])
+        assert r["removed_words"] == sum(words[d][i] for i in want[d]) and bool(r["partners"]) == bool(want[d])
 
 
 def test_a_shared_passage_goes_from_later_documents(spark):
@@ -104,15 +151,19 @@ def test_a_shared_passage_goes_from_later_documents(spark):
     assert sum("shared7" in r["text"] for r in rows) == 1 and all(f"end number {r['doc_id']} " in r["text"] and f"beginning {r['doc_id']} " in r["text"] for r in rows)
 
 
-def test_patience_is_a_common_subsequence():
+def test_chains_ascend_and_the_first_is_longest():
     rng = random.Random(4)
     for _ in range(300):
-        a, b = ([rng.randrange(12) for _ in range(rng.randrange(25))] for _ in range(2))
-        pairs = line_dedup.patience(a, b)
-        assert all(a[i] == b[j] for i, j in pairs) and pairs == sorted(pairs)
-        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
-    same = list(range(30))
-    assert line_dedup.patience(same, same) == [(i, i) for i in same]
+        there = [rng.randrange(12) for _ in range(rng.randrange(25))]
+        got = line_dedup.chains(there)
+        for c in set(got):
+            chain = [y for y, g in zip(there, got) if g == c]
+            assert all(x < y for x, y in zip(chain, chain[1:]))
+        best = [0] * len(there)
+        for i, y in enumerate(there):
+            best[i] = 1 + max([best[j] for j in range(i) if there[j] < y], default=0)
+        assert got.count(0) == max(best, default=0)
+    assert line_dedup.chains(list(range(30))) == [0] * 30 and len(set(line_dedup.chains(list(range(30, 0, -1))))) == 30
 
 
 def test_copies_of_short_lines_alone_go(spark):
@@ -126,17 +177,6 @@ def test_copies_of_short_lines_alone_go(spark):
     assert rows[4]["text"] == "My own words come first here.\nand last" and rows[4]["removed_lines"] == 20
 
 
-def in_earlier(docs, block=line_dedup.BLOCK):
-    """Of each document: the lines within any run of block words or more that an earlier document holds, by all runs."""
-    held, out = {}, {}
-    for d, t in sorted(docs):
-        _, _, h, w, _ = (x.tolist() for x in line_dedup.lines([t.encode()]))
-        runs = [(i, j) for i in range(len(h)) for j in range(i + 1, len(h) + 1) if sum(w[i:j]) >= block]
-        out[d] = {x for i, j in runs if tuple(h[i:j]) in held for x in range(i, j)}
-        held |= {tuple(h[i:j]): d for i, j in runs}
-    return out
-
-
 def test_every_run_that_an_earlier_document_has_goes(spark):
     rng = random.Random(6)
     passage = lambda name, n, k: [" ".join(f"{name}{i}w{x}" for x in range(k)) + "." for i in range(n)]
@@ -152,7 +192,40 @@ def test_every_run_that_an_earlier_document_has_goes(spark):
     few = [" ".join(f"v{i}w{x}" for x in range(n)) + "." for i, n in enumerate((1, 2, 3, 4, 7, 11, 21, 5, 6, 1))]
     texts += [[few[rng.randrange(len(few))] for _ in range(rng.randrange(1, 25))] for _ in range(40)]
     docs = [(d, "\n".join(t)) for d, t in enumerate(texts)]
-    want = in_earlier(docs)
-    found = {x["doc_id"]: set(x["gone"]) for x in line_dedup.aligned(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert all(want[d] <= found.get(d, set()) for d, _ in docs)
-    assert all(found.get(d, set()) == want[d] for d in range(12))
+    want = brute(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for rare in (0, 3, line_dedup.RARE):
+        found = {x["doc_id"]: x["blocks"] for x in line_dedup.aligned(df, rare=rare).collect()}
+        assert {d: set(line_dedup.gone(found.get(d, []))) for d, _ in docs} == want
+        held = {d: [x for _, x, _ in split(t.encode())] for d, t in docs}
+        words = {d: [w for _, _, w in split(t.encode())] for d, t in docs}
+        for d, blocks in found.items():
+            for b in blocks:
+                # every block lies unbroken in its partner, and has enough words by itself
+                n = b["end"] - b["begin"]
+                assert b["partner"] < d and held[d][b["begin"] : b["end"]] == held[b["partner"]][b["there"] : b["there"] + n]
+                assert sum(words[d][b["begin"] : b["end"]]) >= line_dedup.BLOCK
+
+
+def test_blocks_are_measured_within_one_partner(spark):
+    line = lambda name, n: " ".join(f"{name}{i}" for i in range(n)) + "."
+    shared, ten = line("l", 12), [line(f"s{i}x", 4) for i in range(10)]
+    texts = [shared, "\n".join([shared, *ten]), "\n".join([shared, *ten])]
+    # three lines, each of another earlier document, are no block of any
+    texts += [line("a", 9), line("b", 9), line("c", 9), "\n".join([line("a", 9), line("b", 9), line("c", 9)])]
+    rows = {r["doc_id"]: r for r in line_dedup.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [rows[i]["text"] for i in (0, 1, 3, 4, 5, 6)] == [texts[i] for i in (0, 1, 3, 4, 5, 6)]
+    assert rows[2]["text"] == "" and rows[2]["partners"] == [1]
+
+
+def test_clashing_columns_and_shuffled_documents(spark, monkeypatch):
+    line = " ".join(f"w{i}" for i in range(30)) + "."
+    rows = [(0, line, 5, "x", 1, 2, 3, 4, 5, 6), (1, line, 6, "y", 1, 2, 3, 4, 5, 6), (1, line, 7, "y", 1, 2, 3, 4, 5, 6), (1, "another version", 8, "z", 1, 2, 3, 4, 5, 6), (None, line, 9, "n", 1, 2, 3, 4, 5, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, removed_lines int, partners string, _gone int, _doc int, doc int, version int, blocks int, row int")
+    for most in (line_dedup.BROADCAST_LINES, -1):
+        monkeypatch.setattr(line_dedup, "BROADCAST_LINES", most)
+        got = line_dedup.deduplicated(df)
+        assert got.columns == [*df.columns, "removed_lines_", "removed_words", "partners_"] == [*df.columns, *line_dedup.report_names(df.columns)]
+        found = sorted(got.collect(), key=lambda r: r["removed_lines"])
+        assert [(r["text"], r["removed_lines_"]) for r in found] == [(line, 0), ("", 1), ("", 1), ("another version", 0), (line, 0)]
+        assert all(tuple(r)[2:10] == o[2:] for r, o in zip(found, rows))

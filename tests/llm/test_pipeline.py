@@ -1,13 +1,14 @@
 import hashlib
 
 import corpus_pipeline
-from loomgraph.llm import decontaminate, line_dedup, toxicity
+from loomgraph.llm import decontaminate, toxicity
 from loomgraph.llm.queries import ranks_path
 
 
 def test_stages_by_brute_force(spark, sf):
     """Each stage's decisions, worked out once more without Spark's operators where that is possible."""
     from tests.llm.test_lines_and_benchmark import brute as line_brute
+    from tests.llm.test_lines_and_benchmark import left
     from tests.llm.test_near_dedup import brute as near_brute
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -16,7 +17,7 @@ def test_stages_by_brute_force(spark, sf):
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     texts = {d: t for d, t in texts.items() if model.scores([t.encode()])[0] < 0.5}
     gone = line_brute(list(texts.items()))
-    texts = {d: line_dedup.without(t.encode(), gone[d]).decode() for d, t in texts.items()}
+    texts = {d: left(t.encode(), gone[d]).decode() for d, t in texts.items()}
     near = near_brute(list(texts.items()))
     texts = {d: t for d, t in texts.items() if near[d][1] == d}
     items = [p for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if (p := decontaminate.fold(r["text"]))]
