@@ -27,7 +27,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     out = line_dedup.deduplicated(docs)
     if "n_chars" in names:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("removed_lines") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+        removed = line_dedup.report_names(names)[0]
+        out = out.withColumn("n_chars", F.when(F.col(f"`{removed}`") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return out.select(*[F.col(f"`{n}`") for n in names])
 
 
