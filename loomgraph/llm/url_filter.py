@@ -1,32 +1,37 @@
 """URL rules by a sort-merge range join over reversed-host keys, with DataFrame functions only.
 
-A rule is a host and a path prefix. Its key is the host's labels in reverse order, a separator and the path, so that the
-rule holds exactly the keys that begin with it: an interval. A url has one key for each suffix of its host, as a rule
-also fits all subdomains. Rules are swept once in sorted order with a stack of those still open, which turns the nested
-intervals into boundaries that each carry the innermost open rule. Boundaries and url keys are then merged in sorted
-order, and each url key takes the rule of the last boundary before it; of a url's keys, that with the longest rule wins.
+A rule is a host and a path prefix. Its key is the host's labels in reverse order, then the path, so that of one host's
+keys the rule holds an interval: from the path's bytes up to those bytes with one above all bytes of UTF-8 behind them. A
+url has one key for each suffix of its host, as a rule also fits all subdomains.
 
-Url keys are dealt by the hash of their row, so a hot host is spread evenly, and each run gets all boundaries. The rules
-are a list on the driver; the number of runs falls where there are many, so that at most ``COPIES`` boundaries are made.
+Each host's rules are swept in sorted order with a stack of those still open, kept by levels: the number of open rules
+is a running sum, and what is open at a level is the last rule that opened there. This turns nested intervals into
+boundaries that each carry the innermost open rule. Boundaries and url keys are then merged in sorted order, and each key
+takes the rule of the last boundary before it; of a url's keys, that with the longest rule wins.
+
+Only distinct pairs of host and path whose suffix some rule names are merged. A run is one reversed host; a host with
+many keys is cut into salted runs, each of at least ``RUN_ROWS`` keys and of as many as the host has boundaries, so that
+copies of boundaries never outnumber the keys. Any number of rules keeps as many runs as it has hosts.
 
 Defined cases: a null url or one without "://" has an empty host and path and fits no rule; hosts keep ports and user
-names; of equal rules the later counts; repeated rows are judged each for itself; no rules: no row fits; an empty table
-gives no rows; other columns are not read.
+names; rules' hosts are lower-cased as urls' are, A-Z alone, and a null host, path or verdict of a rule is an empty one;
+of rules with equal host and path the later counts, and of fitting rules of equal length that with the longer host;
+repeated rows are judged each for itself; no rules: no row fits; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Runs of url keys.
-RUNS = 1024
-#: Boundaries in all runs together.
-COPIES = 2_000_000
-#: Stands between host and path, and above it a character that no valid text has, for the end of an interval.
-_BREAK, _ABOVE = "\x00", "\U0010ffff"
+from .common import forget, written
+
+#: Keys of a run of a host that has many, at least.
+RUN_ROWS = 500_000
+#: Hosts of rules that may be broadcast (some 50 bytes each); more are joined by shuffles.
+BROADCAST_HOSTS = 200_000
 
 
 @dataclass(frozen=True)
@@ -36,10 +41,14 @@ class Rule:
     verdict: str
 
 
+def lowered(host: Column) -> Column:
+    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """The host, A-Z as lower case, and the path of urls."""
     rest = F.when(F.contains(url, F.lit("://")), F.substr(url, F.locate("://", url) + 3))
-    host = F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    host = lowered(F.regexp_extract(rest, r"^[^/?#]*", 0))
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
     return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
 
@@ -48,52 +57,54 @@ def _reversed(labels: Column) -> Column:
     return F.array_join(F.reverse(labels), ".")
 
 
-def boundaries(rules: DataFrame) -> DataFrame:
-    """Of rules (key, rule, verdict): the keys where the innermost open rule changes, with that rule or null.
+def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
+    """``seq, host, path, verdict`` of a list of rules."""
+    return spark.createDataFrame([(i, r.host, r.path, r.verdict) for i, r in enumerate(rules)], "seq long, host string, path string, verdict string")
+
 
-    One sorted array of starts and ends is swept with a stack. An end sorts after everything that its rule holds.
+def boundaries(rules: DataFrame) -> DataFrame:
+    """``key, at, rule, verdict, host_length``: the places within each reversed host where the innermost open rule changes."""
+    text = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(""))
+    once = rules.select(lowered(text("host")).alias("host"), text("path").alias("path"), text("verdict").alias("verdict"), "seq").groupBy("host", "path").agg(F.max_by("verdict", "seq").alias("verdict"))
+    mark = F.struct(F.concat("host", "path").alias("rule"), "verdict", F.length("host").alias("host_length"))
+    start = F.col("path").cast("binary")
+    events = once.select(_reversed(F.split("host", r"\.")).alias("key"), F.explode(F.array(
+        F.struct(start.alias("at"), F.lit(1).alias("opens"), mark.alias("mark")),
+        F.struct(F.concat(start, F.unhex(F.lit("FF"))).alias("at"), F.lit(-1).alias("opens"), F.lit(None).cast("struct<rule: string, verdict: string, host_length: int>").alias("mark")),
+    )).alias("e")).select("key", "e.*")
+    depth = F.sum("opens").over(Window.partitionBy("key").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    # at an end, what is still open around it opened last at the level that is left
+    open_ = F.last("mark", ignorenulls=True).over(Window.partitionBy("key", "depth").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    levels = events.withColumn("depth", depth).withColumn("open", F.when(F.col("depth") > 0, open_))
+    return levels.select("key", "at", "open.rule", "open.verdict", "open.host_length")
+
+
+def judge(pages: DataFrame, rules: list[Rule] | DataFrame, default: str = "allow") -> DataFrame:
+    """``page_id, host, path, rule, verdict`` of every row; default is the verdict where no rule fits.
+
+    Rules are a list, or a table of seq, host, path and verdict.
     """
-    events = rules.select(F.explode(F.array(
-        F.struct(F.col("key").alias("at"), F.lit(True).alias("opens"), "rule", "verdict"),
-        F.struct(F.concat("key", F.lit(_ABOVE)).alias("at"), F.lit(False).alias("opens"), "rule", "verdict"),
-    )).alias("e"))
-    swept = events.agg(F.sort_array(F.collect_list("e")).alias("events"))
-    entry = "struct<rule: string, verdict: string>"
-    start = F.struct(F.array().cast(f"array<{entry}>").alias("stack"), F.array().cast(f"array<struct<at: string, rule: string, verdict: string>>").alias("out"))
-
-    def step(state: Column, e: Column) -> Column:
-        pushed = F.concat(state["stack"], F.array(F.struct(e["rule"].alias("rule"), e["verdict"].alias("verdict"))))
-        stack = F.when(e["opens"], pushed).otherwise(F.slice(state["stack"], 1, F.greatest(F.size(state["stack"]) - 1, F.lit(0))))
-        top = F.try_element_at(stack, F.lit(-1))
-        mark = F.struct(e["at"].alias("at"), top["rule"].alias("rule"), top["verdict"].alias("verdict"))
-        return F.struct(stack.alias("stack"), F.concat(state["out"], F.array(mark)).alias("out"))
-
-    return swept.select(F.explode(F.aggregate("events", start, step)["out"]).alias("m")).select("m.*")
-
-
-def judge(pages: DataFrame, rules: list[Rule], default: str = "allow") -> DataFrame:
-    """``page_id, host, path, rule, verdict`` of every row; default is the verdict where no rule fits."""
     spark = pages.sparkSession
-    unique = {(r.host.lower(), r.path): r.verdict for r in rules}
-    listed = [(".".join(reversed(h.split("."))) + _BREAK + p, h + p, v) for (h, p), v in unique.items()]
-    marks = boundaries(spark.createDataFrame(listed, "key string, rule string, verdict string")) if listed else spark.createDataFrame([], "at string, rule string, verdict string")
-    runs = max(1, min(RUNS, COPIES // max(1, 2 * len(listed))))
+    marks = written(boundaries(rule_table(spark, rules) if isinstance(rules, list) else rules), "boundaries")
+    hosts = marks.groupBy("key").agg(F.count("*").alias("marks"))
+    small = hosts.count() <= BROADCAST_HOSTS
+    sent = F.broadcast if small else lambda df: df
     host, path = host_and_path(F.col("url").cast("string"))
-    urls = pages.select("page_id", host.alias("host"), path.alias("path"), F.pmod(F.xxhash64("page_id", "url"), F.lit(runs)).cast("int").alias("run"))
-    # all suffixes of the host, the whole one first; the keys stay within the row's run
+    urls = pages.select("page_id", host.alias("host"), path.alias("path"))
+    # all suffixes of the host, the whole one first
     labels = F.split("host", r"\.")
-    keys = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(_reversed(F.slice(labels, i, F.size(labels))), F.lit(_BREAK), F.col("path")))
-    order = Window.partitionBy("run").orderBy("page_id", "host", "path")
-    numbered = urls.withColumn("row", F.row_number().over(order))
-    probes = numbered.select("run", "row", F.explode(keys).alias("at"), F.lit(True).alias("probe"), "page_id", "host", "path")
-    none = lambda kind: F.lit(None).cast(kind)
-    copies = marks.select(F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"), "at", "rule", "verdict")
-    page = dict(pages.dtypes)["page_id"]
-    merged = probes.select("run", "at", "probe", "row", "page_id", "host", "path", none("struct<rule: string, verdict: string>").alias("mark")).unionByName(
-        copies.select("run", "at", F.lit(False).alias("probe"), none("int").alias("row"), none(page).alias("page_id"), none("string").alias("host"), none("string").alias("path"), F.struct("rule", "verdict").alias("mark"))
-    )
-    sweep = Window.partitionBy("run").orderBy("at", "probe").rowsBetween(Window.unboundedPreceding, 0)
-    found = merged.withColumn("mark", F.last("mark", ignorenulls=True).over(sweep)).where("probe")
-    best = F.max(F.struct(F.coalesce(F.length("mark.rule"), F.lit(-1)).alias("n"), F.col("mark.rule").alias("rule"), F.col("mark.verdict").alias("verdict")))
-    chosen = found.groupBy("run", "row", "page_id", "host", "path").agg(best.alias("best"))
-    return chosen.select("page_id", "host", "path", "best.rule", F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: _reversed(F.slice(labels, i, F.size(labels))))
+    probes = urls.select("host", "path").distinct().select("host", "path", F.explode(suffixes).alias("key")).join(sent(hosts.select("key")), "key", "left_semi")
+    probes = written(probes, "probes")
+    counts = probes.groupBy("key").agg(F.count("*").alias("probes"))
+    salts = counts.join(sent(hosts), "key").select("key", F.ceil(F.col("probes") / F.greatest(F.lit(RUN_ROWS), "marks")).alias("salts"))
+    salts = written(salts, "salts")
+    kept = probes.join(sent(salts), "key").select("key", F.pmod(F.xxhash64("host", "path"), "salts").alias("salt"), F.col("path").cast("binary").alias("at"), F.lit(True).alias("probe"), F.struct("host", "path").alias("url"), F.lit(None).cast("struct<rule: string, verdict: string, host_length: int>").alias("mark"))
+    copies = marks.join(sent(salts), "key").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), "at", F.lit(False).alias("probe"), F.lit(None).cast("struct<host: string, path: string>").alias("url"), F.struct("rule", "verdict", "host_length").alias("mark"))
+    sweep = Window.partitionBy("key", "salt").orderBy("at", "probe").rowsBetween(Window.unboundedPreceding, 0)
+    found = kept.unionByName(copies).withColumn("mark", F.last("mark", ignorenulls=True).over(sweep)).where("probe and mark.rule is not null")
+    best = F.max(F.struct(F.length("mark.rule").alias("n"), F.col("mark.host_length").alias("host_length"), F.col("mark.rule").alias("rule"), F.col("mark.verdict").alias("verdict")))
+    chosen = written(found.groupBy("url.host", "url.path").agg(best.alias("best")), "chosen")
+    forget(marks, probes, salts)
+    out = urls.join(chosen, ["host", "path"], "left")
+    return out.select("page_id", "host", "path", "best.rule", F.coalesce("best.verdict", F.lit(default)).alias("verdict"))

@@ -1,5 +1,8 @@
 import collections
 import gzip
+import time
+
+from pyspark.sql import functions as F
 
 from loomgraph.llm import sharding, url_filter, warc
 from loomgraph.llm.queries import ORACLES, QUERIES, URL_RULES
@@ -37,14 +40,16 @@ def brute(url, rules, default="allow"):
     host, tail = rest[:stop], rest[stop:]
     host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
     path = tail[: min([i for c in "?#" if (i := tail.find(c)) >= 0], default=len(tail))]
-    fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
-    best = max(fits, key=lambda r: len(r.host + r.path), default=None)
-    return host, path, best and best.host + best.path, best.verdict if best else default
+    low = lambda x: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x)
+    fits = [r for r in rules if (host == low(r.host) or host.endswith("." + low(r.host))) and path.startswith(r.path)]
+    best = max(fits, key=lambda r: (len(r.host + r.path), len(r.host), rules.index(r)), default=None)
+    return host, path, best and low(best.host) + best.path, best.verdict if best else default
 
 
 URLS = [
     "http://WWW.Example.COM/en/x?y#z", "https://a.b.net/es/", "net/es/", "http://net/es", "http://net/es/", "http://xnet/es/q", "ftp://user@h.example.com:80/en/a://b", None, "", "://", "x://", "http://com",
     "http://com/", "http://example.com/EN/", "http://example.com/en", "http://example.com/en//", "http://www.example.com/en/?", "http://ÄB.com/ä", "http://a..com/x", "no scheme", "http://a.net/fr/é\x01", "http://.net/fr/",
+    "http://x.com/\U0010ffffabc", "http://x.com/\U0010ffff", "http://ÄB.com/", "http://q.ÄB.com/ab", "http://a.b.com/ab", "http://a.b.com/abc", "http://x.com/a/b/c/d", "http://x.com/a/b", "http://x.com/a/c", "http://x.com/a0", "http://x.com/a/b/",
 ]
 
 
@@ -52,15 +57,40 @@ def test_rules_against_brute_force(spark):
     rows = [(i, u, "h", "p") for i, u in enumerate(URLS)] + [(3, URLS[3], "h", "p"), (None, URLS[0], "h", "p")]
     pages = spark.createDataFrame(rows, "page_id long, url string, host string, path string")
     extra = [*URL_RULES, url_filter.Rule("example.com", "/", "block"), url_filter.Rule("b.net", "/es/", "allow"), url_filter.Rule("net", "/e", "allow")]
-    for rules in (URL_RULES, extra, []):
+    nested = [url_filter.Rule("x.com", p, f"v{i}") for i, p in enumerate(["/a/b/c", "/a", "/a/b", "/a/b/c/", "/a/c", "", "/\U0010ffff"])]
+    ties = [url_filter.Rule("b.com", "/ab", "one"), url_filter.Rule("a.b.com", "/", "two"), url_filter.Rule("ÄB.COM", "/", "block"), url_filter.Rule("com", "/", "block")]
+    for rules in (URL_RULES, extra, nested, ties, [*extra, *nested, *ties, url_filter.Rule("X.com", "/a", "later")], []):
         got = url_filter.judge(pages, rules).collect()
         assert len(got) == len(rows)
+        last = list({(r.host.lower() if r.host.isascii() else r.host, r.path): r for r in rules}.values())
         for r in got:
             if r["page_id"] is not None:
-                assert (r["host"], r["path"], r["rule"], r["verdict"]) == brute(URLS[r["page_id"]], rules)
+                assert (r["host"], r["path"], r["rule"], r["verdict"]) == brute(URLS[r["page_id"]], last)
     assert url_filter.judge(pages.limit(0), URL_RULES).count() == 0
 
 
+def test_many_runs_and_shuffled_hosts(spark, monkeypatch):
+    rows = [(i, f"http://{'abc'[i % 3]}.x.com/a/{i % 50}/b{i}") for i in range(300)]
+    rules = [url_filter.Rule("com", "/a/", "com"), *[url_filter.Rule("x.com", f"/a/{i}/", f"x{i}") for i in range(0, 50, 2)], url_filter.Rule("b.x.com", "/a/4/", "b")]
+    monkeypatch.setattr(url_filter, "RUN_ROWS", 7)
+    monkeypatch.setattr(url_filter, "BROADCAST_HOSTS", 0)
+    for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), rules).collect():
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == brute(rows[r["page_id"]][1], rules)
+
+
+def test_a_million_rules(spark):
+    """Half of them nested on one host, the others one to a host; within two minutes."""
+    began = time.monotonic()
+    n = 1_000_000
+    i = F.col("id")
+    hot = F.concat(F.lit("/p"), (i % 1000).cast("string"), F.lit("/"), F.when(i >= 1000, F.concat((i / 1000).cast("long").cast("string"), F.lit("/"))).otherwise(""))
+    rules = spark.range(n).select(i.alias("seq"), F.when(i < n / 2, "hot.com").otherwise(F.concat(F.lit("h"), i.cast("string"), F.lit(".net"))).alias("host"), F.when(i < n / 2, hot).otherwise("/").alias("path"), F.concat(F.lit("v"), i.cast("string")).alias("verdict"))
+    urls = [("http://www.hot.com/p7/499/x", "v499007"), ("http://hot.com/p7/5000/x", "v7"), ("http://hot.com/q", "allow"), ("http://a.h999999.net/", "v999999"), ("http://h1.net/", "allow")]
+    pages = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(urls)], "page_id long, url string")
+    assert {r["page_id"]: r["verdict"] for r in url_filter.judge(pages, rules).collect()} == {k: v for k, (_, v) in enumerate(urls)}
+    assert time.monotonic() - began < 120
+
+
 def test_rules_query_is_native(spark, sf):
     df = QUERIES["op4_url_rules"](spark, sf)
     plan = df._jdf.queryExecution().toString()
