@@ -4,20 +4,24 @@ Text is split into pieces by the tokenizer's pattern. Each distinct piece that i
 token-position rows; a recursive query joins adjacent pairs with the merge table and contracts each piece's leftmost
 pair of minimum rank until no pair is left. An ordered aggregation over token rows joins the vocabulary for decoding.
 
-Defined cases: a null text counts as empty (no ids, empty bytes); repeated rows are encoded each for itself; other
-columns pass through unless they bear the name of an output column, which then replaces them. Pieces of more than
-``MAX_ROWS`` bytes (no white space, one class of characters throughout) would need a number of rows that is quadratic
-in their length; those take the same merges, in the same order, from a heap instead.
+The query has two forms. That for most pieces appends a piece's rows anew in each round, one contraction a round, which is
+fastest for many short pieces. Pieces of more than ``MAX_ROWS`` bytes (no white space, one class of characters throughout)
+keep their rows in place instead, keyed by position, and contract in one round all occurrences of the pair of minimum
+rank, from the left, that do not overlap. That is the same as one after the other unless the new token may itself be
+part of a pair of still lower rank; for such tokens a round contracts the leftmost alone.
+
+Defined cases: a null text counts as empty (no ids, empty bytes); repeated rows are encoded each for itself; an empty
+table gives no rows; other columns pass through unless they bear the name of an output column, which then replaces them.
+Ranks are below 2**31, and every single byte has one.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import re
 from collections.abc import Iterator
-from functools import cached_property, lru_cache
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -30,7 +34,7 @@ from .common import lean, ship
 
 #: Ids that are decoded at once.
 RUN = 200_000
-#: Pieces longer than this many bytes are merged with a heap.
+#: Pieces longer than this many bytes keep their rows in place.
 MAX_ROWS = 200
 
 
@@ -53,28 +57,54 @@ _OTHER, _LETTER, _NUMBER, _SPACE, _EDGE = 0, 1, 2, 3, 4
 
 ENCODE_SQL = """
 WITH RECURSIVE step(i, w, p, t, nt, k) AS (
-  SELECT 0, x.w, x.p, x.t, x.nt, m.n::BIGINT * 65536 + x.p
+  SELECT 0, x.w, x.p, x.t, x.nt, m.n::BIGINT * 4294967296 + x.p
   FROM (SELECT w, p, t, lead(t) OVER (PARTITION BY w ORDER BY p) AS nt FROM pieces) x
-  LEFT JOIN merges m ON m.pair = x.t::BIGINT * 65536 + x.nt
+  LEFT JOIN merges m ON m.pair = x.t::BIGINT * 4294967296 + x.nt
   UNION ALL
-  SELECT y.i + 1, y.w, y.p, y.t, y.nt, CASE WHEN y.changed THEN m.n::BIGINT * 65536 + y.p ELSE y.k END
+  SELECT y.i + 1, y.w, y.p, y.t, y.nt, CASE WHEN y.changed THEN m.n::BIGINT * 4294967296 + y.p ELSE y.k END
   FROM (
     SELECT s.i, s.w, s.p, s.k, s.p = b.at OR s.p = b.before AS changed,
       CASE WHEN s.p = b.at THEN b.made ELSE s.t END AS t,
       CASE WHEN s.p = b.at THEN b.beyond WHEN s.p = b.before THEN b.made ELSE s.nt END AS nt
     FROM step s JOIN (
-      SELECT a.w, (a.mk & 65535)::INT AS at, (a.mk >> 16)::INT AS made,
-        max(s.p) FILTER (s.p < (a.mk & 65535)) AS before, min(s.p) FILTER (s.p > (a.mk & 65535)) AS gone,
-        arg_min(s.nt, s.p) FILTER (s.p > (a.mk & 65535)) AS beyond
+      SELECT a.w, (a.mk & 4294967295)::INT AS at, (a.mk >> 32)::INT AS made,
+        max(s.p) FILTER (s.p < (a.mk & 4294967295)) AS before, min(s.p) FILTER (s.p > (a.mk & 4294967295)) AS gone,
+        arg_min(s.nt, s.p) FILTER (s.p > (a.mk & 4294967295)) AS beyond
       FROM step s JOIN (SELECT w, min(k) AS mk FROM step WHERE k IS NOT NULL GROUP BY w) a ON s.w = a.w
       GROUP BY ALL) b ON s.w = b.w
     WHERE s.p <> b.gone) y
-  LEFT JOIN merges m ON y.changed AND m.pair = y.t::BIGINT * 65536 + y.nt
+  LEFT JOIN merges m ON y.changed AND m.pair = y.t::BIGINT * 4294967296 + y.nt
 )
 SELECT s.w, s.p, s.t FROM step s JOIN (SELECT w, max(i) AS i FROM step GROUP BY w) l ON s.w = l.w AND s.i = l.i
 ORDER BY s.w, s.p
 """
 
+#: The same in place: np is the position of the next token, n the rank of the pair with it; tokens that are gone are null.
+LONG_SQL = """
+WITH RECURSIVE s(w, p, t, np, n) USING KEY (w, p) AS (
+  SELECT x.w, x.p, x.t, x.np, m.n
+  FROM (SELECT w, p, t, lead(t) OVER o AS nt, lead(p) OVER o AS np FROM pieces WINDOW o AS (PARTITION BY w ORDER BY p)) x
+  LEFT JOIN merges m ON m.pair = x.t::BIGINT * 4294967296 + x.nt
+  UNION (
+  WITH best AS (SELECT w, min(n) AS n FROM recurring.s GROUP BY w),
+  hits AS (SELECT s.w, s.p, s.np, s.n, CASE WHEN lag(s.np) OVER (PARTITION BY s.w ORDER BY s.p) = s.p THEN 0 ELSE 1 END AS opens
+    FROM recurring.s s JOIN best b ON s.w = b.w AND s.n = b.n),
+  islands AS (SELECT *, sum(opens) OVER (PARTITION BY w ORDER BY p) AS island, row_number() OVER (PARTITION BY w ORDER BY p) AS place FROM hits),
+  chosen AS (SELECT w, p, np AS q, n AS made FROM islands
+    QUALIFY row_number() OVER (PARTITION BY w, island ORDER BY p) % 2 = 1 AND (place = 1 OR NOT EXISTS (FROM early e WHERE e.t = n))),
+  c AS (SELECT c.w, c.p, c.q, c.made, s.np AS r FROM chosen c JOIN recurring.s s ON s.w = c.w AND s.p = c.q),
+  changed AS (
+    SELECT c.w, c.p, c.made AS t, c.r AS np, coalesce(e.made, s.t) AS nt
+    FROM c LEFT JOIN c e ON e.w = c.w AND e.p = c.r LEFT JOIN recurring.s s ON s.w = c.w AND s.p = c.r
+    UNION ALL
+    SELECT x.w, x.p, x.t, x.np, c.made FROM recurring.s x JOIN c ON x.w = c.w AND x.np = c.p
+    WHERE x.t IS NOT NULL AND NOT EXISTS (FROM c g WHERE g.w = x.w AND g.q = x.p))
+  SELECT d.w, d.p, d.t, d.np, m.n FROM changed d LEFT JOIN merges m ON m.pair = d.t::BIGINT * 4294967296 + d.nt
+  UNION ALL SELECT w, q, NULL, NULL, NULL FROM c)
+)
+SELECT w, p, t FROM s WHERE t IS NOT NULL ORDER BY w, p
+"""
+
 DECODE_SQL = """
 SELECT d, unhex(string_agg(b, '' ORDER BY p)) AS bytes FROM tokens JOIN vocabulary USING (t) GROUP BY d ORDER BY d
 """
@@ -158,8 +188,6 @@ class Coder:
 
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        if len(self.ranks) and max(self.ranks.values()) >= 65536:
-            raise ValueError("ranks must be below 65536")
         self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         left, right, new = [], [], []
         for b, i in self.ranks.items():
@@ -167,10 +195,10 @@ class Coder:
                 x, y = self.ranks.get(b[:k]), self.ranks.get(b[k:])
                 if x is not None and y is not None:
                     left.append(x), right.append(y), new.append(i)
-        pair = np.array(left, np.int64) * 65536 + np.array(right, np.int64)
-        self.pairs = (pair, new)
+        left, right, new = (np.array(x, np.int64) for x in (left, right, new))
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
-        self._make("merges", pa.table({"pair": pair, "n": np.array(new, np.int32)}))
+        self._make("merges", pa.table({"pair": left * 4294967296 + right, "n": new.astype(np.int32)}))
+        self._make("early", pa.table({"t": np.unique(np.concatenate([left[new < left], right[new < right]])).astype(np.int32)}))
         self._make("vocabulary", pa.table({"t": np.array(list(self.ranks.values()), np.int32), "b": [b.hex() for b in self.ranks]}))
         self.reset()
 
@@ -189,44 +217,21 @@ class Coder:
         ends = np.cumsum(sizes)
         self.starts += (self.total + ends - sizes).tolist()
         self.sizes += sizes.tolist()
-        self.parts.append(ids.astype(np.uint16))
+        self.parts.append(ids.astype(np.int32))
         self.total += len(ids)
         self.known.update(zip(words, range(first, first + len(words))))
 
-    def by_rows(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def by_rows(self, words: list[bytes], sql: str = ENCODE_SQL) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words one after the other, and how many each has."""
         size = np.fromiter(map(len, words), np.int64, len(words))
         flat = self.single[np.frombuffer(b"".join(words), np.uint8)]
         w = np.repeat(np.arange(len(words), dtype=np.int32), size)
         p = (np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
         self.db.register("pieces", pa.table({"w": w, "p": p, "t": flat}))
-        got = self.db.execute(ENCODE_SQL).fetchnumpy()
+        got = self.db.execute(sql).fetchnumpy()
         self.db.unregister("pieces")
         return np.asarray(got["t"]), np.bincount(np.asarray(got["w"]), minlength=len(words))
 
-    @cached_property
-    def merge(self) -> dict[int, int]:
-        return dict(zip(self.pairs[0].tolist(), self.pairs[1]))
-
-    def by_heap(self, word: bytes) -> list[int]:
-        ids = self.single[np.frombuffer(word, np.uint8)].tolist()
-        n = len(ids)
-        prev, nxt = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := self.merge.get(ids[i] * 65536 + ids[i + 1])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = nxt[i] if ids[i] == a else -1
-            if j < 0 or ids[j] != b:
-                continue
-            ids[i], ids[j], nxt[i] = r, -1, nxt[j]
-            if nxt[i] >= 0:
-                prev[nxt[i]] = i
-            for x, y in ((prev[i], i), (i, nxt[i])):
-                if x >= 0 and y >= 0 and (q := self.merge.get(ids[x] * 65536 + ids[y])) is not None:
-                    heapq.heappush(heap, (q, x, ids[x], ids[y]))
-        return [x for x in ids if x >= 0]
-
     def learn(self, words: list[bytes]) -> None:
         new = [w for w in words if w not in self.known]
         whole = [w for w in new if w in self.ranks]
@@ -238,8 +243,7 @@ class Coder:
             self._keep(block, *self.by_rows(block))
         for w in new:
             if len(w) > MAX_ROWS and w not in self.ranks:
-                ids = self.by_heap(w)
-                self._keep([w], np.array(ids), np.array([len(ids)]))
+                self._keep([w], *self.by_rows([w], LONG_SQL))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each text has."""

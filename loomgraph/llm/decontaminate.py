@@ -5,11 +5,15 @@ both ends. An item of n characters may differ by ``budget(n)`` edits. It is spli
 must then occur unchanged, so an automaton over all pieces finds every place where the item can be; Myers' bit-parallel
 distance, first on the piece's surroundings and then on the whole item, verifies it.
 
-Items are read in blocks of bounded size, each of which goes to all tasks; documents are never shuffled.
-
-Defined cases: null texts and items are empty; an item without letters or digits matches nothing; equal items match
-each for itself, rows of one item_id and text once; a document is tried whole, whatever its length, and repeated rows
-each for itself; without items nothing matches; an empty table gives no rows; other columns pass through.
+Items are read in blocks of bounded size, each of which goes to all tasks; documents are never shuffled. Each block is
+one pass over the documents. The distance given is the least over all places in the document; of places that are equally
+near, the first one's end counts.
+
+Defined cases: null texts and items are empty; an item without letters or digits matches nothing, and so does one without
+an item_id; an item of fewer than ``2 * PIECE`` folded characters has no budget and matches wherever it occurs word for
+word, so that an item of one short word matches every document with that word; equal items match each for itself, rows of
+one item_id and text once; a document is tried whole, whatever its length, and repeated rows each for itself; without
+items nothing matches; an empty table gives no rows; other columns pass through.
 """
 
 from __future__ import annotations
@@ -26,8 +30,8 @@ from .common import lean, ship
 
 #: Least length of a piece; the edit budget of an item of n characters is n // PIECE - 1.
 PIECE = 12
-#: Characters of items in a block.
-BLOCK = 5_000_000
+#: Characters of items in a block: an automaton over them takes some 80 bytes a character in each worker.
+BLOCK = 2_000_000
 _FOLD = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
 
 
@@ -119,11 +123,11 @@ class Matcher:
             best = (most + 1, -1, 0)
             tried = -(10**9)
             for start, offset, begin in starts:
-                # a place that was tried holds all that are within the budget of it
+                # what was tried reaches over all places that begin within the budget of it
                 if start - tried <= most and best[0] <= most or not self._near(k, offset, begin, folded):
                     continue
                 tried, low = start, max(0, start - most)
-                d, at = distance(item, folded[low : start + n + most], most)
+                d, at = distance(item, folded[low : start + n + 2 * most], most)
                 if d < best[0]:
                     best = (d, low + at, start)
                     if d == 0:

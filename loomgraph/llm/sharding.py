@@ -21,6 +21,8 @@ from itertools import count
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Buckets of small groups.
 BUCKETS = 4096
 #: A group is an item of its own from 1 / HEAVY of all bytes on; there are HEAVY such groups at most.
@@ -61,7 +63,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16) -> DataFrame:
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     digest = F.unhex(F.md5(text))
-    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), digest.alias("digest"))
+    # texts are read once; all that follows works on these few bytes of each
+    rows = written(docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), digest.alias("digest")), "sizes")
     bucket = F.pmod(F.xxhash64("digest"), F.lit(BUCKETS)).cast("int")
     groups = rows.groupBy("digest").agg(F.sum("size").alias("size"))
     total = rows.agg(F.sum("size")).first()[0] or 0

@@ -42,11 +42,39 @@ def test_long_texts_in_parts(encoding, monkeypatch):
     assert [x.decode() for x in coder.decode(ids, sizes)] == texts
 
 
-def test_rows_and_heap_agree():
+def test_both_forms_of_the_query(encoding):
+    """Long pieces, too: in place, all occurrences of a pair in a round."""
+    rng = random.Random(7)
     coder = bpe.Coder(ranks_path())
-    for word in (b" unbelievable", b"aaaaaaaa", bytes(range(128)), "übergrößen".encode()):
-        ids, sizes = coder.by_rows([word])
-        assert ids.tolist() == coder.by_heap(word) and sizes.tolist() == [len(ids)]
+    words = [" unbelievable", "aaaaaaaa", "übergrößen", "ab" * 40, *("".join(rng.choice(a) for _ in range(n)) for a in ("ab", "etaoin", "abcdefghijklmnopqrstuvwxyz", "äöüé") for n in (2, 9, 150, 400))]
+    for word in words:
+        want = encoding._encode_single_piece(word)
+        for sql in (bpe.ENCODE_SQL, bpe.LONG_SQL):
+            ids, sizes = coder.by_rows([word.encode()], sql)
+            assert ids.tolist() == want and sizes.tolist() == [len(want)]
+    both, sizes = coder.by_rows([w.encode() for w in words], bpe.LONG_SQL)
+    assert both.tolist() == [i for w in words for i in encoding._encode_single_piece(w)]
+    long = "".join(rng.choice("etaoinshrdlu") for _ in range(5000))
+    assert coder.by_rows([long.encode()], bpe.LONG_SQL)[0].tolist() == encoding._encode_single_piece(long)
+
+
+def test_ranks_in_any_order(tmp_path):
+    """A vocabulary whose ranks are no order of merges, and beyond 65,536: tokens that open pairs of lower rank."""
+    import tiktoken
+
+    rng = random.Random(11)
+    for n in range(6):
+        ranks = {bytes([i]): i for i in range(256)}
+        made = ["".join(rng.choice("abc") for _ in range(rng.randint(2, 6))).encode() for _ in range(60)]
+        numbers = rng.sample(range(256, 200_000), 60)
+        ranks |= {m: k for m, k in zip(dict.fromkeys(made), numbers)}
+        path = tmp_path / f"{n}.tiktoken"
+        path.write_bytes(b"".join(base64.b64encode(b) + b" %d\n" % i for b, i in ranks.items()))
+        library, coder = tiktoken.Encoding("odd", pat_str=r"\w+", mergeable_ranks=ranks, special_tokens={}), bpe.Coder(str(path))
+        for _ in range(20):
+            word = "".join(rng.choice("abc") for _ in range(rng.randint(2, 60)))
+            for sql in (bpe.ENCODE_SQL, bpe.LONG_SQL):
+                assert coder.by_rows([word.encode()], sql)[0].tolist() == library._encode_single_piece(word)
 
 
 def test_awkward_rows(odd, none, encoding):

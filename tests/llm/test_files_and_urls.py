@@ -1,7 +1,10 @@
 import collections
 import gzip
+import random
 import time
+import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.llm import sharding, url_filter, warc
@@ -29,9 +32,32 @@ def test_warc_awkward_rows(spark):
 
 
 def test_warc_parses_what_it_writes():
-    text = warc.record(7, "http://a/", "päyload".encode(), warc.payload_digest("päyload".encode())) + "\r\n\r\n"
-    ((head, payload),) = warc.parse(gzip.decompress(gzip.compress(text.encode())))
-    assert payload.decode() == "päyload" and head["x-page-id"] == "7" and head["warc-type"] == "response"
+    data = warc.record(7, "http://a/", b"p\xff\x00\r\n\r\n", warc.payload_digest(b"p\xff\x00\r\n\r\n"))
+    (file,) = warc._files(iter([data, data]), 10**6)
+    found = [r for m in warc.members(file + b"\0") for r in warc.parse(m)]
+    assert len(found) == 2 and found[1][1] == b"p\xff\x00\r\n\r\n" and found[0][0]["x-page-id"] == "7" and found[0][0]["warc-type"] == "response"
+    assert gzip.decompress(file + b"\0") == data + data
+    with pytest.raises(ValueError):
+        list(warc.members(file[:-3]))
+
+
+def test_warc_files_bounded_by_bytes_binary_payloads_and_shuffled_files(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "FILE_BYTES", 2000)
+    monkeypatch.setattr(warc, "BROADCAST_REVISITS", -1)
+    rows = [(i, f"http://h/{i}", bytearray(bytes([i % 5, 255, 0]) * (1 + i % 3) * 300)) for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html binary").repartition(2)
+    raw, out = str(tmp_path / "raw"), str(tmp_path / "out")
+    warc.write_archives(pages, raw)
+    warc.deduplicate(spark, raw, out)
+    best = {}
+    for i, _, h in rows:
+        best[bytes(h)] = i
+    got = {r["page_id"]: r for r in warc.read_archives(spark, out, payloads=True).collect()}
+    assert len({r["path"] for r in got.values()}) > 2
+    for i, u, h in rows:
+        winner = best[bytes(h)]
+        assert (got[i]["record_type"], got[i]["refers_to"], bytes(got[i]["payload"])) == (("response", None, bytes(h)) if winner == i else ("revisit", winner, b""))
+        assert got[i]["payload_bytes"] == len(h) and got[i]["url"] == u
 
 
 def brute(url, rules, default="allow"):
@@ -103,6 +129,7 @@ def test_shards(spark, odd, none, sf):
     slots, bytes_, home = collections.defaultdict(list), collections.Counter(), {}
     for r in rows:
         assert r["size"] == len(texts[r["doc_id"]].encode()) + 1 and r["grown_shard"] is None and r["law"] == "bytes"
+        assert r["text_crc32"] == zlib.crc32(texts[r["doc_id"]].encode())
         slots[r["shard"]].append(r["slot"])
         bytes_[r["shard"]] += r["size"]
         assert home.setdefault(texts[r["doc_id"]], r["shard"]) == r["shard"]
@@ -112,6 +139,28 @@ def test_shards(spark, odd, none, sf):
     assert sharding.shard_by_bytes(odd).count() == odd.count() and sharding.shard_by_bytes(none).count() == 0
 
 
+def naive_differencing(sizes, shards):
+    """The same combination of partial partitions, over a plain list that is searched anew each time."""
+    partials = [[(0, ())] * (shards - 1) + [(s, (k,))] for k, s in sorted(sizes.items(), key=lambda x: (-x[1], str(x[0])))]
+    while len(partials) > 1:
+        partials.sort(key=lambda p: p[0][0] - p[-1][0])
+        a, b = partials.pop(0), partials.pop(0)
+        partials.append(sorted([(x + y, p + q) for (x, p), (y, q) in zip(a, reversed(b))], key=lambda s: s[0]))
+    return sorted(t for t, _ in partials[0])
+
+
+def test_differencing_against_a_naive_one():
+    rng = random.Random(3)
+    for n in (1, 5, 30, 80):
+        # different sizes, so that no spread is tied
+        sizes = {i: s for i, s in enumerate(rng.sample(range(10**6, 10**9), n))}
+        for shards in (2, 5, 16):
+            placed, sums = sharding.differencing(sizes, shards), [0] * shards
+            for k, v in sizes.items():
+                sums[placed[k]] += v
+            assert sorted(sums) == naive_differencing(sizes, shards)
+
+
 def test_differencing():
     placed = sharding.differencing({"a": 8, "b": 7, "c": 6, "d": 5, "e": 4}, 2)
     sums = collections.Counter()

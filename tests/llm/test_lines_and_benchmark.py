@@ -229,3 +229,11 @@ def test_clashing_columns_and_shuffled_documents(spark, monkeypatch):
         found = sorted(got.collect(), key=lambda r: r["removed_lines"])
         assert [(r["text"], r["removed_lines_"]) for r in found] == [(line, 0), ("", 1), ("", 1), ("another version", 0), (line, 0)]
         assert all(tuple(r)[2:10] == o[2:] for r, o in zip(found, rows))
+
+
+def test_benchmark_in_blocks(spark, sf, monkeypatch):
+    docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    want = sorted(map(tuple, decontaminate.contaminated(docs, items).collect()))
+    monkeypatch.setattr(decontaminate, "BLOCK", 4000)
+    assert len(list(decontaminate.blocks(items))) > 2
+    assert sorted(map(tuple, decontaminate.contaminated(docs, items).collect())) == want

@@ -92,3 +92,15 @@ def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(100, 101)], "a long, b long")
     assert {r["label"] for r in components(edges).where("node < 50").collect()} == {0}
     assert components(edges.limit(0)).count() == 0
+
+
+def test_low_limits_give_the_same(spark, monkeypatch):
+    """Shuffled joins in place of broadcasts, small squares, and no round of pivots: what large tables meet."""
+    from loomgraph.llm import components as components_
+
+    docs = family(7, 40)
+    want, df = brute(docs), spark.createDataFrame(docs, "doc_id long, text string")
+    for module, name, value in ((near_dedup, "SQUARE", 7), (near_dedup, "PIVOTS", 0), (near_dedup, "BROADCAST_SKETCHES", 0), (near_dedup, "BROADCAST_IDS", 0), (near_dedup, "BROADCAST_LABELS", 0), (components_, "BROADCAST_LABELS", 0)):
+        monkeypatch.setattr(module, name, value)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(df).collect()} == want
+    assert {r["doc_id"] for r in near_dedup.deduplicated(df).collect()} == {c for _, c in want.values()}
