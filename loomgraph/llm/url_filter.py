@@ -106,5 +106,5 @@ def judge(pages: DataFrame, rules: list[Rule] | DataFrame, default: str = "allow
     best = F.max(F.struct(F.length("mark.rule").alias("n"), F.col("mark.host_length").alias("host_length"), F.col("mark.rule").alias("rule"), F.col("mark.verdict").alias("verdict")))
     chosen = written(found.groupBy("url.host", "url.path").agg(best.alias("best")), "chosen")
     forget(marks, probes, salts)
-    out = urls.join(chosen, ["host", "path"], "left")
+    out = urls.join(chosen.hint("merge"), ["host", "path"], "left")
     return out.select("page_id", "host", "path", "best.rule", F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
