@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,5 +52,6 @@ def summary(evidence: DataFrame) -> DataFrame:
 
 def repeated_calls(calls: DataFrame, signature: list[str]) -> DataFrame:
     """``calls`` with ``repeated``: whether one of the same signature came before, by seq."""
-    first = Window.partitionBy(*signature)
-    return calls.withColumn("repeated", F.col("seq") > F.min("seq").over(first))
+    first = calls.groupBy(*[F.col(c).alias(f"_{c}") for c in signature]).agg(F.min("seq").alias("_first"))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in signature])
+    return calls.join(first, same).withColumn("repeated", F.col("seq") > F.col("_first")).select(*calls.columns, "repeated")

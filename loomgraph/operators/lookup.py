@@ -12,10 +12,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.identity import match_score
+from ..sources.staging import staged
 
 CODE = ["function", "method", "class"]
 #: Matches that a symbol's location shows, files that are shown as related, keys and affected entities of a configuration.
 TOP, FILES, KEYS, AFFECTED = 8, 15, 3, 10
+#: Ids that a filter names.
+FEW = 1000
 
 
 def find_entity(entities: DataFrame, term: str, types: list[str] | None = None) -> DataFrame:
@@ -46,10 +49,18 @@ def neighbours(relations: DataFrame, entities: DataFrame, of: DataFrame, kind: s
     """The distinct entities that those of ``of`` (id) point to, or are pointed to by, with ``seq`` of the first relation as ``first``."""
     here, there = ("source", "target") if outgoing else ("target", "source")
     edges = relations.where(F.col("type") == kind) if kind else relations
-    ends = edges.join(F.broadcast(of.select(F.col("id").alias(here)).limit(1000)), here).groupBy(F.col(there).alias("id")).agg(F.min("seq").alias("first"))
+    ends = touching(edges, here, of).groupBy(F.col(there).alias("id")).agg(F.min("seq").alias("first"))
     return entities.join(ends, "id")
 
 
+def touching(edges: DataFrame, end: str, of: DataFrame) -> DataFrame:
+    """The edges whose ``end`` is one of ``of`` (id): a literal list, which reaches the scan, of up to FEW ids, beyond that a semi-join."""
+    ids = [r[0] for r in of.select("id").limit(FEW + 1).collect()]
+    if len(ids) <= FEW:
+        return edges.where(F.col(end).isin(ids))
+    return edges.join(of.select(F.col("id").alias(end)).distinct(), end, "left_semi")
+
+
 def callers(entities: DataFrame, relations: DataFrame, term: str, types=("function", "method", "class", "api")) -> DataFrame:
     return neighbours(relations, entities, best(entities, term, list(types)), "CALLS", outgoing=False)
 
@@ -82,15 +93,12 @@ def inherits(entities: DataFrame, relations: DataFrame, term: str, types=("class
 def hops(relations: DataFrame, start: DataFrame, goal: DataFrame, most: int = 32, directed: bool = True) -> DataFrame:
     """Breadth-first search from ``start`` (id): ``id, hop, via`` of everything reached until a row of ``goal`` (id) is.
 
-    Each hop joins the frontier with the edges and leaves out what was reached before; the frontier is a written table
-    where the session has a checkpoint folder, and otherwise a persisted one.
+    Each hop joins the frontier with the edges and leaves out what was reached before; the frontier is a written table.
     """
     edges = relations.select(F.col("source").alias("a"), F.col("target").alias("b"), "seq")
     if not directed:
         edges = edges.unionByName(relations.select(F.col("target").alias("a"), F.col("source").alias("b"), "seq"))
-    spark = relations.sparkSession
-    durable = spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-    keep = lambda df: df.checkpoint() if durable else df.persist()
+    keep = lambda df: staged(df, "reached")
     seen = keep(start.select("id", F.lit(0).alias("hop"), F.lit(None).cast("string").alias("via")))
     front = seen
     for hop in range(1, most + 1):
@@ -150,8 +158,8 @@ def config_affects(entities: DataFrame, relations: DataFrame, key: str, kinds=("
 def files_for(entities: DataFrame, relations: DataFrame, term: str, limit: int = FILES) -> DataFrame:
     """``file, weight`` of the files around a term: 3 for each match's own file, 1 for each of its distinct neighbours either way."""
     found = find_entity(entities, term).select("id", "file")
-    near = relations.select(F.col("source").alias("id"), F.col("target").alias("other"), F.lit(0).alias("way")).unionByName(relations.select(F.col("target").alias("id"), F.col("source").alias("other"), F.lit(1).alias("way")))
-    around = near.join(found.select("id"), "id").distinct().join(entities.select(F.col("id").alias("other"), "file"), "other").select("file", F.lit(1).alias("w"))
+    side = lambda here, there, way: touching(relations.select(here, there), here, found).select(F.col(here).alias("id"), F.col(there).alias("other"), F.lit(way).alias("way"))
+    around = side("source", "target", 0).unionByName(side("target", "source", 1)).distinct().join(entities.select(F.col("id").alias("other"), "file"), "other").select("file", F.lit(1).alias("w"))
     own = found.select("file", F.lit(3).alias("w"))
     total = own.unionByName(around).where("coalesce(file, '') <> ''").groupBy("file").agg(F.sum("w").alias("weight"))
     return total.orderBy(F.desc("weight"), "file").limit(limit)

@@ -51,10 +51,10 @@ def vertices(spark: SparkSession, sf_dir: str, kinds: list[str] | None = None) -
     return out
 
 
-def key_edges(spark: SparkSession, sf_dir: str, types: list[str] | None = None) -> DataFrame:
+def key_edges(spark: SparkSession, sf_dir: str, types: list[str] | None = None, merged: bool = True) -> DataFrame:
     """Merged relations between sequence numbers, before ids: ``source_seq, target_seq, type, weight, seq``.
 
-    Lineitems are added up by their keys before any wide value is attached.
+    Lineitems are added up by their keys before any wide value is attached, or not at all where repeats do not matter.
     """
     t = lambda name: read(spark, sf_dir, name)
     edge = lambda df, kind, rank, a, b, place: df.select(a.cast("long").alias("source_seq"), b.cast("long").alias("target_seq"), F.lit(kind).alias("type"), F.lit(1.0).alias("weight"), (F.lit(rank * SPAN) + place).cast("long").alias("seq"))
@@ -70,7 +70,7 @@ def key_edges(spark: SparkSession, sf_dir: str, types: list[str] | None = None)
     for kind, make in parts.items():
         if types is None or kind in types:
             df = make()
-            if kind in ("CALLS", "REFERENCES"):
+            if merged and kind in ("CALLS", "REFERENCES"):
                 df = df.groupBy("source_seq", "target_seq", "type").agg(F.sum("weight").alias("weight"), F.min("seq").alias("seq"))
             out = df if out is None else out.unionByName(df)
     return out

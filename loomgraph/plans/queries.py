@@ -97,6 +97,13 @@ def where_is_topk(spark, sf_dir):
     return lookup.where_is(g.vertices(spark, sf_dir), _WHERE).select("rank", "id", "qualified_name", "description", "weight")
 
 
+def _keyed(spark, sf_dir, types, kinds=None):
+    """The same view on its narrow keys; ``long_id`` is what ids are elsewhere, made for the rows that are left alone."""
+    v = g.vertices(spark, sf_dir, kinds).withColumnRenamed("id", "long_id").withColumn("id", F.col("seq"))
+    e = g.key_edges(spark, sf_dir, types, merged=False)
+    return v, e.withColumnsRenamed({"source_seq": "source", "target_seq": "target"})
+
+
 def _view(spark, sf_dir, types, kinds=None):
     v = g.vertices(spark, sf_dir, kinds)
     return v, g.edges(spark, sf_dir, types, v)
@@ -104,15 +111,15 @@ def _view(spark, sf_dir, types, kinds=None):
 
 @query(f"WITH {E}, b AS ({best_sql('#000000007', ['supplier'])}) SELECT v.id, v.qualified_name, min(e.seq) AS first FROM e JOIN b ON e.source = b.id JOIN v ON v.id = e.target WHERE e.type = 'CALLS' GROUP BY ALL")
 def callees_of(spark, sf_dir):
-    v, e = _view(spark, sf_dir, ["CALLS"], ["supplier", "part"])
-    return lookup.callees(v, e, "#000000007", types=["supplier"]).select("id", "qualified_name", "first")
+    v, e = _keyed(spark, sf_dir, ["CALLS"], ["supplier", "part"])
+    return lookup.callees(v, e, "#000000007", types=["supplier"]).select(F.col("long_id").alias("id"), "qualified_name", "first")
 
 
 @query(f"WITH {E}, b AS (SELECT * FROM v WHERE type = 'part' AND lower(name) = (SELECT lower(p_name) FROM part WHERE p_partkey = 1) ORDER BY seq LIMIT 1) SELECT v.id, v.qualified_name, min(e.seq) AS first FROM e JOIN b ON e.target = b.id JOIN v ON v.id = e.source WHERE e.type = 'CALLS' GROUP BY ALL")
 def callers_of(spark, sf_dir):
     name = g.read(spark, sf_dir, "part").where("p_partkey = 1").first()["p_name"]
-    v, e = _view(spark, sf_dir, ["CALLS"], ["supplier", "part"])
-    return lookup.callers(v, e, name, types=["part"]).select("id", "qualified_name", "first")
+    v, e = _keyed(spark, sf_dir, ["CALLS"], ["supplier", "part"])
+    return lookup.callers(v, e, name, types=["part"]).select(F.col("long_id").alias("id"), "qualified_name", "first")
 
 
 @query(f"""WITH {E}, b AS ({best_sql('EUROPE', ['region'])}) SELECT 'out' AS direction, v.id, v.qualified_name FROM e JOIN b ON e.source = b.id JOIN v ON v.id = e.target WHERE e.type = 'CONTAINS'
@@ -142,8 +149,7 @@ def imported_by_shape(spark, sf_dir):
   w AS (SELECT file, 3 AS w FROM f UNION ALL SELECT v.file, 1 FROM near JOIN v ON v.id = near.other)
   SELECT file, sum(w)::BIGINT AS weight FROM w WHERE coalesce(file, '') <> '' GROUP BY file ORDER BY weight DESC, file LIMIT 15""")
 def related_files_weight(spark, sf_dir):
-    v = g.vertices(spark, sf_dir)
-    return lookup.files_for(v, g.edges(spark, sf_dir, None, v), "Supplier#00000000")
+    return lookup.files_for(*_keyed(spark, sf_dir, None), "Supplier#00000000")
 
 
 @query(f"""WITH {E}, k1 AS (SELECT id, 0 AS part, score, length(qualified_name) AS size, seq FROM ({best_sql('Supplier#000000001', ['supplier'], 3)})),

@@ -83,7 +83,10 @@ def discover(spark: SparkSession, root: str, config: Discovery | None = None) ->
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
     inner = F.regexp_replace("path", r"^file:/*", "/")
     rel = F.substr(inner, F.length(F.lit(base.removeprefix("file://"))) + 2) if "://" not in base.removeprefix("file://") else F.substr("path", F.length(F.lit(base)) + 2)
-    listed = files.select("path", rel.alias("rel_path"), F.col("length").alias("size"), "content").where(~excluded(F.col("rel_path"), c.exclude))
+    # contents of larger files are never read: the first scan filters by length, the second lists names and lengths alone
+    small = files.where(F.col("length") <= c.max_bytes).select("path", rel.alias("rel_path"), F.col("length").alias("size"), "content")
+    large = files.where(F.col("length") > c.max_bytes).select("path", rel.alias("rel_path"), F.col("length").alias("size"), F.lit(None).cast("binary").alias("content"))
+    listed = small.unionByName(large).where(~excluded(F.col("rel_path"), c.exclude))
     kinds = listed.withColumn("kind", kind_of(F.col("rel_path"), c)).where("kind is not null")
     binary = F.contains(F.substring("content", 1, PROBE), F.lit(b"\0"))
     reason = F.when(F.col("size") > c.max_bytes, "too_large").when(binary, "binary")
