@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import identity, route, vectors
 from ..operators import evidence, lookup, merge, resolve, search
 from . import graph_view as g
+from . import table_tree
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -378,20 +379,12 @@ def config_keys(spark, sf_dir):
 _VSTOP_SQL = "[" + ", ".join(f"'{w}'" for w in vectors.STOP_WORDS) + "]"
 
 
-@query(rf"""WITH t AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda x: length(x) >= 2 AND NOT list_contains({_VSTOP_SQL}, x))) AS token FROM documents WHERE lang = 'en'),
+@query(rf"""WITH t AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda x: length(x) >= 2 AND NOT list_contains({_VSTOP_SQL}, x))) AS token FROM documents),
   d AS (SELECT token, (('0x' || substr(md5(token), 1, 16))::UBIGINT % 384)::INT AS bucket FROM (SELECT DISTINCT token FROM t))
   SELECT t.doc_id, d.bucket, count(*) AS n FROM t JOIN d USING (token) GROUP BY ALL""")
 def hash_embedding_buckets(spark, sf_dir):
     from .embed import bucket_counts
 
-    return bucket_counts(g.read(spark, sf_dir, "documents").where("lang = 'en'"), "doc_id", "text")
-
-
-@query(None)
-def hash_embedding_buckets_all(spark, sf_dir):
-    """Of documents in all languages: no SQL, as engines differ in what they lower outside of A-Z."""
-    from .embed import bucket_counts
-
     return bucket_counts(g.read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
@@ -480,25 +473,43 @@ def communities(spark, sf_dir):
     return split(v, e)
 
 
-@query(f"""WITH RECURSIVE {E}, n AS (SELECT id FROM v WHERE type IN ('region', 'nation', 'supplier')), u AS (SELECT source AS a, target AS b FROM e WHERE type = 'CONTAINS' UNION SELECT target, source FROM e WHERE type = 'CONTAINS'),
-  w AS (SELECT u.a, u.b FROM u JOIN n x ON x.id = u.a JOIN n y ON y.id = u.b), r AS (SELECT id, id AS reach FROM n UNION SELECT r.id, w.b FROM r JOIN w ON w.a = r.reach)
-  SELECT id, min(reach) AS label FROM r GROUP BY id""")
+@query(f"""WITH RECURSIVE {E}, n AS MATERIALIZED (SELECT id, seq, row_number() OVER (ORDER BY id) AS r FROM v),
+  u AS MATERIALIZED (SELECT x.r AS a, y.r AS b FROM (SELECT DISTINCT a, b FROM k) z JOIN n x ON x.seq = z.a JOIN n y ON y.seq = z.b),
+  w AS MATERIALIZED (SELECT a, b FROM u UNION SELECT b, a FROM u),
+  c(id, label) USING KEY (id) AS (SELECT r, r FROM n UNION SELECT w.b, min(c.label) FROM c JOIN w ON w.a = c.id JOIN recurring.c o ON o.id = w.b WHERE c.label < o.label GROUP BY w.b)
+  SELECT x.id, y.id AS label FROM c JOIN n x ON x.r = c.id JOIN n y ON y.r = c.label""")
 def connected_components(spark, sf_dir):
     from ..operators.community import connected
 
-    v, e = _view(spark, sf_dir, ["CONTAINS"], ["region", "nation", "supplier"])
-    return connected(v, e)
+    return connected(*_view(spark, sf_dir, None))
 
 
-@query(None)
-def connected_components_all(spark, sf_dir):
-    """Over all vertices and edges, for which the closure in SQL above is too large."""
-    from ..operators.community import connected
+@query(f"""WITH {E}, l AS (SELECT unnest([0, 1, 2])::INT AS level) SELECT level, (SELECT count(*) FROM v) AS members, (SELECT count(*) FROM v) AS distinct_members, true AS sizes_fit,
+  level < 2 OR NULL AS no_bound, true AS nested FROM l""")
+def community_invariants(spark, sf_dir):
+    """What any set of communities has to keep: each level is a partition of all vertices, each community lies in its parent, and the last level's are small."""
+    from ..operators import community
+    from ..sources.staging import staged
 
-    return connected(*_view(spark, sf_dir, None))
+    v, e = _view(spark, sf_dir, None)
+    found = staged(community.communities(v, e), "communities")
+    members = found.select("level", "community", "parent", "size", F.explode("entity_ids").alias("id"))
+    above = members.select((F.col("level") + 1).alias("level"), "id", F.col("community").alias("above"))
+    fits = found.groupBy("level").agg(F.every(F.size("entity_ids") == F.col("size")).alias("sizes_fit"), F.max("size").alias("largest"))
+    each = members.join(above, ["level", "id"], "left").groupBy("level").agg(
+        F.count("*").alias("members"), F.count_distinct("id").alias("distinct_members"), F.every((F.col("level") == 0) | (F.col("above") == F.col("parent"))).alias("nested"),
+    )
+    bound = F.when((F.col("level") < 2) | (F.col("largest") > community.MOST), True)
+    return each.join(fits, "level").select("level", "members", "distinct_members", "sizes_fit", bound.alias("no_bound"), "nested")
 
 
-@query(None)
+_END = "\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}"
+
+
+@query(f"""WITH l AS (SELECT doc_id, text, list_transform(regexp_extract_all(text, '[^{_END}]*(?:\\r\\n|[{_END}])|[^{_END}]+'), lambda x: {{'buf': x, 'out': []::VARCHAR[]}}) AS lines FROM documents WHERE length(text) > 0),
+  p AS (SELECT doc_id, text, list_reduce(lines, lambda s, x: CASE WHEN length(s.buf) + length(x.buf) > 2400 AND length(s.buf) > 0 THEN {{'buf': x.buf, 'out': list_append(s.out, s.buf)}} ELSE {{'buf': s.buf || x.buf, 'out': s.out}} END) AS s FROM l),
+  c AS (SELECT doc_id, CASE WHEN length(text) <= 2400 THEN [text] ELSE list_append(s.out, s.buf) END AS chunks FROM p)
+  SELECT doc_id, (unnest(range(len(chunks))))::INT AS part, length(unnest(chunks))::INT AS n_chars, md5(unnest(chunks)) AS digest FROM c""")
 def chunk_text_units(spark, sf_dir):
     from .units import chunks
 
@@ -647,3 +658,33 @@ def text_unit_backrefs(spark, sf_dir):
     docs = spark.createDataFrame([("d",)], "id string")
     out = back_references(docs, units, entities, entities.limit(0))["text_units"]
     return out.select("id", F.array_join("entity_ids", ",").alias("entity_ids"), F.size("entity_ids").cast("long").alias("n"))
+
+
+@query(table_tree.ENTITIES)
+def index_entities(spark, sf_dir):
+    return table_tree.built(spark, sf_dir)["graph_entities"].select("id", "type", "name", "qualified_name", "file", "start_line", "end_line", "language", "description")
+
+
+@query(table_tree.RELATIONS)
+def index_relations(spark, sf_dir):
+    return table_tree.built(spark, sf_dir)["graph_relations"].select("source", "target", "type", "weight", "description")
+
+
+@query(table_tree.DOCUMENTS)
+def index_documents(spark, sf_dir):
+    return table_tree.built(spark, sf_dir)["documents"]
+
+
+@query(table_tree.TEXT_UNITS)
+def index_text_units(spark, sf_dir):
+    return table_tree.built(spark, sf_dir)["text_units"].select("document_id", "text", "n_tokens")
+
+
+@query(table_tree.ENTITY_ROWS)
+def index_entity_rows(spark, sf_dir):
+    return table_tree.built(spark, sf_dir)["entities"].select("id", "title", "type", "description", "frequency", "degree")
+
+
+@query(table_tree.RELATIONSHIPS)
+def index_relationships(spark, sf_dir):
+    return table_tree.built(spark, sf_dir)["relationships"].select("source", "target", "weight", "description")
