@@ -17,11 +17,16 @@ def session():
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="loomgraph")
+    p.add_argument("--verbose", action="store_true")
     sub = p.add_subparsers(dest="command", required=True)
     i = sub.add_parser("index", help="build an index of a source tree")
     i.add_argument("source"), i.add_argument("output")
     i.add_argument("--name"), i.add_argument("--exclude", action="append", default=[])
     i.add_argument("--max-bytes", type=int), i.add_argument("--unit-chars", type=int)
+    i.add_argument("--generic", action="store_true", help="read definitions of other languages by line patterns")
+    i.add_argument("--enrich", action="store_true", help="let the model describe some symbols")
+    for name in ("--provider", "--model", "--key-name", "--embedding-provider", "--embedding-model", "--dimensions"):
+        i.add_argument(name)
     i.add_argument("--no-docs", action="store_true"), i.add_argument("--no-config", action="store_true")
     s = sub.add_parser("inspect", help="show an entity, its relations, or counts")
     s.add_argument("index"), s.add_argument("--entity"), s.add_argument("--relations", action="store_true")
@@ -41,7 +46,7 @@ def options(args):
 
     found = Discovery(exclude=[*EXCLUDE_GLOBS, *args.exclude], max_bytes=args.max_bytes or int(os.environ.get("LOOMGRAPH_MAX_BYTES", MAX_BYTES)))
     name = args.name or os.path.basename(os.path.abspath(args.source))
-    return Options(repo=name, most=args.unit_chars or MOST, include_config=not args.no_config, include_docs=not args.no_docs, discovery=found)
+    return Options(repo=name, most=args.unit_chars or MOST, include_config=not args.no_config, include_docs=not args.no_docs, generic=args.generic, discovery=found)
 
 
 def repl(ix, lines, out) -> None:
@@ -62,11 +67,19 @@ def repl(ix, lines, out) -> None:
 
 def main(argv: list[str] | None = None, spark=None, out=print) -> int:
     args = parser().parse_args(argv)
+    from .plans.providers import logger
+
+    logger(verbose=args.verbose)
     spark = spark or session()
     if args.command == "index":
+        from .plans.providers import Settings
         from .plans.workflow import build_index
 
-        out(json.dumps(asdict(build_index(spark, args.source, args.output, options(args)))))
+        settings = Settings.assembled(vars(args))
+        if settings.problems():
+            out("error: " + "; ".join(settings.problems()))
+            return 2
+        out(json.dumps(asdict(build_index(spark, args.source, args.output, options(args), settings=settings, enrich=args.enrich))))
         return 0
     from .plans.answers import Index
 

@@ -64,11 +64,3 @@ def occurrences(text: Column, term: Column) -> Column:
 def evidence_key(kind: Column, title: Column, content: Column) -> Column:
     """What makes two pieces of evidence the same: kind, trimmed lower-case title and a digest of the content."""
     return F.concat(kind, F.lit(":"), F.lower(F.trim(title)), F.lit(":"), F.substring(F.md5(content.cast("binary")), 1, 10))
-
-
-def preview(text: Column, limit: int = 160) -> Column:
-    return F.left(F.trim(F.replace(text, F.lit("\n"), F.lit(" "))), F.lit(limit))
-
-
-def shortened(text: Column, limit: int = 240) -> Column:
-    return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.left(text, F.lit(limit)), F.lit("...")))

@@ -27,6 +27,13 @@ def find_entity(entities: DataFrame, term: str, types: list[str] | None = None)
     return some.withColumn("score", match_score(F.col("name"), F.col("qualified_name"), F.lit(term))).where("score > 0")
 
 
+def entity_by_file(entities: DataFrame, kind: str = "file") -> DataFrame:
+    """``file`` and the first entity of a kind in it, by seq."""
+    some = entities.where((F.col("type") == kind) & F.col("file").isNotNull())
+    rest = [c for c in entities.columns if c != "file"]
+    return some.groupBy("file").agg(F.min_by(F.struct(*rest), "seq").alias("e")).select("file", "e.*")
+
+
 def _best_first() -> list:
     return [F.desc("score"), F.length("qualified_name"), "seq"]
 

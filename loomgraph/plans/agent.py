@@ -122,6 +122,21 @@ PLANS = {
 }
 
 
+def analysed(ix: Index, question: str, model: Callable[[str], str] | None = None) -> dict:
+    """:func:`analysis`, with type and symbols by a model that answers in JSON; what it can't say is told by patterns."""
+    about = analysis(ix, question)
+    if model is None:
+        return about
+    known = [t for t, _ in route.TYPES]
+    try:
+        said = json.loads(model(f"Give JSON with type (one of {', '.join(known)}) and symbols (a list) of this question.\n{question}"))
+        symbols = [str(s) for s in said["symbols"]]
+    except Exception:  # noqa: BLE001  a model's failure leaves the patterns' answer
+        return about
+    kind = said.get("type") if said.get("type") in known else "unknown"
+    return about | {"type": kind, "symbols": symbols or about["symbols"], "symbol": symbols[0] if symbols else about["symbol"]}
+
+
 def analysis(ix: Index, question: str) -> dict:
     """The type of a question and its symbols, by patterns."""
     row = ix.spark.createDataFrame([(question,)], "q string").select(route.question_type(F.col("q")).alias("type"), route.question_symbols(F.col("q")).alias("symbols"), route.symbol(F.col("q")).alias("symbol"), route.path_symbols(F.col("q")).alias("path"), route.hint(route.question_type(F.col("q"))).alias("hint")).first()
@@ -152,17 +167,30 @@ class Result:
     error: str | None = None
 
 
-def ask(ix: Index, question: str, decide: Callable[[dict], list[tuple[str, list[str]]]] = planned, most: int = ROUNDS, budget: int = ev.BUDGET) -> Result:
+def explorer(ix: Index, decide: Callable[[dict], list[tuple[str, list[str]]]] = planned, most: int = 2) -> Callable:
+    """A tool that answers a narrower question in a loop of its own, over the same tools but itself."""
+
+    def explore(question: str):
+        got = ask(ix, question, decide, most)
+        yield "exploration", question, got.answer, ""
+
+    return explore
+
+
+def ask(ix: Index, question: str, decide: Callable[[dict], list[tuple[str, list[str]]]] = planned, most: int = ROUNDS, budget: int = ev.BUDGET, analyst: Callable[[str], str] | None = None, sub_agent: bool = False) -> Result:
     """Analyse, let ``decide`` call tools for at most ``most`` rounds, and word the evidence.
 
+    Beyond the last round no tool is called any more: the model words what there is. ``analyst`` is a model for the
+    analysis; with ``sub_agent`` the tool ``explore`` asks in a loop of its own.
+
     A call that was made before is answered from memory, an unknown tool by a message; a tool's failure is evidence, too.
     If the model words nothing, the ten heaviest pieces of evidence are the answer.
     """
     trace, found, seen = Trace(), Evidence(), {}
     trace.add("question", question)
-    about = analysis(ix, question)
+    about = analysed(ix, question, analyst)
     trace.add("analysis", about)
-    known, rounds, error = tools(ix), 0, None
+    known, rounds, error = tools(ix) | ({"explore": explorer(ix)} if sub_agent else {}), 0, None
     try:
         while rounds < most:
             calls = decide({"question": question, "analysis": about, "round": rounds, "seen": list(seen), "evidence": found.items})

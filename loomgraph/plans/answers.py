@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,20 +10,13 @@ from pyspark.sql import functions as F
 from ..functions import route
 from ..operators import lookup, search
 from ..sources import tables as sink
-from .embed import embed, nearest_vectors
-from .workflow import TABLES
+from .embed import nearest_vectors
+from .providers import Model, Settings, offline_model
+from .workflow import TABLES, settings_of
 
-#: A model takes a prompt and gives an answer.
-Model = Callable[[str], str]
 ROWS = 20
 
 
-def offline_model(prompt: str) -> str:
-    """A deterministic stand-in: the first lines of what it was given."""
-    lines = [x for x in prompt.splitlines() if x.strip()]
-    return "\n".join(["(offline answer)", *lines[:6]])
-
-
 @dataclass
 class Answer:
     question: str
@@ -42,6 +34,9 @@ class Index:
         self.spark, self.path, self.model = spark, path, model
         self.t = sink.read_tables(spark, path, TABLES)
         self.entities, self.relations = self.t["graph_entities"], self.t["graph_relations"]
+        # questions are embedded as the index was
+        models = settings_of(spark, path)["models"]
+        self.settings = Settings(embedding_provider=models["embedding_provider"], embedding_model=models["embedding_model"], dimensions=models["dim"])
 
     # -- deterministic ------------------------------------------------------------------------------------------------
 
@@ -89,7 +84,7 @@ class Index:
     # -- searches -----------------------------------------------------------------------------------------------------
 
     def _nearest(self, question: str, part: str, k: int) -> DataFrame:
-        q = embed(self.spark.createDataFrame([(0, question)], "query_id int, text string"), "query_id", "text")
+        q = self.settings.embed(self.spark.createDataFrame([(0, question)], "query_id int, text string"), "query_id", "text")
         table = self.t["embeddings"].where(F.col("part") == part).select("key", "vector")
         return nearest_vectors(q, table, k, key="key").where("similarity > 0").select("key", "similarity", "rank")
 
@@ -107,11 +102,25 @@ class Index:
         reports = self.t["community_reports"].join(inside, ["level", "community"])
         return {"entities": found, "relationships": around.orderBy(F.desc("weight"), "seq"), "text_units": units.orderBy("unit_id"), "reports": reports.orderBy("level", "community")}
 
-    def global_context(self, question: str, k: int = 10, level: int = 2) -> dict[str, DataFrame]:
-        """Reports up to a level, the relevant ones first; those that share nothing with the question are left out."""
-        near = self._nearest(question, "report", k).withColumnRenamed("key", "report")
-        named = self.t["community_reports"].where(F.col("level") <= level).withColumn("report", F.concat(F.col("level").cast("string"), F.lit("/"), "community"))
-        return {"reports": named.join(F.broadcast(near), "report").orderBy("rank")}
+    def global_context(self, question: str, k: int = 10, level: int = 2, dynamic: bool = False) -> dict[str, DataFrame]:
+        """Reports up to a level, the relevant ones first; those that share nothing with the question are left out.
+
+        With ``dynamic`` the selection goes from the top down: a community is looked at only if its parent was relevant,
+        and of a community and its children that are relevant the children count.
+        """
+        name = F.concat(F.col("level").cast("string"), F.lit("/"), "community")
+        named = self.t["community_reports"].where(F.col("level") <= level).withColumn("report", name)
+        if not dynamic:
+            near = self._nearest(question, "report", k).withColumnRenamed("key", "report")
+            return {"reports": named.join(F.broadcast(near), "report").orderBy("rank")}
+        every = self._nearest(question, "report", named.count()).withColumnRenamed("key", "report")
+        scored = named.join(every, "report").join(self.t["communities"].select("level", "community", "parent"), ["level", "community"])
+        kept = scored.where("level = 0")
+        for below in range(1, level + 1):
+            above = kept.where(F.col("level") == below - 1).select(F.col("community").alias("parent"))
+            kept = kept.unionByName(scored.where(F.col("level") == below).join(above, "parent", "left_semi").select(kept.columns))
+        parents = kept.where("parent is not null").select((F.col("level") - 1).alias("level"), F.col("parent").alias("community")).distinct()
+        return {"reports": kept.join(parents, ["level", "community"], "left_anti").orderBy("rank").limit(k)}
 
     def basic_context(self, question: str, k: int = 10) -> dict[str, DataFrame]:
         near = self._nearest(question, "unit", k).withColumnRenamed("key", "id")
@@ -119,14 +128,28 @@ class Index:
 
     def search(self, question: str, mode: str = "local", level: int = 2) -> Answer:
         if mode == "drift":
-            first = self.search(question, "local", level)
-            more = [self.search(f"{question} {r['title']}", "local", level) for r in first.context.get("entities", [])[:2]]
-            text = self.model("\n".join([question, first.text, *(m.text for m in more)]))
-            return Answer(question, mode, text, context=first.context | {"follow_ups": [{"question": m.question, "answer": m.text} for m in more]})
-        make = {"local": lambda: self.local_context(question, level=level), "global": lambda: self.global_context(question, level=level), "basic": lambda: self.basic_context(question)}[mode]
+            return self.drift(question, level)
+        make = {"local": lambda: self.local_context(question, level=level), "global": lambda: self.global_context(question, level=level, dynamic=True), "basic": lambda: self.basic_context(question)}[mode]
         rows = {name: [r.asDict(True) for r in df.limit(ROWS).collect()] for name, df in make().items()}
         if mode == "global":
             parts = [self.model(f"{question}\n{r['full_content']}") for r in rows["reports"]]
             return Answer(question, mode, self.model("\n".join([question, *parts])), context=rows)
         shown = [f"{k}: {r.get('title') or r.get('unit_id') or r.get('id') or r.get('description')}" for k, some in rows.items() for r in some]
         return Answer(question, mode, self.model("\n".join([question, *shown])), context=rows)
+
+    def drift(self, question: str, level: int = 2, depth: int = 2, width: int = 2) -> Answer:
+        """A primer over community reports, then local searches that follow up what the last ones found, each subject once."""
+        primer = self.global_context(question, k=5, level=level)["reports"].select("title", "summary").collect()
+        said, asked, follow_ups, context = [f"{r['title']}: {r['summary']}" for r in primer], set(), [], {}
+        queue = [(question, 0)]
+        while queue:
+            text, at = queue.pop(0)
+            found = self.search(text, "local", level)
+            context = context or found.context
+            said.append(found.text)
+            if at:
+                follow_ups.append({"question": text, "answer": found.text})
+            new = [r["title"] for r in found.context.get("entities", []) if r["title"] not in asked][:width]
+            asked.update(new)
+            queue += [(f"{question} {t}", at + 1) for t in new if at < depth - 1]
+        return Answer(question, "drift", self.model("\n".join([question, *said])), context=context | {"primer": [r.asDict() for r in primer], "follow_ups": follow_ups})

@@ -181,3 +181,67 @@ def test_back_references(spark, built):
     for e in spark.read.parquet(f"{built}/entities.parquet").collect():
         assert all(e["id"] in units[u]["entity_ids"] for u in e["text_unit_ids"])
     assert all(u["relationship_ids"] is not None for u in units.values())
+
+
+def test_stats_and_graphml_are_written(spark, built):
+    stats = json.loads("\n".join(r[0] for r in spark.read.option("wholetext", "true").text(f"{built}/stats.json").collect()))
+    assert stats["entities"] == sum(n for k, n in stats["types"].items() if k.startswith("entity:"))
+    import xml.etree.ElementTree as tree
+    from pathlib import Path
+
+    parts = sorted(Path(f"{built}/graph.graphml").glob("part-*"))
+    graph = tree.fromstring("".join(p.read_text() for p in parts)).find("{*}graph")
+    assert len(graph.findall("{*}node")) == stats["entities"] and len(graph.findall("{*}edge")) == stats["relations"]
+
+
+def test_generic_languages_by_lines(spark, tmp_path):
+    java = "package shop;\nimport java.util.List;\n\npublic class Cart extends Base {\n    public int total(List<Item> items, int tax) {\n        if (items == null) {\n            throw new Missing(1);\n        }\n        return rate(tax);\n    }\n    private int rate(int tax) {\n        return tax;\n    }\n}\n"
+    rust = "use std::fs;\npub struct S {\n    a: i32,\n}\nimpl S {\n    pub fn go(&self, x: i32) -> i32 {\n        helper(x)\n    }\n}\n"
+    go = 'package m\nimport "fmt"\nfunc (t *T) Run(x int) error {\n\tfmt.Println(x)\n}\n'
+    js = "import { A } from './a';\nexport class B extends A {\n  run(x, y = 2) {\n    return this.go(x);\n  }\n}\nexport const f = (a) => {\n  run(a);\n};\n"
+    for name, text in (("Cart.java", java), ("s.rs", rust), ("m.go", go), ("b.js", js), ("x.c", "#include <stdio.h>\nint add(int a) {\n  return sum(a);\n}\n"), ("c.cs", "using System;\npublic class C : D\n{\n    public void Run(string s)\n    {\n    }\n}\n")):
+        (tmp_path / name).write_text(text)
+    found = pyparse.parse_files(sources.discover(spark, str(tmp_path)), generic=True)
+    rows = {r["rel_path"]: r["facts"] for r in found.collect()}
+    defs = {f: [(d["kind"], d["qualified_name"], d["start_line"], d["end_line"]) for d in x["defs"]] for f, x in rows.items()}
+    assert defs["Cart.java"] == [("class", "Cart", 4, 14), ("method", "Cart.total", 5, 10), ("method", "Cart.rate", 11, 13)]
+    assert defs["s.rs"] == [("class", "S", 2, 4), ("method", "S.go", 6, 8)] and defs["m.go"] == [("method", "T.Run", 3, 5)]
+    assert defs["b.js"] == [("class", "B", 2, 6), ("method", "B.run", 3, 5), ("function", "f", 7, 9)] and defs["x.c"] == [("function", "add", 2, 4)]
+    assert defs["c.cs"] == [("class", "C", 2, 7), ("method", "C.Run", 4, 6)]
+    assert rows["Cart.java"]["defs"][0]["bases"] == ["Base"] and [p["name"] for p in rows["Cart.java"]["defs"][1]["params"]] == ["items", "tax"]
+    assert [(c["callee"], c["is_method_call"]) for c in rows["m.go"]["calls"]] == [("Println", True)] and rows["Cart.java"]["raises"][0]["exception"] == "Missing"
+    assert {f: [i["module"] for i in x["imports"]] for f, x in rows.items()} == {"Cart.java": ["java.util.List"], "s.rs": ["std.fs"], "m.go": ["fmt"], "b.js": ["./a"], "x.c": ["stdio.h"], "c.cs": ["System"]}
+
+
+def test_settings_and_models(spark, built):
+    from loomgraph.operators import lookup
+    from loomgraph.plans import providers
+
+    s = providers.Settings.assembled({"provider": "hosted"}, {"LOOMGRAPH_EMBEDDING_PROVIDER": "mock", "LOOMGRAPH_DIMENSIONS": "9"})
+    assert s.problems() and not s.offline and s.dim == 16 and providers.Settings().problems() == [] and providers.Settings(embedding_provider="none").problems()
+    providers.MODELS["hosted"] = lambda settings: lambda prompt: f"{settings.key()}: {prompt}"
+    try:
+        assert s.problems() == ["provider 'hosted' needs API_KEY"]
+        told = []
+        keyed = providers.Settings.assembled({"provider": "hosted"}, {"API_KEY": "k"})
+        assert keyed.problems() == [] and providers.teed(keyed.make_model(), told.append)("q") == "k: q" and told == ["> q\nk: q"]
+        assert "k" not in keyed.stored().values()
+    finally:
+        del providers.MODELS["hosted"]
+    rows = providers.Settings(embedding_provider="mock").embed(spark.createDataFrame([(1, "a"), (2, None)], "id int, text string"), "id", "text").collect()
+    assert {r["id"]: r["vector"] and len(r["vector"]) for r in rows} == {1: 16, 2: None}
+    ix = Index(spark, built)
+    assert {r["file"] for r in lookup.entity_by_file(ix.entities).collect()} >= {"shop/cart.py"}
+    assert agent.analysed(ix, "Who calls buy?", lambda p: '{"type": "callees", "symbols": ["main"]}')["symbol"] == "main"
+    assert agent.analysed(ix, "Who calls buy?", lambda p: '{"type": "odd", "symbols": []}')["type"] == "unknown" and agent.analysed(ix, "Who calls buy?", lambda p: "no JSON")["type"] == "callers"
+    got = agent.ask(ix, "Who calls buy?", lambda s: [("explore", ["callers of buy"])] if s["round"] == 0 else [], sub_agent=True)
+    assert got.evidence.items[0][1] == "exploration" and got.error is None
+
+
+def test_global_search_selects_from_the_top_down(spark, built):
+    ix = Index(spark, built)
+    rows = ix.global_context("price of a book in the cart", dynamic=True)["reports"].collect()
+    flat = ix.global_context("price of a book in the cart", k=1000)["reports"].collect()
+    assert rows and {r["report"] for r in rows} <= {r["report"] for r in flat}
+    children = {(r["level"], r["parent"]) for r in rows if r["parent"]}
+    assert not {(r["level"] + 1, r["community"]) for r in rows} & children
