@@ -115,7 +115,8 @@ def hops(relations: DataFrame, start: DataFrame, goal: DataFrame, most: int = 32
         front = keep(step.select(F.col("b").alias("id"), F.lit(hop).alias("hop"), "via").join(seen.select("id"), "id", "left_anti"))
         if not front.limit(1).count():
             break
-        seen = keep(seen.unionByName(front))
+        # what was reached is the union of the written frontiers
+        seen = seen.unionByName(front)
     return seen
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -465,12 +466,18 @@ def classify_files(spark, sf_dir):
     return p.select("page_id", "path", excluded(F.col("path")).alias("excluded"), kind_of(F.col("path")).alias("kind"), language_of(F.col("path")).alias("language"))
 
 
+@lru_cache(maxsize=2)
+def _communities(application: str, sf_dir: str) -> DataFrame:
+    """Made once for a session and folder."""
+    from ..operators import community
+    from ..sources.staging import staged
+
+    return staged(community.communities(*_view(SparkSession.getActiveSession(), sf_dir, None)), "communities")
+
+
 @query(None)
 def communities(spark, sf_dir):
-    from ..operators.community import communities as split
-
-    v, e = _view(spark, sf_dir, None)
-    return split(v, e)
+    return _communities(spark.sparkContext.applicationId, sf_dir)
 
 
 @query(f"""WITH RECURSIVE {E}, n AS MATERIALIZED (SELECT id, seq, row_number() OVER (ORDER BY id) AS r FROM v),
@@ -489,10 +496,8 @@ def connected_components(spark, sf_dir):
 def community_invariants(spark, sf_dir):
     """What any set of communities has to keep: each level is a partition of all vertices, each community lies in its parent, and the last level's are small."""
     from ..operators import community
-    from ..sources.staging import staged
 
-    v, e = _view(spark, sf_dir, None)
-    found = staged(community.communities(v, e), "communities")
+    found = _communities(spark.sparkContext.applicationId, sf_dir)
     members = found.select("level", "community", "parent", "size", F.explode("entity_ids").alias("id"))
     above = members.select((F.col("level") + 1).alias("level"), "id", F.col("community").alias("above"))
     fits = found.groupBy("level").agg(F.every(F.size("entity_ids") == F.col("size")).alias("sizes_fit"), F.max("size").alias("largest"))
