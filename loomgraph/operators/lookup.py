@@ -165,7 +165,7 @@ def config_affects(entities: DataFrame, relations: DataFrame, key: str, kinds=("
 
 def files_for(entities: DataFrame, relations: DataFrame, term: str, limit: int = FILES) -> DataFrame:
     """``file, weight`` of the files around a term: 3 for each match's own file, 1 for each of its distinct neighbours either way."""
-    found = find_entity(entities, term).select("id", "file")
+    found = staged(find_entity(entities, term).select("id", "file"), "matches")
     side = lambda here, there, way: touching(relations.select(here, there), here, found).select(F.col(here).alias("id"), F.col(there).alias("other"), F.lit(way).alias("way"))
     around = side("source", "target", 0).unionByName(side("target", "source", 1)).distinct().join(entities.select(F.col("id").alias("other"), "file"), "other").select("file", F.lit(1).alias("w"))
     own = found.select("file", F.lit(3).alias("w"))
