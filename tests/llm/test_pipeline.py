@@ -34,3 +34,29 @@ def test_stages_by_brute_force(spark, sf):
     rows = corpus_pipeline.run(spark, sf).collect()
     assert {r["doc_id"] for r in rows} == set(texts) and ranks_path()
     assert all(r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest() for r in rows)
+
+
+def tables(spark, folder, docs, items):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(0, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_awkward_rows(spark, odd, tmp_path):
+    """Nulls, empty texts, repeated rows, labels that say nothing and clashing columns go through all stages."""
+    sf = tables(spark, tmp_path / "odd", odd, [(1, "Repeated row with the same words twice in the table."), (2, None), (None, "one")])
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    line = corpus_pipeline.drop_repeated_lines(spark, docs, sf)
+    assert line.columns == docs.columns
+    lost = {r["doc_id"]: r for r in line.collect()}
+    assert (lost[1]["text"], lost[1]["n_chars"], lost[0]["text"], lost[2]["text"]) == ("", 0, odd.where("doc_id = 0").first()["text"], None)
+    rows = corpus_pipeline.run(spark, sf).collect()
+    assert sorted((r["doc_id"] for r in rows), key=str) == [0, 1, 2, 3, 4, 5, 6, 7, 8, None]
+    tokens = {r["doc_id"]: r["n_tokens"] for r in rows}
+    assert [tokens[d] for d in (1, 2, 3)] == [0, 0, 0] and all(tokens[d] for d in (None, 0, 4, 5, 6, 7, 8))
+
+
+def test_empty_table(spark, none, tmp_path):
+    sf = tables(spark, tmp_path / "none", none, [])
+    assert corpus_pipeline.run(spark, sf).collect() == []
