@@ -4,6 +4,13 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 All but the last return the columns of documents. Documents that the toxicity classifier rejects go; blocks of lines
 that an earlier document has are deleted; one document of each group of near-duplicates stays; documents that hold a
 benchmark item go; what is left is encoded and decoded.
+
+Defined cases, in every stage: a null text is treated as an empty one and stays null up to the last stage, which gives it
+no tokens; rows without a doc_id are scored, searched and encoded, but are neither copies of others nor the copied; rows
+of one doc_id are no copies of one another, and near dedup keeps or drops them together; of copies the one with the
+smallest doc_id stays; a text that loses all its lines stays as an empty one; without usable labels nothing is toxic, and
+without usable items nothing is contaminated; an empty table gives no rows; extra columns, whatever their names, pass
+through all stages but the last.
 """
 
 from __future__ import annotations
