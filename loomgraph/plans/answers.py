@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import route
+from ..functions import route, vectors
 from ..operators import lookup, search
 from ..sources import tables as sink
 from .embed import nearest_vectors
@@ -88,6 +88,12 @@ class Index:
         table = self.t["embeddings"].where(F.col("part") == part).select("key", "vector")
         return nearest_vectors(q, table, k, key="key").where("similarity > 0").select("key", "similarity", "rank")
 
+    def _similar(self, question: str, part: str) -> DataFrame:
+        """``key, similarity`` of all rows that share anything with the question, unranked: the question's vector is a literal."""
+        q = self.settings.embed(self.spark.createDataFrame([(0, question)], "query_id int, text string"), "query_id", "text").first()["vector"]
+        table = self.t["embeddings"].where(F.col("part") == part)
+        return table.select("key", vectors.cosine(F.col("vector"), F.array(*map(F.lit, q))).alias("similarity")).where("similarity > 0")
+
     def local_context(self, question: str, k: int = 10, level: int = 2) -> dict[str, DataFrame]:
         """The nearest entities, their relationships and text units, and reports of their communities."""
         near = self._nearest(question, "entity", k).withColumnRenamed("key", "title")
@@ -98,7 +104,7 @@ class Index:
         rel = self.t["relationships"]
         around = rel.join(ends.withColumnRenamed("title", "source"), "source", "left_semi").unionByName(rel.join(ends.withColumnRenamed("title", "target"), "target", "left_semi").select(rel.columns)).distinct()
         ids = self.entities.join(ends, "title").select("id")
-        inside = self.t["communities"].where(F.col("level") <= level).select("level", "community", F.explode("entity_ids").alias("id")).join(F.broadcast(ids), "id").select("level", "community").distinct()
+        inside = self.t["community_members"].where(F.col("level") <= level).select("level", "community", "id").join(F.broadcast(ids), "id").select("level", "community").distinct()
         reports = self.t["community_reports"].join(inside, ["level", "community"])
         return {"entities": found, "relationships": around.orderBy(F.desc("weight"), "seq"), "text_units": units.orderBy("unit_id"), "reports": reports.orderBy("level", "community")}
 
@@ -113,14 +119,14 @@ class Index:
         if not dynamic:
             near = self._nearest(question, "report", k).withColumnRenamed("key", "report")
             return {"reports": named.join(F.broadcast(near), "report").orderBy("rank")}
-        every = self._nearest(question, "report", named.count()).withColumnRenamed("key", "report")
+        every = self._similar(question, "report").withColumnRenamed("key", "report")
         scored = named.join(every, "report").join(self.t["communities"].select("level", "community", "parent"), ["level", "community"])
         kept = scored.where("level = 0")
         for below in range(1, level + 1):
             above = kept.where(F.col("level") == below - 1).select(F.col("community").alias("parent"))
             kept = kept.unionByName(scored.where(F.col("level") == below).join(above, "parent", "left_semi").select(kept.columns))
         parents = kept.where("parent is not null").select((F.col("level") - 1).alias("level"), F.col("parent").alias("community")).distinct()
-        return {"reports": kept.join(parents, ["level", "community"], "left_anti").orderBy("rank").limit(k)}
+        return {"reports": kept.join(parents, ["level", "community"], "left_anti").orderBy(F.desc("similarity"), "report").limit(k)}
 
     def basic_context(self, question: str, k: int = 10) -> dict[str, DataFrame]:
         near = self._nearest(question, "unit", k).withColumnRenamed("key", "id")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -466,18 +465,11 @@ def classify_files(spark, sf_dir):
     return p.select("page_id", "path", excluded(F.col("path")).alias("excluded"), kind_of(F.col("path")).alias("kind"), language_of(F.col("path")).alias("language"))
 
 
-@lru_cache(maxsize=2)
-def _communities(application: str, sf_dir: str) -> DataFrame:
-    """Made once for a session and folder."""
-    from ..operators import community
-    from ..sources.staging import staged
-
-    return staged(community.communities(*_view(SparkSession.getActiveSession(), sf_dir, None)), "communities")
-
-
 @query(None)
 def communities(spark, sf_dir):
-    return _communities(spark.sparkContext.applicationId, sf_dir)
+    from ..operators import community
+
+    return community.communities(community.memberships(*_view(spark, sf_dir, None)))
 
 
 @query(f"""WITH RECURSIVE {E}, n AS MATERIALIZED (SELECT id, seq, row_number() OVER (ORDER BY id) AS r FROM v),
@@ -492,20 +484,46 @@ def connected_components(spark, sf_dir):
 
 
 @query(f"""WITH {E}, l AS (SELECT unnest([0, 1, 2])::INT AS level) SELECT level, (SELECT count(*) FROM v) AS members, (SELECT count(*) FROM v) AS distinct_members, true AS sizes_fit,
-  level < 2 OR NULL AS no_bound, true AS nested FROM l""")
+  level < 2 OR NULL AS no_bound, true AS nested, true AS connected FROM l""")
 def community_invariants(spark, sf_dir):
-    """What any set of communities has to keep: each level is a partition of all vertices, each community lies in its parent, and the last level's are small."""
+    """What any set of communities has to keep: each level is a partition of all vertices, each community lies in its parent and is connected, and the last level's are small."""
     from ..operators import community
+    from ..sources.staging import staged
 
-    found = _communities(spark.sparkContext.applicationId, sf_dir)
-    members = found.select("level", "community", "parent", "size", F.explode("entity_ids").alias("id"))
+    nodes, edges = _view(spark, sf_dir, None)
+    edges = staged(edges.select("source", "target", "weight"), "edges")
+    members = staged(community.complete(community.memberships(nodes, edges)), "members")
+    found = community.communities(members)
     above = members.select((F.col("level") + 1).alias("level"), "id", F.col("community").alias("above"))
-    fits = found.groupBy("level").agg(F.every(F.size("entity_ids") == F.col("size")).alias("sizes_fit"), F.max("size").alias("largest"))
+    listed = F.when(F.col("entity_ids").isNull(), F.col("size") > community.LISTED).otherwise(F.size("entity_ids") == F.col("size"))
+    fits = found.groupBy("level").agg(F.every(listed).alias("sizes_fit"), F.max("size").alias("largest"), F.count("*").alias("communities"))
     each = members.join(above, ["level", "id"], "left").groupBy("level").agg(
         F.count("*").alias("members"), F.count_distinct("id").alias("distinct_members"), F.every((F.col("level") == 0) | (F.col("above") == F.col("parent"))).alias("nested"),
     )
+    # one graph of all levels, with the edges inside communities
+    name = lambda c: F.concat(F.col("level").cast("string"), F.lit("/"), c)
+    ends = lambda of: members.select("level", F.col("id").alias(of), F.col("community").alias(f"of_{of}"))
+    inside = edges.join(ends("source"), "source").join(ends("target"), ["level", "target"]).where("of_source = of_target").select(name("source").alias("source"), name("target").alias("target"), "weight")
+    parts = community.connected(members.select(name("id").alias("id")), inside).groupBy(F.substring_index("id", "/", 1).cast("int").alias("level")).agg(F.count_distinct("label").alias("parts"))
     bound = F.when((F.col("level") < 2) | (F.col("largest") > community.MOST), True)
-    return each.join(fits, "level").select("level", "members", "distinct_members", "sizes_fit", bound.alias("no_bound"), "nested")
+    return each.join(fits, "level").join(parts, "level").select("level", "members", "distinct_members", "sizes_fit", bound.alias("no_bound"), "nested", (F.col("parts") == F.col("communities")).alias("connected"))
+
+
+@query(f"WITH {E} SELECT (SELECT count(*) FROM v) AS vertices, true AS only_large_are_split, true AS all_large_are_split, true AS children_make_up_parents, true AS levels_follow")
+def community_hierarchy(spark, sf_dir):
+    """Which communities are split: those of more than the bound, all of them, and into all of their members."""
+    from ..operators import community
+    from ..sources.staging import staged
+
+    members = staged(community.memberships(*_view(spark, sf_dir, None)), "members")
+    sizes = members.groupBy("level", "community").agg(F.count("*").alias("size"), F.count_distinct("parent").alias("parents"))
+    inner = members.where("level > 0").groupBy((F.col("level") - 1).alias("level"), F.col("parent").alias("community")).agg(F.count_distinct("id").alias("inner"), F.count("*").alias("rows"))
+    large = F.col("size") > community.MOST
+    judged = sizes.join(inner, ["level", "community"], "full_outer").agg(
+        F.sum(F.when(F.col("level") == 0, F.col("size"))).alias("vertices"), F.every(F.col("inner").isNull() | large).alias("only_large_are_split"), F.every(F.col("inner").isNotNull() | ~large).alias("all_large_are_split"),
+        F.every(F.coalesce((F.col("inner") == F.col("size")) & (F.col("rows") == F.col("size")), F.col("inner").isNull())).alias("children_make_up_parents"), F.every(F.coalesce("parents", F.lit(-1)) == F.when(F.col("level") == 0, 0).otherwise(1)).alias("levels_follow"),
+    )
+    return judged
 
 
 _END = "\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}"
