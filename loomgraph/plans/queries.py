@@ -398,6 +398,33 @@ def knn_cosine(spark, sf_dir):
     return nearest_vectors(queries, table, 5, key="vec_id", vector="embedding").withColumn("similarity", F.round("similarity", 6))
 
 
+def _vector_index(spark, sf_dir):
+    from ..operators import vector_index
+    from ..sources.staging import fresh
+
+    table, path = g.read(spark, sf_dir, "embeddings"), fresh(spark, "vectors")
+    vector_index.write(table, "vec_id", "embedding", path)
+    return vector_index.Index(spark, path), table.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@query(ORACLES["knn_cosine"])
+def vector_index_exact(spark, sf_dir):
+    """The same rows as without an index: cells that can hold nothing better are left out."""
+    index, queries = _vector_index(spark, sf_dir)
+    return index.exact(queries, 5).select("query_id", F.col("key").alias("vec_id"), "rank", F.round("similarity", 6).alias("similarity"))
+
+
+@query("SELECT count(*) AS queries, 5 * count(*) AS neighbours, true AS recall_of_nine_tenths FROM embeddings WHERE vec_id % 100 = 0")
+def vector_index_recall(spark, sf_dir):
+    """Of the exact neighbours, how many a search finds with as many cells and candidates as the index was set to."""
+    from ..operators import vector_index
+
+    index, queries = _vector_index(spark, sf_dir)
+    truth, found = knn_cosine(spark, sf_dir).withColumnRenamed("vec_id", "key"), index.search(queries, 5)
+    share = vector_index.recall(found, truth)
+    return found.agg(F.count_distinct("query_id").alias("queries"), F.count("*").alias("neighbours"), F.lit(share >= 0.9).alias("recall_of_nine_tenths"))
+
+
 _EVIDENCE_SQL = "ev AS (SELECT 'turn' AS source, role AS kind, left(text, 12) AS title, text AS content, (turn % 3)::DOUBLE AS weight, '' AS loc, conv_id * 100 + turn AS seq, conv_id FROM conversations)"
 
 

@@ -24,11 +24,16 @@ def root(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/loomgraph-{spark.sparkContext.applicationId}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written and read again: its plan ends here, and it survives lost executors. Removed when the application ends."""
-    spark = df.sparkSession
+def fresh(spark: SparkSession, name: str) -> str:
+    """A path below :func:`root` that nothing is at yet, removed when the application ends."""
     path = f"{root(spark)}/{name}-{uuid.uuid4().hex}"
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written and read again: its plan ends here, and it survives lost executors. Removed when the application ends."""
+    path = fresh(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
