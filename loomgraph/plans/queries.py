@@ -360,6 +360,37 @@ def search_docs_count(spark, sf_dir):
     return search.search_documentation(_units(spark, sf_dir), "the").select("doc_id", "hits")
 
 
+def _text_index(spark, units):
+    from ..operators import text_index
+    from ..sources.staging import fresh
+
+    path = fresh(spark, "postings")
+    text_index.write(units, path)
+    return text_index.Index(spark, path)
+
+
+@query(_search_sql("thention", False))
+def indexed_source_search(spark, sf_dir):
+    """The same rows as by a scan: postings of the rarest trigrams, and the texts that are left."""
+    return _text_index(spark, _units(spark, sf_dir)).search_source("THENTION ").select("doc_id", "hits")
+
+
+@query(_search_sql("ung der", True))
+def indexed_docs_search(spark, sf_dir):
+    return _text_index(spark, _units(spark, sf_dir)).search_documentation("ung der").select("doc_id", "hits")
+
+
+_INDEXED = r"WITH {E} SELECT source, target, type, weight FROM e WHERE starts_with(description, 'DEFINES:') AND (contains(source, '5ab3') OR contains(target, '5ab3') OR contains(lower(description), '5ab3')) ORDER BY weight DESC, seq LIMIT 8"
+
+
+@query(_INDEXED.replace("{E}", E))
+def indexed_relations_search(spark, sf_dir):
+    from ..operators.text_index import relation_texts
+
+    v, e = _view(spark, sf_dir, ["CONTAINS", "DEFINES"], ["region", "nation", "customer", "supplier", "order"])
+    return _text_index(spark, relation_texts(e)).find_relations("5ab3", "DEFINES").select("source", "target", "type", "weight")
+
+
 @query(r"""WITH l AS (SELECT page_id, unnest(string_split(regexp_replace(regexp_replace(html, '<(h[1-4]|title)>', chr(10) || '# ', 'g'), '</(h[1-4]|title)>', chr(10), 'g'), chr(10))) AS line FROM pages), s AS (SELECT page_id, trim(regexp_extract(line, '^#{1,4}\s+(.+)$', 1)) AS section FROM l)
   SELECT page_id, section, count(*) AS n FROM s WHERE section <> '' AND length(section) < 120 GROUP BY ALL""")
 def doc_sections(spark, sf_dir):
