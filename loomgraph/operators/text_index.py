@@ -17,8 +17,11 @@ nothing; an empty table gives no rows.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.identity import occurrences
 from . import search
@@ -48,7 +51,9 @@ def write(units: DataFrame, path: str) -> None:
     """Index ``units`` (text, seq and any other columns) below ``path``."""
     numbered = units.withColumn("block", F.floor(F.col("seq") / BLOCK).cast("long")).withColumn("folder", F.floor(F.col("seq") / (BLOCK * SPAN)).cast("long"))
     numbered.repartitionByRange("seq").sortWithinPartitions("seq").write.mode("overwrite").partitionBy("folder").parquet(f"{path}/units")
-    stored = units.sparkSession.read.parquet(f"{path}/units")
+    spark = units.sparkSession
+    spark.createDataFrame([(numbered.schema.json(),)], "fields string").coalesce(1).write.mode("overwrite").parquet(f"{path}/schema")
+    stored = _units(spark, path)
     has = stored.where(_has_trigrams(F.col("text")))
     each = has.select("block", (F.col("seq") % BLOCK).cast("int").alias("place"), F.explode(trigrams(F.col("text"))).alias("gram"))
     lists = each.groupBy("gram", "block").agg(F.array_sort(F.collect_list("place")).alias("places")).withColumn("n", F.size("places"))
@@ -56,6 +61,12 @@ def write(units: DataFrame, path: str) -> None:
     lists.write.mode("overwrite").option("parquet.writer.version", "PARQUET_2_0").option("parquet.enable.dictionary", "false").partitionBy("bucket").parquet(f"{path}/postings")
 
 
+def _units(spark: SparkSession, path: str) -> DataFrame:
+    """The units; an empty table has no file that would tell its columns."""
+    fields = spark.read.parquet(f"{path}/schema").first()["fields"]
+    return spark.read.schema(T.StructType.fromJson(json.loads(fields))).parquet(f"{path}/units")
+
+
 def _bucket(gram: Column) -> Column:
     return F.pmod(F.xxhash64(gram), F.lit(BUCKETS)).cast("int")
 
@@ -63,8 +74,8 @@ def _bucket(gram: Column) -> Column:
 class Index:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark = spark
-        self.units = spark.read.parquet(f"{path}/units")
-        self.postings = spark.read.parquet(f"{path}/postings")
+        self.units = _units(spark, path)
+        self.postings = spark.read.schema("gram string, block long, places array<int>, n int, bucket int").parquet(f"{path}/postings")
 
     def _grams(self, term: str) -> list[tuple[str, int]]:
         """Trigrams of a term as the index has them, with their folders."""

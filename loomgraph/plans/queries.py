@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import identity, route, vectors
-from ..operators import evidence, lookup, merge, resolve, search
+from ..operators import evidence, lookup, merge, resolve, search, sweep
 from . import graph_view as g
 from . import table_tree
 
@@ -204,7 +204,7 @@ def enclosing_interval_join(spark, sf_dir):
     r = g.read(spark, sf_dir, "region").select(c("r_regionkey").alias("k"), (c("r_regionkey") * 400).alias("a"), (c("r_regionkey") * 400 + 900).alias("b"))
     n = g.read(spark, sf_dir, "nation").select((c("n_nationkey") + 100).alias("k"), (c("n_nationkey") * 90).alias("a"), (c("n_nationkey") * 90 + 70).alias("b"))
     points = g.read(spark, sf_dir, "events").select("event_id", (c("event_id") % 2400).alias("at"))
-    out = resolve.enclosing_bucketed(points, r.unionByName(n), "at", "a", "b", "k", ["event_id"], 200)
+    out = sweep.innermost(points, r.unionByName(n), [], "at", "a", "b", "k")
     return out.select("event_id", c("k").alias("span"), c("a").alias("start"))
 
 
