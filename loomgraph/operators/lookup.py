@@ -6,13 +6,15 @@ DataFrame; none that has nothing to show fails.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.identity import match_score
-from ..sources.staging import staged
+from ..sources.staging import fresh, staged
 
 CODE = ["function", "method", "class"]
 #: Matches that a symbol's location shows, files that are shown as related, keys and affected entities of a configuration.
@@ -97,27 +99,92 @@ def inherits(entities: DataFrame, relations: DataFrame, term: str, types=("class
     return out.withColumn("direction", F.lit("out")).unionByName(back.withColumn("direction", F.lit("in")))
 
 
-def hops(relations: DataFrame, start: DataFrame, goal: DataFrame, most: int = 32, directed: bool = True) -> DataFrame:
-    """Breadth-first search from ``start`` (id): ``id, hop, via`` of everything reached until a row of ``goal`` (id) is.
+class Paths:
+    """Relations stored twice, in buckets by source and in buckets by target, for searches of shortest paths between two ends.
 
-    Each hop joins the frontier with the edges and leaves out what was reached before; the frontier is a written table.
+    A hop joins a frontier with the edges where they lie: the frontier alone is moved, or named in a filter if it is small.
     """
-    edges = relations.select(F.col("source").alias("a"), F.col("target").alias("b"), "seq")
-    if not directed:
-        edges = edges.unionByName(relations.select(F.col("target").alias("a"), F.col("source").alias("b"), "seq"))
-    keep = lambda df: staged(df, "reached")
-    seen = keep(start.select("id", F.lit(0).alias("hop"), F.lit(None).cast("string").alias("via")))
-    front = seen
-    for hop in range(1, most + 1):
-        if seen.join(goal.select("id"), "id", "left_semi").limit(1).count():
-            break
-        step = edges.join(front.select(F.col("id").alias("a")), "a").groupBy("b").agg(F.min_by("a", "seq").alias("via"))
-        front = keep(step.select(F.col("b").alias("id"), F.lit(hop).alias("hop"), "via").join(seen.select("id"), "id", "left_anti"))
-        if not front.limit(1).count():
-            break
-        # what was reached is the union of the written frontiers
-        seen = seen.unionByName(front)
-    return seen
+
+    def __init__(self, relations: DataFrame, buckets: int | None = None) -> None:
+        self.spark = relations.sparkSession
+        self.buckets = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        edges = relations.select(F.col("source").alias("a"), F.col("target").alias("b"), "seq")
+        self.names: list[str] = []
+        self.out, self.into = self._stored(edges, "a"), self._stored(edges, "b")
+
+    def _stored(self, edges: DataFrame, by: str) -> DataFrame:
+        name = f"loomgraph_edges_{uuid.uuid4().hex}"
+        edges.repartition(self.buckets, by).write.bucketBy(self.buckets, by).sortBy(by).option("path", fresh(self.spark, "edges")).saveAsTable(name)
+        self.names.append(name)
+        return self.spark.table(name)
+
+    def close(self) -> None:
+        """Forget the tables; their files go with the application's other scratch tables."""
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def __enter__(self) -> Paths:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def _from(self, front: DataFrame, many: int, forward: bool, directed: bool) -> DataFrame:
+        """``a, b, seq``: the edges that lead from a frontier (id) forward, or into it; b is the new end, a the frontier's."""
+        ids = [r["id"] for r in front.collect()] if many <= FEW else None
+
+        def met(edges: DataFrame, here: str, there: str) -> DataFrame:
+            some = edges.where(F.col(here).isin(ids)) if ids is not None else edges.join(front.select(F.col("id").alias(here)), here, "left_semi")
+            return some.select(F.col(here).alias("a"), F.col(there).alias("b"), "seq")
+
+        ahead = met(self.out, "a", "b") if forward or not directed else None
+        back = met(self.into, "b", "a") if not forward or not directed else None
+        return ahead.unionByName(back) if ahead is not None and back is not None else ahead if ahead is not None else back
+
+    def shortest(self, start, goal, most: int = 32, directed: bool = True) -> list:
+        """The ids of a shortest path of at most ``most`` edges; empty if there is none. Of equal paths, each step back from the goal takes the earliest relation.
+
+        Both ends are searched at once, a whole hop of the smaller frontier at a time, until the frontiers meet.
+        """
+        if start == goal:
+            return [start]
+        kind = self.out.schema["a"].dataType
+        one = lambda x: staged(self.spark.createDataFrame([(x,)], T.StructType([T.StructField("id", kind)])), "reached")
+        sides = [[(one(start), 1)], [(one(goal), 1)]]
+        met = None
+        while met is None and sum(len(s) - 1 for s in sides) < most:
+            way = 0 if sides[0][-1][1] <= sides[1][-1][1] else 1
+            front, many = sides[way][-1]
+            new = self._from(front, many, way == 0, directed).select(F.col("b").alias("id")).distinct()
+            # of a layer's neighbours, only the layers next to it can hold what was reached before, if edges go both ways
+            for layer, _ in sides[way] if directed else sides[way][-2:]:
+                new = new.join(layer, "id", "left_anti")
+            new = staged(new, "reached")
+            many = new.count()
+            if not many:
+                return []
+            sides[way].append((new, many))
+            # the frontiers meet for the first time in their last layers
+            both = new.join(sides[1 - way][-1][0], "id", "left_semi")
+            met = staged(both, "met") if both.limit(1).count() else None
+        return self._walked([f for f, _ in sides[0]], [f for f, _ in sides[1]], met, directed) if met is not None else []
+
+    def _walked(self, ahead: list[DataFrame], back: list[DataFrame], met: DataFrame, directed: bool) -> list:
+        """The path through the layers of both sides, which meet in ``met``: for each layer, the edge from the one before it."""
+        # towards the start, what leads to met; from there on, what met leads to
+        layers = [met]
+        for layer in reversed(ahead[:-1]):
+            before = self._from(layers[0], layers[0].limit(FEW + 1).count(), False, directed).select(F.col("b").alias("id")).distinct()
+            layers.insert(0, staged(before.join(layer, "id", "left_semi"), "layer"))
+        for layer in reversed(back[:-1]):
+            after = self._from(layers[-1], layers[-1].limit(FEW + 1).count(), True, directed).select(F.col("b").alias("id")).distinct()
+            layers.append(staged(after.join(layer, "id", "left_semi"), "layer"))
+        path = layers[0].select("id", F.array("id").alias("path"))
+        for before, layer in zip(layers, layers[1:]):
+            step = self._from(layer, layer.limit(FEW + 1).count(), False, directed).join(before.select(F.col("id").alias("b")), "b", "left_semi")
+            via = step.groupBy(F.col("a").alias("id")).agg(F.min_by("b", F.struct("seq", "b")).alias("via"))
+            path = via.join(path.select(F.col("id").alias("via"), "path"), "via").select("id", F.concat("path", F.array("id")).alias("path"))
+        return path.first()["path"]
 
 
 def call_path(entities: DataFrame, relations: DataFrame, source: str, target: str, from_types=("function", "method", "api"), to_types=("function", "method", "class"), most: int = 32) -> DataFrame:
@@ -127,18 +194,14 @@ def call_path(entities: DataFrame, relations: DataFrame, source: str, target: st
     relation. Nothing is found: no rows.
     """
     spark = entities.sparkSession
-    a, b = best(entities, source, list(from_types)).select("id"), best(entities, target, list(to_types)).select("id")
-    end = b.first()
-    ids: list[str] = []
-    for directed in (True, False):
-        if end is None or ids:
-            break
-        reached = hops(relations, a, b, most, directed)
-        at = reached.where(F.col("id") == end["id"]).first()
-        while at is not None:
-            ids.insert(0, at["id"])
-            at = reached.where(F.col("id") == at["via"]).first() if at["via"] else None
-    steps = spark.createDataFrame(list(enumerate(ids)), "step int, id string")
+    a, b = best(entities, source, list(from_types)).select("id").first(), best(entities, target, list(to_types)).select("id").first()
+    ids: list = []
+    if a and b:
+        with Paths(relations) as paths:
+            ids = paths.shortest(a["id"], b["id"], most) or paths.shortest(a["id"], b["id"], most, directed=False)
+    kind = entities.schema["id"].dataType.simpleString()
+    steps = spark.createDataFrame(list(enumerate(ids)), f"step int, id {kind}")
+    # at most ``most`` + 1 rows
     return entities.join(F.broadcast(steps), "id")
 
 

@@ -155,6 +155,7 @@ def write(table: DataFrame, key: str, vector: str, path: str, cells: int | None
     listed = [("centre", i, 0, c.tolist(), radius.get(i, -1.0)) for i, c in enumerate(model.centres)]
     listed += [("code", i, g, c.tolist(), None) for g, b in enumerate(model.books) for i, c in enumerate(b)]
     listed.append(("search", model.probes, model.again, [], None))
+    listed.append((f"key {kind.simpleString()}", 0, 0, [], None))
     spark.createDataFrame(listed, "part string, i int, grp int, vector array<double>, radius double").coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
 
 
@@ -168,17 +169,24 @@ class Index:
         books = [np.array([r["vector"] for r in codes if r["grp"] == g]) for g in range(1 + max(r["grp"] for r in codes))]
         (how,) = [r for r in rows if r["part"] == "search"]
         self.model = Model(np.array([r["vector"] for r in centres]), books, np.array([r["radius"] for r in centres]), how["i"], how["grp"])
-        # the path is there and its schema known: cells are never listed by type
-        self.rows = spark.read.option("basePath", f"{path}/rows").parquet(f"{path}/rows")
+        (key,) = [r["part"] for r in rows if r["part"].startswith("key ")]
+        #: No vector with a direction was indexed, so that their length is not known.
+        self.blank = bool((self.model.radius < 0).all())
+        # an empty table has no file that would tell its columns
+        self.rows = spark.read.schema(f"{key}, vector array<float>, codes binary, far double, cell int").parquet(f"{path}/rows")
 
     def _blocks(self, queries: DataFrame, query: str, vector: str) -> Iterator[tuple[list, np.ndarray, list]]:
         rows = [(r[0], r[1]) for r in queries.select(query, vector).where(F.col(vector).isNotNull()).orderBy(query).collect()]
         for i in range(0, max(1, len(rows)), QUERIES):
             block = rows[i : i + QUERIES]
-            yield [r[0] for r in block], unit([r[1] for r in block], self.model.centres.shape[1]), [r[1] for r in block]
+            dim = len(block[0][1]) if block and self.blank else self.model.centres.shape[1]
+            yield [r[0] for r in block], unit([r[1] for r in block], dim), [r[1] for r in block]
 
     def search(self, queries: DataFrame, k: int, probes: int | None = None, query: str = "query_id", vector: str = "embedding") -> DataFrame:
         """``query, key, similarity, rank`` of about the k nearest rows of every query; ties by key. ``probes``: cells that are looked into, if not as many as the index was set to."""
+        if self.blank:
+            kind, stored = queries.schema[query].dataType.simpleString(), self.rows.schema["key"].dataType.simpleString()
+            return self.spark.createDataFrame([], f"{query} {kind}, key {stored}, similarity double, rank int")
         cells = len(self.model.centres)
         probes = min(cells, probes or self.model.probes)
         out = None
@@ -234,7 +242,9 @@ class Index:
             bound[r[query]] = r["similarity"]
         for names, q, _ in self._blocks(queries, query, vector):
             known = np.array([bound.get(n, -1.0) for n in names])
-            apart = np.sqrt(np.maximum(0.0, ((q[:, None, :] - model.centres[None]) ** 2).sum(2))) if len(names) else np.zeros((0, len(model.centres)))
+            apart = np.zeros((len(names), len(model.centres)))
+            if len(names) and not self.blank:
+                apart = np.sqrt(np.maximum(0.0, (q * q).sum(1)[:, None] + (model.centres**2).sum(1) - 2 * q @ model.centres.T))
             reach = np.sqrt(np.maximum(0.0, 2 - 2 * known))[:, None] + 1e-6
             need = (apart - model.radius[None] <= reach) & (model.radius[None] >= 0)
             need = need | ~q.any(1)[:, None]

@@ -178,6 +178,38 @@ def call_path_bfs(spark, sf_dir):
     return path.agg(F.min_by("id", "step").alias("source"), F.max_by("id", "step").alias("target"), F.max("step").alias("hops"))
 
 
+def _path_sql(directed: bool, source: str, kind: str, to: str, key: int) -> str:
+    rank = {"customer": 2, "part": 4}[to]
+    way = "SELECT a, b, seq FROM k" if directed else "SELECT a, b, seq FROM k UNION ALL SELECT b, a, seq FROM k"
+    return f"""WITH RECURSIVE {E}, s AS MATERIALIZED (SELECT seq AS id FROM ({best_sql(source, [kind])})), t AS MATERIALIZED (SELECT {rank * g.SPAN}::BIGINT + {key} AS id), u AS MATERIALIZED ({way}),
+  d(id, hop) USING KEY (id) AS (SELECT id, 0 FROM s UNION SELECT u.b, d.hop + 1 FROM d JOIN u ON u.a = d.id LEFT JOIN recurring.d o ON o.id = u.b WHERE o.id IS NULL AND d.hop < 8),
+  f AS MATERIALIZED (SELECT id, hop FROM d),
+  w(id, hop) AS (SELECT f.id, f.hop FROM f JOIN t USING (id) UNION ALL SELECT arg_min(f.id, (u.seq, f.id)), w.hop - 1 FROM w JOIN u ON u.b = w.id JOIN f ON f.id = u.a AND f.hop = w.hop - 1 GROUP BY w.hop)
+  SELECT hop::INT AS step, v.id, v.qualified_name FROM w JOIN v ON v.seq = w.id"""
+
+
+def _path(spark, sf_dir, directed: bool, source: str, kind: str, to: str, key: int) -> DataFrame:
+    v, e = _keyed(spark, sf_dir, None)
+    start = lookup.best(v, source, types=[kind]).first()["id"]
+    goal = v.where((F.col("type") == to) & (F.col("seq") % g.SPAN == key)).first()["id"]
+    with lookup.Paths(e) as paths:
+        ids = paths.shortest(start, goal, 8, directed)
+    steps = spark.createDataFrame(list(enumerate(ids)), "step int, id long")
+    return v.join(F.broadcast(steps), "id").select("step", F.col("long_id").alias("id"), "qualified_name")
+
+
+@query(_path_sql(True, "ASIA", "region", "part", 7))
+def shortest_path_directed(spark, sf_dir):
+    """Over relations of all types, each along its direction."""
+    return _path(spark, sf_dir, True, "ASIA", "region", "part", 7)
+
+
+@query(_path_sql(False, "Supplier#000000002", "supplier", "customer", 5))
+def shortest_path_either_way(spark, sf_dir):
+    """Over relations of all types, along them or against them."""
+    return _path(spark, sf_dir, False, "Supplier#000000002", "supplier", "customer", 5)
+
+
 @query(f"""WITH {E}, p AS (SELECT DISTINCT least(source, target) AS a, greatest(source, target) AS b FROM e), n AS (SELECT a AS id FROM p UNION ALL SELECT b FROM p WHERE a <> b)
   SELECT id, count(*) AS degree FROM n GROUP BY id""")
 def vertex_degree(spark, sf_dir):

@@ -77,6 +77,8 @@ def test_far_queries_zero_vectors_ties_and_few_rows(spark):
     assert got(ix.exact(asked(spark, queries), 60)) == brute(same, queries, 60)
     none = fresh(spark, "index")
     vector_index.write(spark.createDataFrame([], SCHEMA), "id", "v", none)
+    empty = vector_index.Index(spark, none)
+    assert empty.search(asked(spark, queries), 7).collect() == [] and empty.exact(asked(spark, queries), 7).collect() == []
 
 
 def test_one_cell_may_hold_most_rows(spark):
