@@ -33,7 +33,7 @@ from .labelled import remainder
 from .text import Words, chunks, hashes, parted, sums, table, words
 
 BUCKETS = 1 << 16
-GRAMS = (1, 2, 3, 4)
+GRAMS = (2, 3, 4)
 #: Languages of a model at most (BUCKETS numbers each).
 MOST_LANGUAGES = 100
 #: Languages of a document that expectation-maximisation considers: those with the largest shares after its first step.
