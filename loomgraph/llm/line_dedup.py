@@ -9,7 +9,9 @@ frequent one with the first, so that what is in n documents makes n - 1 pairs an
 Each pair is aligned by patience diff over the passages they share: the longest chain that ascends in both texts comes
 first, and what lies off it, as it is repeated or in another order, is dealt into further ascending chains by patience
 sorting. Neighbours of a chain that are neighbours in both texts make a block. Every block is a run of BLOCK words or
-more that one earlier document holds, and is deleted from the later one.
+more that one earlier document holds. Of all partners' blocks the longest come first; one whose lines longer ones have
+between them is left out. The blocks that are chosen are what is deleted, and what the output tells: first line and end
+of each, its partner and its first line there.
 
 Which holder a document is paired with does not change what it loses: every holder of a passage has the whole of it, and
 a run of BLOCK words or more is covered by the passages in it. So exactly the lines go that are in a run of BLOCK words
@@ -42,7 +44,7 @@ RARE = 32
 #: Numbers of 4 bytes, of blocks to delete, that may be broadcast; beyond that documents are shuffled.
 BROADCAST_LINES = 2_000_000
 #: Columns that tell what a text has lost.
-REPORT = ("removed_lines", "removed_words", "partners")
+REPORT = ("removed_lines", "removed_words", "partners", "blocks")
 
 
 def lines(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -170,25 +172,31 @@ BLOCKS = "array<struct<begin: int, end: int, partner: bigint, there: int>>"
 
 def aligned(docs: DataFrame, block: int = BLOCK, rare: int = RARE) -> DataFrame:
     """``doc_id, version, blocks`` of each document that loses any: first line and end of each block, the partner that
-    holds it, and its first line there. Blocks of different partners may overlap."""
+    holds it, and its first line there. Chosen blocks may overlap, but none lies within others."""
     rows, scratch = paired(docs, block, rare)
     order = ["doc_id", "version", "partner", "begin", "end"]
     sorted_ = rows.repartition("doc_id", "version").sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_ = None
+        held, last = [], None
         for batch in batches:
-            if batch.num_rows:
-                table = pa.Table.from_batches([batch]) if open_ is None else pa.concat_tables([open_, pa.Table.from_batches([batch])])
-                doc, version = (table.column(i).to_numpy() for i in (0, 1))
-                # the last document may go on in the next batch
-                same = np.flatnonzero((doc[:-1] != doc[1:]) | (version[:-1] != version[1:]))
-                stop = int(same[-1]) + 1 if len(same) else 0
-                if stop:
-                    yield _blocks(table.slice(0, stop))
-                open_ = table.slice(stop)
-        if open_ is not None:
-            yield _blocks(open_)
+            if not batch.num_rows:
+                continue
+            doc, version = (batch.column(i).to_numpy() for i in (0, 1))
+            new = np.flatnonzero((doc[1:] != doc[:-1]) | (version[1:] != version[:-1])) + 1
+            if last != (doc[0], version[0]):
+                new = np.concatenate([[0], new])
+            # the last document may go on in the next batch
+            if len(new):
+                held.append(batch.slice(0, int(new[-1])))
+                done = pa.Table.from_batches(held)
+                if done.num_rows:
+                    yield _blocks(done)
+                held = []
+            held.append(batch.slice(int(new[-1]) if len(new) else 0))
+            last = (doc[-1], version[-1])
+        if held:
+            yield _blocks(pa.Table.from_batches(held))
 
     out = written(sorted_.mapInArrow(lean(run), f"doc_id long, version long, blocks {BLOCKS}"), "blocks")
     forget(*scratch)
@@ -220,6 +228,8 @@ def _blocks(table: pa.Table) -> pa.RecordBatch:
     opens[1:] = (pair[1:] != pair[:-1]) | (chain[1:] != chain[:-1]) | (begin[1:] > end[:-1]) | (begin[1:] - there[1:] != begin[:-1] - there[:-1])
     at = np.flatnonzero(opens)
     till = np.append(at[1:], len(doc)) - 1
+    keep = np.array(chosen(doc[at], version[at], begin[at], end[till], partner[at]), np.int64)
+    at, till = at[keep], till[keep]
     new = np.ones(len(at), bool)
     new[1:] = (doc[at][1:] != doc[at][:-1]) | (version[at][1:] != version[at][:-1])
     heads = np.flatnonzero(new)
@@ -228,6 +238,26 @@ def _blocks(table: pa.Table) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(doc[at][heads]), pa.array(version[at][heads]), blocks], ["doc_id", "version", "blocks"])
 
 
+def chosen(doc: np.ndarray, version: np.ndarray, begin: np.ndarray, end: np.ndarray, partner: np.ndarray) -> list[int]:
+    """Of the blocks of documents, which are kept: in each document the longest first, those of equal length by partner and place, unless kept ones have all of its lines."""
+    out: list[int] = []
+    edges = np.flatnonzero((doc[1:] != doc[:-1]) | (version[1:] != version[:-1])) + 1
+    for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(doc)]):
+        if b - a < 2:
+            out += range(a, b)
+            continue
+        low = int(begin[a:b].min())
+        taken = np.zeros(int(end[a:b].max()) - low, bool)
+        kept = []
+        for i in (a + np.lexsort((begin[a:b], partner[a:b], begin[a:b] - end[a:b]))).tolist():
+            lines_ = taken[begin[i] - low : end[i] - low]
+            if not lines_.all():
+                lines_[:] = True
+                kept.append(i)
+        out += sorted(kept, key=lambda i: (begin[i], end[i]))  # noqa: B023
+    return out
+
+
 def gone(blocks: list[dict]) -> list[int]:
     """The numbers of the lines in blocks."""
     return sorted({i for b in blocks for i in range(b["begin"], b["end"])})
@@ -262,7 +292,7 @@ def deduplicated(docs: DataFrame, block: int = BLOCK, rare: int = RARE) -> DataF
     fields = [F.col("row").getField(n) for n in docs.columns]
     fields[at] = fields[at].cast("string")
     schema = T.StructType([T.StructField("text", T.StringType()) if f.name == "text" else f for f in docs.schema.fields])
-    for n, t in zip(report_names(docs.columns), (T.LongType(), T.LongType(), T.ArrayType(T.LongType()))):
+    for n, t in zip(report_names(docs.columns), (T.LongType(), T.LongType(), T.ArrayType(T.LongType()), found.schema["blocks"].dataType)):
         schema = schema.add(n, t)
     names = schema.names
 
@@ -279,7 +309,8 @@ def deduplicated(docs: DataFrame, block: int = BLOCK, rare: int = RARE) -> DataF
                     partners[i] = sorted({b["partner"] for b in blocks})
             if changed:
                 texts = pa.array([changed.get(i, t) for i, t in enumerate(texts.to_pylist())], pa.string())
-            report = [pa.array(removed, pa.int64()), pa.array(words, pa.int64()), pa.array(partners, pa.list_(pa.int64()))]
+            own = pa.array([b or [] for b in batch.column(number).to_pylist()], batch.column(number).type)
+            report = [pa.array(removed, pa.int64()), pa.array(words, pa.int64()), pa.array(partners, pa.list_(pa.int64())), own]
             yield pa.RecordBatch.from_arrays([texts if i == at else batch.column(i) for i in range(number)] + report, names)
 
     rows = joined.select(*[f.alias(f"c{i}") for i, f in enumerate(fields)], F.col("blocks").alias("blocks"))

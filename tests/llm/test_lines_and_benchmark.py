@@ -1,6 +1,9 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+
 from loomgraph.llm import decontaminate, line_dedup
 from loomgraph.llm.queries import QUERIES
 
@@ -63,7 +66,7 @@ def test_awkward_rows(spark, odd, none):
     assert [r["doc_id"] for r in decontaminate.contaminated(odd, table).collect()] == [9, 9]
     assert decontaminate.contaminated(none, table).count() == 0 and decontaminate.contaminated(odd, table.limit(0)).count() == 0
     got = line_dedup.deduplicated(odd)
-    assert got.columns == [*odd.columns, "removed_lines", "removed_words", "partners"]
+    assert got.columns == [*odd.columns, "removed_lines", "removed_words", "partners", "blocks"]
     rows = {r["doc_id"]: r for r in got.collect()}
     assert got.count() == odd.count() and rows[1]["text"] == "" and rows[1]["partners"] == [0] and rows[2]["text"] is None
     assert all(r["text"] == o["text"] for o in odd.collect() if (r := rows[o["doc_id"]])["removed_lines"] == 0)
@@ -207,6 +210,49 @@ def test_every_run_that_an_earlier_document_has_goes(spark):
                 assert sum(words[d][b["begin"] : b["end"]]) >= line_dedup.BLOCK
 
 
+def aligned_blocks(spark, texts):
+    rows = line_dedup.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    return {r["doc_id"]: [tuple(b) for b in r["blocks"]] for r in rows}
+
+
+def test_blocks_are_those_of_the_alignment(spark, monkeypatch):
+    """What is deleted, block by block: a chain's neighbours are one block, what lies off the chain is another."""
+    part = lambda name, n: [" ".join(f"{name}{i}w{x}" for x in range(22)) + "." for i in range(n)]
+    a, b, c, own = part("a", 6), part("b", 3), part("c", 4), part("own", 1)
+    texts = ["\n".join(t) for t in (a + b + c, b, a + own + b + c, c + a, a[:3] + own + a[3:] + a[:2])]
+    want = {
+        0: [], 1: [(0, 3, 0, 6)],
+        # the passages of b are nearer in document 1, but the block over b and c ends with c in document 0
+        2: [(0, 6, 0, 0), (7, 10, 1, 0), (10, 14, 0, 9)],
+        3: [(0, 4, 2, 10), (4, 10, 2, 0)],
+    }
+    got = aligned_blocks(spark, texts)
+    assert {d: got[d] for d in want} == want
+    # the line between comes from document 2, and the repeated beginning is off the longest chain
+    assert got[4] == [(0, 3, 3, 4), (3, 4, 2, 6), (4, 7, 3, 7), (7, 9, 3, 4)]
+    # one chain for each passage instead of patience diff: no block is put together
+    monkeypatch.setattr(line_dedup, "chains", lambda there: list(range(len(there))))
+    table = pa.table({"doc_id": [9] * 6, "version": [0] * 6, "partner": [1] * 6, "begin": range(6), "end": range(1, 7), "there": [3, 4, 5, 0, 1, 2]}, schema=pa.schema([(n, pa.int64() if n in ("doc_id", "version", "partner") else pa.int32()) for n in ("doc_id", "version", "partner", "begin", "end", "there")]))
+    assert len(line_dedup._blocks(table).column(2)[0]) == 6
+    monkeypatch.undo()
+    assert [tuple(x.values()) for x in line_dedup._blocks(table).column(2)[0].as_py()] == [(0, 3, 1, 3), (3, 6, 1, 0)]
+
+
+def test_longer_blocks_win_and_none_lies_within_others():
+    rng = random.Random(8)
+    for _ in range(200):
+        n = rng.randrange(1, 15)
+        doc = np.sort(np.array([rng.randrange(3) for _ in range(n)]))
+        begin = np.array([rng.randrange(20) for _ in range(n)])
+        end, partner = begin + np.array([rng.randrange(1, 9) for _ in range(n)]), np.array([rng.randrange(4) for _ in range(n)])
+        kept = line_dedup.chosen(doc, np.zeros(n, int), begin, end, partner)
+        lines = lambda some: {(doc[i], x) for i in some for x in range(begin[i], end[i])}  # noqa: B023, E731
+        assert lines(kept) == lines(range(n))
+        for i in kept:
+            longer = [j for j in kept if j != i and doc[j] == doc[i] and (end[j] - begin[j]) > (end[i] - begin[i])]
+            assert not lines([i]) <= lines(longer)
+
+
 def test_blocks_are_measured_within_one_partner(spark):
     line = lambda name, n: " ".join(f"{name}{i}" for i in range(n)) + "."
     shared, ten = line("l", 12), [line(f"s{i}x", 4) for i in range(10)]
@@ -225,7 +271,7 @@ def test_clashing_columns_and_shuffled_documents(spark, monkeypatch):
     for most in (line_dedup.BROADCAST_LINES, -1):
         monkeypatch.setattr(line_dedup, "BROADCAST_LINES", most)
         got = line_dedup.deduplicated(df)
-        assert got.columns == [*df.columns, "removed_lines_", "removed_words", "partners_"] == [*df.columns, *line_dedup.report_names(df.columns)]
+        assert got.columns == [*df.columns, "removed_lines_", "removed_words", "partners_", "blocks_"] == [*df.columns, *line_dedup.report_names(df.columns)]
         found = sorted(got.collect(), key=lambda r: r["removed_lines"])
         assert [(r["text"], r["removed_lines_"]) for r in found] == [(line, 0), ("", 1), ("", 1), ("another version", 0), (line, 0)]
         assert all(tuple(r)[2:10] == o[2:] for r, o in zip(found, rows))
