@@ -2,8 +2,9 @@
 
 Texts and test items are folded: lower case, all ASCII but letters and digits as blanks, one blank between words and at
 both ends. An item of n characters may differ by ``budget(n)`` edits. It is split into budget + 1 pieces, one of which
-must then occur unchanged, so an automaton over all pieces finds every place where the item can be; Myers' bit-parallel
-distance, first on the piece's surroundings and then on the whole item, verifies it.
+must then occur unchanged, so an automaton over all pieces finds every place where the item can be. Hits are not
+kept: those of one item that follow one another make one range of starts, over which Myers' bit-parallel distance verifies
+the item once, so that a text of many hits takes time in step with its length and no memory besides itself.
 
 Items are read in blocks of bounded size, each of which goes to all tasks; documents are never shuffled. Each block is
 one pass over the documents. The distance given is the least over all places in the document; of places that are equally
@@ -32,12 +33,22 @@ from .common import lean, ship
 PIECE = 12
 #: Characters of items in a block: an automaton over them takes some 80 bytes a character in each worker.
 BLOCK = 2_000_000
+#: Bytes of a text whose words are listed at once.
+SLICE = 1 << 18
 _FOLD = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
 
 
 def fold(text: str | None) -> str:
-    words = (text or "").lower().encode().translate(_FOLD).split()
-    return f" {b' '.join(words).decode()} " if words else ""
+    data = (text or "").lower().encode().translate(_FOLD)
+    found, at = [], 0
+    while at < len(data):
+        # words are listed slice by slice, cut at blanks
+        cut = data.find(b" ", at + SLICE)
+        stop = cut if cut >= 0 else len(data)
+        if words := data[at:stop].split():
+            found.append(b" ".join(words))
+        at = stop
+    return f" {b' '.join(found).decode()} " if found else ""
 
 
 def budget(n: int) -> int:
@@ -88,53 +99,50 @@ class Matcher:
         import ahocorasick
 
         self.items = [(i, f) for i, t in items if (f := fold(t))]
+        self.budgets = [budget(len(f)) for _, f in self.items]
         self.tree = ahocorasick.Automaton()
         for k, (_, item) in enumerate(self.items):
             for offset, piece in pieces(item):
-                self.tree.add_word(piece, [*self.tree.get(piece, []), (k, offset)])
+                self.tree.add_word(piece, [*self.tree.get(piece, []), (k, offset, len(piece))])
         if len(self.tree):
             self.tree.make_automaton()
 
-    def _near(self, k: int, offset: int, begin: int, text: str) -> bool:
-        """Whether the surroundings of a piece leave the item possible."""
-        item = self.items[k][1]
-        most = budget(len(item))
-        a, b = max(0, offset - 2 * most - 12), min(len(item), offset + PIECE + 2 * most + 12)
-        if b - a >= len(item):
-            return True
-        start = begin - offset
-        return distance(item[a:b], text[max(0, start + a - most) : start + b + most], most)[0] <= most
-
     def matches(self, text: str | None) -> list[tuple[int, int, int, int, int]]:
         """(item_id, distance, budget, begin, end) of each item in the text, at its best place in the folded text."""
         folded = fold(text)
         if not folded or not len(self.tree):
             return []
-        places: dict[int, set[tuple[int, int]]] = {}
+        # of each item, the range of starts that its last hits leave possible, and the best place so far
+        open_: dict[int, tuple[int, int]] = {}
+        best: dict[int, tuple[int, int]] = {}
         for end, found in self.tree.iter(folded):
-            for k, offset in found:
-                places.setdefault(k, set()).add((end, offset))
-        out = []
-        for k, hits in places.items():
-            number, item = self.items[k]
-            n, most = len(item), budget(len(item))
-            ends = {o: len(p) for o, p in pieces(item)}
-            starts = sorted((e + 1 - ends[o] - o, o, e + 1 - ends[o]) for e, o in hits)
-            best = (most + 1, -1, 0)
-            tried = -(10**9)
-            for start, offset, begin in starts:
-                # what was tried reaches over all places that begin within the budget of it
-                if start - tried <= most and best[0] <= most or not self._near(k, offset, begin, folded):
+            for k, offset, size in found:
+                most = self.budgets[k]
+                if best.get(k, (1,))[0] == 0:
+                    continue
+                start = end + 1 - size - offset
+                low, high = open_.get(k, (start, start))
+                n = len(self.items[k][1])
+                # hits come by their ends, so that starts of later hits lie at most an item's length before those of earlier ones
+                if start <= high + n + 2 * most and high - low <= 8 * n and k in open_:
+                    open_[k] = (min(low, start), max(high, start))
                     continue
-                tried, low = start, max(0, start - most)
-                d, at = distance(item, folded[low : start + n + 2 * most], most)
-                if d < best[0]:
-                    best = (d, low + at, start)
-                    if d == 0:
-                        break
-            if best[0] <= most:
-                out.append((number, best[0], most, max(0, best[1] - n), best[1]))
-        return sorted(out)
+                if k in open_:
+                    self._tried(k, low, high, folded, best)
+                open_[k] = (start, start)
+        for k, (low, high) in open_.items():
+            self._tried(k, low, high, folded, best)
+        return sorted((self.items[k][0], d, self.budgets[k], max(0, at - len(self.items[k][1])), at) for k, (d, at) in best.items())
+
+    def _tried(self, k: int, low: int, high: int, folded: str, best: dict[int, tuple[int, int]]) -> None:
+        """Verify an item once over all of the starts from low to high; of equally near places the first one's end stays."""
+        item, most = self.items[k][1], self.budgets[k]
+        least = best[k][0] if k in best else most + 1
+        if least:
+            a = max(0, low - most)
+            d, at = distance(item, folded[a : max(0, high) + len(item) + 2 * most], most)
+            if d < least:
+                best[k] = (d, a + at)
 
 
 @lru_cache(maxsize=2)

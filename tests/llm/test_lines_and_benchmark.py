@@ -283,3 +283,56 @@ def test_benchmark_in_blocks(spark, sf, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK", 4000)
     assert len(list(decontaminate.blocks(items))) > 2
     assert sorted(map(tuple, decontaminate.contaminated(docs, items).collect())) == want
+
+
+def test_repetitive_text_takes_little_time_and_memory(monkeypatch):
+    import time
+    import tracemalloc
+
+    item = "ha " * 20 + "ho " + "ha " * 20
+    matcher = decontaminate.Matcher([(1, item)])
+
+    def took(n):
+        began = time.perf_counter()
+        assert [(i, d) for i, d, *_ in matcher.matches("ha " * n)] == [(1, 1)]
+        return time.perf_counter() - began
+
+    small, large = took(30_000), took(300_000)
+    assert large < 25 * small
+    text = "ha " * 60_000
+    monkeypatch.setattr(decontaminate, "SLICE", 4096)
+    tracemalloc.start()
+    matcher.matches(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * len(text)
+
+
+def test_slices_of_a_text_fold_as_the_whole(monkeypatch):
+    texts = ["", "  ", "Ab, cd!e  f\n\n g", "x" * 50, ". .. é É 中 " * 9, None]
+    whole = [decontaminate.fold(t) for t in texts]
+    monkeypatch.setattr(decontaminate, "SLICE", 3)
+    assert [decontaminate.fold(t) for t in texts] == whole and whole[2] == " ab cd e f g "
+
+
+def test_every_place_is_verified_as_by_single_hits():
+    """Random texts over few words, where ranges of starts merge: the least distance is that over the whole text."""
+    rng = random.Random(9)
+    words = ["ab", "abc", "b", "ca", "bca"]
+    for _ in range(150):
+        item = " ".join(rng.choice(words) for _ in range(rng.randint(8, 25)))
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(1, 120)))
+        if rng.random() < 0.7:
+            at = rng.randrange(len(text))
+            text = text[:at] + " " + edited(rng, item, rng.randint(0, 4)) + " " + text[at:]
+        folded, whole = decontaminate.fold(item), decontaminate.fold(text)
+        most = decontaminate.budget(len(folded))
+        want, got = edit(folded, whole), decontaminate.Matcher([(1, item)]).matches(text)
+        assert [d for _, d, *_ in got] == ([want] if want <= most else []), (item, text)
+
+
+def edited(rng, text, times):
+    for _ in range(times):
+        i = rng.randrange(len(text))
+        text = text[:i] + rng.choice(["", "x", text[i] + "y"]) + text[i + 1 :]
+    return text
