@@ -801,3 +801,46 @@ def index_entity_rows(spark, sf_dir):
 @query(table_tree.RELATIONSHIPS)
 def index_relationships(spark, sf_dir):
     return table_tree.built(spark, sf_dir)["relationships"].select("source", "target", "weight", "description")
+
+
+_PARAMS = {"Supplier{k}.ship{k}": 3, "Supplier{k}.pack{k}": 2, "price{k}": 1, "show{k}": 1, "Base.closing": 1}
+
+
+def _defined_sql() -> str:
+    rows = lambda some, frame: table_tree._rows([(file, kind, qualified, start, end, _PARAMS.get(qualified, 0)) for kind, _, qualified, file, start, end, *_ in some], frame)
+    fixed = [r for r in table_tree._FIXED if r[0] in ("class", "method")]
+    return f"""WITH {table_tree._BASE_SQL}, d(rel_path, kind, qualified_name, start_line, end_line, n_params) AS ({rows(table_tree._DEFINED, 's')} UNION ALL {rows(fixed, table_tree._ONE)}) SELECT * FROM d"""
+
+
+@query(_defined_sql())
+def lateral_definitions(spark, sf_dir):
+    """The parser as a table function, in a lateral join with the files."""
+    from ..functions import sql
+
+    sql.register(spark)
+    files = table_tree.tree(spark, sf_dir).where(F.endswith("rel_path", F.lit(".py")))
+    return spark.sql("SELECT f.rel_path, d.kind, d.qualified_name, d.start_line, d.end_line, d.n_params FROM {files} f, LATERAL source_facts(f.text, 'definitions') d", files=files)
+
+
+@query(ORACLES["hash_embedding_buckets"])
+def lateral_embedding_buckets(spark, sf_dir):
+    from ..functions import sql
+
+    sql.register(spark)
+    return spark.sql("SELECT d.doc_id, b.bucket, b.n FROM {docs} d, LATERAL embedding_buckets(d.text) b", docs=g.read(spark, sf_dir, "documents"))
+
+
+@query("""SELECT s_suppkey, substr(sha1('supplier|warehouse|' || s_name || '|' || s_name || '.' || s_nationkey), 1, 20) AS id,
+  CASE WHEN s_name = 'Supplier#000000003' THEN 4 ELSE 0 END AS score,
+  CASE WHEN s_name = 'Supplier#000000003' THEN 5 ELSE 0 END AS title, CASE WHEN s_suppkey = 0 THEN s_name WHEN s_nationkey > 0 THEN s_name || ':' || s_suppkey || '-' || (s_suppkey + s_nationkey) ELSE s_name || ':' || s_suppkey END AS place,
+  greatest(1, length(s_name) // 3)::INT AS tokens, (('0x' || substr(md5(s_name), 1, 16))::UBIGINT % 384)::INT AS bucket FROM supplier""")
+def sql_scalar_functions(spark, sf_dir):
+    """Functions by name in SQL: Catalyst inlines them, and no row leaves the JVM."""
+    from ..functions import sql
+
+    sql.register(spark)
+    return spark.sql(
+        """SELECT s_suppkey, stable_id('supplier', 'warehouse', s_name, s_name || '.' || s_nationkey) AS id, match_score(s_name, s_name || '.' || s_nationkey, 'SUPPLIER#000000003') AS score,
+             title_score(s_name, 'supplier#000000003') AS title, location(s_name, s_suppkey, s_suppkey + s_nationkey) AS place, token_count(s_name) AS tokens, hash_bucket(s_name) AS bucket FROM {supplier}""",
+        supplier=g.read(spark, sf_dir, "supplier"),
+    )
