@@ -844,3 +844,68 @@ def sql_scalar_functions(spark, sf_dir):
              title_score(s_name, 'supplier#000000003') AS title, location(s_name, s_suppkey, s_suppkey + s_nationkey) AS place, token_count(s_name) AS tokens, hash_bucket(s_name) AS bucket FROM {supplier}""",
         supplier=g.read(spark, sf_dir, "supplier"),
     )
+
+
+_PAGE_BYTES = 2000
+
+
+@query(f"""WITH p AS (SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'x' || chr(0) || coalesce(html, '') ELSE coalesce(html, '') END || chr(10) AS body FROM pages WHERE page_id % 5 <> 0),
+  s AS (SELECT *, octet_length(encode(body))::BIGINT AS size FROM p), r AS (SELECT *, CASE WHEN size > {_PAGE_BYTES} THEN 'too_large' WHEN page_id % 7 = 0 THEN 'binary' END AS skip_reason FROM s)
+  SELECT page_id, 'doc' AS kind, size, skip_reason, CASE WHEN skip_reason IS NULL THEN md5(body) END AS digest, CASE WHEN skip_reason IS NULL THEN length(body) - length(replace(body, chr(10), '')) + 1 ELSE 0 END::INT AS line_count FROM r""")
+def discovered_files(spark, sf_dir):
+    """A tree of one file for each page, walked: a folder is excluded, some files are too large and some are binary."""
+    from ..sources import files
+    from ..sources.staging import fresh
+
+    c = F.col
+    html = F.coalesce("html", F.lit(""))
+    body = F.when(c("page_id") % 7 == 0, F.concat(F.lit("x\0"), html)).otherwise(html)
+    path = fresh(spark, "tree")
+    g.read(spark, sf_dir, "pages").select(F.when(c("page_id") % 5 == 0, "out").otherwise("in").alias("part"), "page_id", body.alias("value")).write.partitionBy("part", "page_id").text(path)
+    found = files.discover(spark, path, files.Discovery(exclude=["part=o?t"], max_bytes=_PAGE_BYTES))
+    page = F.regexp_extract("rel_path", r"page_id=(\d+)/", 1).cast("long")
+    return found.select(page.alias("page_id"), "kind", "size", "skip_reason", F.md5(c("text").cast("binary")).alias("digest"), "line_count")
+
+
+@query(f"""WITH {E} SELECT 'entity' AS part, id, NULL::VARCHAR AS target, type, qualified_name AS title, NULL::VARCHAR AS target_title, seq FROM v WHERE type <> 'order'
+  UNION ALL SELECT 'relation', e.source, e.target, e.type, a.qualified_name, b.qualified_name, e.seq FROM e JOIN v a ON a.id = e.source JOIN v b ON b.id = e.target WHERE e.type IN ('CONTAINS', 'CALLS')""")
+def sidecar_round_trip(spark, sf_dir):
+    """What the sidecar's JSON lines give back of entities and relations."""
+    from ..sources import tables
+    from ..sources.staging import fresh
+
+    v, e = _view(spark, sf_dir, ["CONTAINS", "CALLS"], ["region", "nation", "customer", "supplier", "part"])
+    path = fresh(spark, "sidecar")
+    tables.write_sidecar(v.withColumn("title", F.col("qualified_name")), e, path)
+    entities = tables.read_sidecar(spark, path, "entity", "id string, type string, title string")
+    relations = tables.read_sidecar(spark, path, "relation", "source string, target string, type string, source_title string, target_title string")
+    none = F.lit(None).cast("string")
+    return entities.select(F.lit("entity").alias("part"), "id", none.alias("target"), "type", "title", none.alias("target_title"), "seq").unionByName(
+        relations.select(F.lit("relation").alias("part"), F.col("source").alias("id"), "target", "type", F.col("source_title").alias("title"), "target_title", "seq"))
+
+
+@query(f"""WITH {E} SELECT count(*) AS lines, count_if(kind = 'node') AS nodes, count_if(kind = 'edge') AS edges, bit_xor(hash_) AS digest, true AS in_order
+  FROM (SELECT 'node' AS kind, ('0x' || left(md5('<node id="' || id || '"><data key="title">' || replace(replace(replace(qualified_name, '&', '&amp;'), '<', '&lt;'), '"', '&quot;') || '</data></node>'), 15))::BIGINT AS hash_ FROM v WHERE type <> 'order'
+    UNION ALL SELECT 'edge', ('0x' || left(md5('<edge source="' || source || '" target="' || target || '"><data key="type">' || type || '</data></edge>'), 15))::BIGINT FROM e WHERE type = 'CONTAINS')""")
+def graphml_round_trip(spark, sf_dir):
+    """The elements of the graph as written text: how many, a digest of all of them, and that each file's nodes come before its edges."""
+    from ..sources import tables
+    from ..sources.staging import fresh
+
+    v, e = _view(spark, sf_dir, ["CONTAINS"], ["region", "nation", "customer", "supplier", "part"])
+    path = fresh(spark, "graphml")
+    tables.write_graphml(v.withColumn("title", F.col("qualified_name")), e, path)
+    lines = spark.read.text(path).select("value", F.regexp_extract("value", "^<(node|edge) ", 1).alias("kind"), F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("at")).where("kind <> ''")
+    ordered = lines.groupBy("file").agg(F.max(F.when(F.col("kind") == "node", F.col("at"))).alias("a"), F.min(F.when(F.col("kind") == "edge", F.col("at"))).alias("b")).agg(F.every(F.coalesce(F.col("a") < F.col("b"), F.lit(True))).alias("in_order"))
+    digest = F.conv(F.substring(F.md5(F.col("value").cast("binary")), 1, 15), 16, 10).cast("long")
+    counts = lines.agg(F.count("*").alias("lines"), F.count_if(F.col("kind") == "node").alias("nodes"), F.count_if(F.col("kind") == "edge").alias("edges"), F.bit_xor(digest).alias("digest"))
+    # one row each
+    return counts.crossJoin(ordered)
+
+
+@query(f"WITH {table_tree._ENTITIES_SQL} SELECT qualified_name AS title, type, (type <> 'directory' AND file <> '__external__')::INT AS n, CASE WHEN type <> 'directory' AND file <> '__external__' THEN 'doc::' || file END AS document_id FROM ent")
+def index_unit_links(spark, sf_dir):
+    """The text units of each entity: its own, or else the first of its file."""
+    made = table_tree.built(spark, sf_dir)
+    unit = made["text_units"].select(F.col("id").alias("unit"), "document_id")
+    return made["entities"].withColumn("unit", F.get("text_unit_ids", F.lit(0))).join(unit, "unit", "left").select("title", "type", F.size("text_unit_ids").alias("n"), "document_id")
