@@ -19,8 +19,7 @@ SPARE, LEAST, CUT = 60, 200, "\n... [truncated]"
 def deduplicate(evidence: DataFrame) -> DataFrame:
     """The first, by seq, of all evidence with one key."""
     key = evidence_key(F.col("kind"), F.col("title"), F.col("content"))
-    first = Window.partitionBy("_key").orderBy("seq")
-    return evidence.withColumn("_key", key).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_key", "_n")
+    return evidence.groupBy(key.alias("_key")).agg(F.min_by(F.struct(*evidence.columns), "seq").alias("_first")).select("_first.*")
 
 
 def blocks(evidence: DataFrame):

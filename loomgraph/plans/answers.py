@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import route, vectors
-from ..operators import lookup, search
+from ..operators import lookup, mapreduce, search
 from ..sources import tables as sink
 from .embed import nearest_vectors
 from .providers import Model, Settings, offline_model
@@ -138,8 +138,11 @@ class Index:
         make = {"local": lambda: self.local_context(question, level=level), "global": lambda: self.global_context(question, level=level, dynamic=True), "basic": lambda: self.basic_context(question)}[mode]
         rows = {name: [r.asDict(True) for r in df.limit(ROWS).collect()] for name, df in make().items()}
         if mode == "global":
-            parts = [self.model(f"{question}\n{r['full_content']}") for r in rows["reports"]]
-            return Answer(question, mode, self.model("\n".join([question, *parts])), context=rows)
+            # all relevant reports count, not only those that are shown
+            named = self.t["community_reports"].where(F.col("level") <= level)
+            reports = named.select(F.xxhash64("level", "community").alias("seq"), "title", F.col("full_content").alias("content"))
+            best = mapreduce.reduced(mapreduce.points(mapreduce.packed(reports, question), question)).orderBy("place").collect()
+            return Answer(question, mode, self.model("\n".join([question, *[f"{r['point']} ({r['rating']:g}, {r['reports']} reports)" for r in best]])), context=rows)
         shown = [f"{k}: {r.get('title') or r.get('unit_id') or r.get('id') or r.get('description')}" for k, some in rows.items() for r in some]
         return Answer(question, mode, self.model("\n".join([question, *shown])), context=rows)
 

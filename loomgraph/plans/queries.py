@@ -214,7 +214,7 @@ def shortest_path_either_way(spark, sf_dir):
   SELECT id, count(*) AS degree FROM n GROUP BY id""")
 def vertex_degree(spark, sf_dir):
     # degrees are counted on the narrow keys; ids are attached to the sums
-    e = g.key_edges(spark, sf_dir).select(F.col("source_seq").alias("source"), F.col("target_seq").alias("target"))
+    e = g.key_edges(spark, sf_dir, merged=False).select(F.col("source_seq").alias("source"), F.col("target_seq").alias("target"))
     return merge.degrees(e).withColumnRenamed("id", "seq").join(g.vertices(spark, sf_dir).select("seq", "id"), "seq").select("id", "degree")
 
 
@@ -909,3 +909,38 @@ def index_unit_links(spark, sf_dir):
     made = table_tree.built(spark, sf_dir)
     unit = made["text_units"].select(F.col("id").alias("unit"), "document_id")
     return made["entities"].withColumn("unit", F.get("text_unit_ids", F.lit(0))).join(unit, "unit", "left").select("title", "type", F.size("text_unit_ids").alias("n"), "document_id")
+
+
+_ASKED = "Which thention lies near the erant and the verschen?"
+
+
+def _rated_sql() -> str:
+    from ..operators import mapreduce
+
+    words = mapreduce.terms(_ASKED)
+    hits = " + ".join(f"contains(lower(text), '{w}')::INT" for w in words)
+    return f"""r AS (SELECT doc_id, source || ' ' || lang AS title, text, doc_id AS seq, round(100.0::DOUBLE * ({hits}) / {len(words)}, 2) AS relevance FROM documents),
+  k AS (SELECT *, (seq % 4)::INT AS part, coalesce(sum(least(length(text), 12000)) OVER (PARTITION BY seq % 4 ORDER BY relevance DESC, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM r WHERE relevance > 0)"""
+
+
+def _reports(spark, sf_dir) -> DataFrame:
+    return g.read(spark, sf_dir, "documents").select("doc_id", F.concat_ws(" ", "source", "lang").alias("title"), F.col("text").alias("content"), F.col("doc_id").alias("seq"))
+
+
+@query(f"WITH {_rated_sql()} SELECT part, (used // 12000)::INT AS batch, count(*) AS reports, max(relevance) AS best FROM k GROUP BY ALL")
+def global_search_batches(spark, sf_dir):
+    """Every relevant report in a batch of a budget of characters."""
+    from ..operators import mapreduce
+
+    return mapreduce.packed(_reports(spark, sf_dir), _ASKED, parts=4).groupBy("part", "batch").agg(F.count("*").alias("reports"), F.max("relevance").alias("best"))
+
+
+@query(f"""WITH {_rated_sql()}, m AS (SELECT title AS point, max(relevance) AS rating, count(DISTINCT seq) AS reports FROM k GROUP BY title),
+  o AS (SELECT *, row_number() OVER w::INT AS place, sum(length(point) + 1) OVER w AS used FROM m WINDOW w AS (ORDER BY rating DESC, reports DESC, point))
+  SELECT place, point, rating, reports FROM o WHERE used <= 40""")
+def global_search_points(spark, sf_dir):
+    """The points of all batches, merged, the best that fit a budget."""
+    from ..operators import mapreduce
+
+    made = mapreduce.points(mapreduce.packed(_reports(spark, sf_dir), _ASKED, parts=4), _ASKED)
+    return mapreduce.reduced(made, budget=40)

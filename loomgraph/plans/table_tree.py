@@ -6,8 +6,6 @@ files, and a configuration that they read. What the index must hold of it can be
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,14 +79,32 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Indexes of the last folders, by application and the state of the files that they were made of.
+_BUILT: dict[tuple, dict[str, DataFrame]] = {}
+
+
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Paths, sizes and times of the files of the tables that the tree is written from."""
+    out = []
+    for name in ("supplier", "nation"):
+        for file in sorted(read(spark, sf_dir, name).inputFiles()):
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+            status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+            out.append((file, status.getLen(), status.getModificationTime()))
+    return (spark.sparkContext.applicationId, *out)
+
+
 def built(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The index's tables, made once for a session and folder."""
-    return _built(spark.sparkContext.applicationId, sf_dir)
+    """The index's tables. They are the shared first step of several queries, and made anew if a file of the tables has changed."""
+    state = _state(spark, sf_dir)
+    if state not in _BUILT:
+        while len(_BUILT) > 1:
+            _BUILT.pop(next(iter(_BUILT)))
+        _BUILT[state] = _built(spark, sf_dir)
+    return _BUILT[state]
 
 
-@lru_cache(maxsize=2)
-def _built(application: str, sf_dir: str) -> dict[str, DataFrame]:
-    spark = SparkSession.getActiveSession()
+def _built(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     rel = F.col("rel_path")
     found = tree(spark, sf_dir).where(~source_files.excluded(rel)).select(
         "rel_path", source_files.kind_of(rel).alias("kind"), source_files.language_of(rel).alias("language"), "text", source_files.line_count(F.col("text")).alias("line_count"),
