@@ -94,3 +94,28 @@ def test_query(spark, sf, encoding):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in QUERIES["op2_bpe"](spark, sf).collect():
         assert r["n_tokens"] == len(encoding.encode_ordinary(texts[r["doc_id"]] or ""))
+
+
+def test_long_pieces_are_joined_from_parts_as_the_library_encodes_them():
+    import random
+    import string
+    import time
+
+    import tiktoken
+
+    coder = bpe.Coder(ranks_path())
+    library = tiktoken.Encoding("whole", pat_str=r"[\s\S]+", mergeable_ranks=coder.ranks, special_tokens={})
+    rng = random.Random(12)
+    syllables = [w.decode() for w in coder.ranks if len(w) > 3 and w.isalpha()]
+    kinds = [
+        lambda n: "".join(rng.choice("ab") for _ in range(n)), lambda n: "".join(rng.choice(string.ascii_letters) for _ in range(n)), lambda n: "".join(rng.choice(syllables) for _ in range(n // 5)),
+        lambda n: rng.choice(["a", "ab", "the", "=", "entheren"]) * n, lambda n: "".join(rng.choice("äöüéñ中文字пр") for _ in range(n)), lambda n: "".join(rng.choice("entrhaioul") for _ in range(n)),
+    ]
+    for kind in kinds:
+        for n in (201, 202, 400, 1000):
+            word = kind(n)
+            assert coder._joined(word.encode()).tolist() == library.encode(word), word
+    word = "".join(rng.choice(string.ascii_letters) for _ in range(200_000))
+    began = time.perf_counter()
+    got = coder._joined(word.encode()).tolist()
+    assert time.perf_counter() - began < 30 and got == library.encode(word)
