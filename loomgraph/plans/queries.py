@@ -631,98 +631,53 @@ def chunk_text_units(spark, sf_dir):
 
 
 
-#: A small source tree whose facts the parser queries give.
-SNIPPETS = {
-    "pkg/__init__.py": "from .core import Engine as E\nimport os.path as p, sys\n",
-    "pkg/core.py": '''import abc
-from . import util
-MAX_RETRY = 3
-base_url = 'http://x'
-
-
-class Engine(abc.ABC, metaclass=abc.ABCMeta):
-    "Runs."
-
-    def run(self, job: str, *args, retries=MAX_RETRY, **kw) -> int:
-        if not job:
-            raise ValueError('job')
-        self.log(job)
-        return util.parse(job)
-
-    async def log(self, line='x'):
-        print(line)
-
-
-try:
-    @app.route('/go', methods=['POST'])
-    def go(req):
-        return Engine().run(req)
-except Exception:
-    raise
-''',
-    "pkg/util.py": "def parse(x):\n    def inner():\n        pass\n    raise errors.Bad\n",
-    "tests/test_core.py": "from pkg.core import Engine\n\n\ndef test_run():\n    Engine().run('a')\n",
-    "broken.py": "def f(:\n",
-    "main.go": "package main\n",
-}
-
-
-def _facts(spark) -> DataFrame:
+def _facts(spark, sf_dir) -> DataFrame:
+    """The Python files of the tables' tree, parsed."""
     from ..sources import pyparse
-    from ..sources.files import language_of
 
-    files = spark.createDataFrame(list(SNIPPETS.items()), "rel_path string, text string")
-    return pyparse.parse_files(files.withColumn("language", language_of(F.col("rel_path"))))
-
-
-def _listed(rows: list[tuple], names: list[str]) -> str:
-    """Rows as a VALUES list: what a parser must find, written down by hand, as SQL can't parse Python."""
+    files = table_tree.tree(spark, sf_dir).where(F.endswith("rel_path", F.lit(".py")))
+    return pyparse.parse_files(files.withColumn("language", F.lit("python")))
 
-    def lit(v) -> str:
-        if v is None:
-            return "NULL"
-        return _quoted(v) if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else str(v)
 
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) t({', '.join(names)})"
+def _tree_sql(rows: list[tuple], names: list[str], fixed: list[tuple] = ()) -> str:
+    """Rows that hold for every supplier, and some that hold once."""
+    once = f" UNION ALL {table_tree._rows(list(fixed), table_tree._ONE)}" if fixed else ""
+    return f"WITH {table_tree._BASE_SQL}, d({', '.join(names)}) AS ({table_tree._rows(rows, 's')}{once}) SELECT * FROM d"
 
 
-_DEFS = [
-    ("pkg/core.py", "class", "Engine", 7, 17, 0), ("pkg/core.py", "method", "Engine.run", 10, 14, 5), ("pkg/core.py", "method", "Engine.log", 16, 17, 2), ("pkg/core.py", "function", "go", 22, 23, 1),
-    ("pkg/util.py", "function", "parse", 1, 4, 1), ("tests/test_core.py", "function", "test_run", 4, 5, 0),
-]
+_PARAMS = {"Supplier{k}.ship{k}": 3, "Supplier{k}.pack{k}": 2, "price{k}": 1, "show{k}": 1, "Base.closing": 1}
+_FOUND = lambda some: [(file, kind, qualified, start, end, _PARAMS.get(qualified, 0)) for kind, _, qualified, file, start, end, *_ in some if kind in ("class", "function", "method")]
+_DEFINED = _tree_sql(_FOUND(table_tree._DEFINED), ["rel_path", "kind", "qualified_name", "start_line", "end_line", "n_params"], _FOUND(table_tree._FIXED))
+_FILE, _TEST = table_tree._FILE, table_tree._TEST
 _CALLS = [
-    ("pkg/core.py", "ValueError", False, None, 12), ("pkg/core.py", "log", True, "self", 13), ("pkg/core.py", "parse", True, "util", 14), ("pkg/core.py", "print", False, None, 17),
-    ("pkg/core.py", "route", True, "app", 21), ("pkg/core.py", "run", True, "Engine()", 23), ("pkg/core.py", "Engine", False, None, 23),
-    ("tests/test_core.py", "run", True, "Engine()", 5), ("tests/test_core.py", "Engine", False, None, 5),
-]
-_IMPORTS = [
-    ("pkg/__init__.py", ".core", 1, "E", "Engine"), ("pkg/__init__.py", "os.path", 0, "p", "os.path"), ("pkg/__init__.py", "sys", 0, "sys", "sys"),
-    ("pkg/core.py", "abc", 0, "abc", "abc"), ("pkg/core.py", ".", 1, "util", "util"), ("tests/test_core.py", "pkg.core", 0, "Engine", "Engine"),
+    (_FILE, "pack{k}", True, "self", 13), (_FILE, "Missing{k}", False, None, 17), (_FILE, "price{k}", False, None, 18), (_FILE, "get", True, "app", 25), (_FILE, "ship{k}", True, "Supplier{k}()", 27),
+    (_FILE, "Supplier{k}", False, None, 27), (_FILE, "command", True, "click", 30), (_FILE, "show{k}", False, None, 32), (_TEST, "price{k}", False, None, 5),
 ]
-_NAMED = [("pkg/core.py", "ValueError", 12, None), ("pkg/util.py", "Bad", 4, None), ("pkg/core.py", "MAX_RETRY", 3, "3"), ("pkg/core.py", "base_url", 4, "'http://x'")]
+_IMPORTS = [(_FILE, "abc", 0, "abc", "abc"), (_FILE, "pkg.core.base", 0, "Base", "Base"), (_TEST, "pkg.n{n}_.s{k}", 0, "price{k}", "price{k}")]
+_NAMED = [(_FILE, "Missing{k}", 17, None), (_FILE, "LIMIT_{k}", 5, "10"), (_FILE, "base_url_{k}", 6, "'conf_{n}_'")]
 
 
-@query(_listed(_DEFS, ["rel_path", "kind", "qualified_name", "start_line", "end_line", "n_params"]))
+@query(_DEFINED)
 def parse_python_defs(spark, sf_dir):
-    d = _facts(spark).select("rel_path", F.explode("facts.defs").alias("d"))
+    d = _facts(spark, sf_dir).select("rel_path", F.explode("facts.defs").alias("d"))
     return d.select("rel_path", "d.kind", "d.qualified_name", "d.start_line", "d.end_line", F.size("d.params").alias("n_params"))
 
 
-@query(_listed(_CALLS, ["rel_path", "callee", "is_method_call", "receiver", "line"]))
+@query(_tree_sql(_CALLS, ["rel_path", "callee", "is_method_call", "receiver", "line"]))
 def parse_calls(spark, sf_dir):
-    c = _facts(spark).select("rel_path", F.explode("facts.calls").alias("c"))
+    c = _facts(spark, sf_dir).select("rel_path", F.explode("facts.calls").alias("c"))
     return c.select("rel_path", "c.callee", "c.is_method_call", "c.receiver", "c.line")
 
 
-@query(_listed(_IMPORTS, ["rel_path", "module", "level", "symbols", "originals"]))
+@query(_tree_sql(_IMPORTS, ["rel_path", "module", "level", "symbols", "originals"]))
 def parse_imports(spark, sf_dir):
-    i = _facts(spark).select("rel_path", F.explode("facts.imports").alias("i"))
+    i = _facts(spark, sf_dir).select("rel_path", F.explode("facts.imports").alias("i"))
     return i.select("rel_path", "i.module", "i.level", F.array_join("i.symbols", ",").alias("symbols"), F.array_join("i.originals", ",").alias("originals"))
 
 
-@query(_listed(_NAMED, ["rel_path", "name", "line", "value"]))
+@query(_tree_sql(_NAMED, ["rel_path", "name", "line", "value"]))
 def parse_raises_and_assigns(spark, sf_dir):
-    f = _facts(spark)
+    f = _facts(spark, sf_dir)
     raises = f.select("rel_path", F.explode("facts.raises").alias("r")).select("rel_path", F.col("r.exception").alias("name"), "r.line", F.lit(None).cast("string").alias("value"))
     return raises.unionByName(f.select("rel_path", F.explode("facts.assigns").alias("a")).select("rel_path", "a.name", "a.line", F.col("a.value_preview").alias("value")))
 
@@ -803,16 +758,7 @@ def index_relationships(spark, sf_dir):
     return table_tree.built(spark, sf_dir)["relationships"].select("source", "target", "weight", "description")
 
 
-_PARAMS = {"Supplier{k}.ship{k}": 3, "Supplier{k}.pack{k}": 2, "price{k}": 1, "show{k}": 1, "Base.closing": 1}
-
-
-def _defined_sql() -> str:
-    rows = lambda some, frame: table_tree._rows([(file, kind, qualified, start, end, _PARAMS.get(qualified, 0)) for kind, _, qualified, file, start, end, *_ in some], frame)
-    fixed = [r for r in table_tree._FIXED if r[0] in ("class", "method")]
-    return f"""WITH {table_tree._BASE_SQL}, d(rel_path, kind, qualified_name, start_line, end_line, n_params) AS ({rows(table_tree._DEFINED, 's')} UNION ALL {rows(fixed, table_tree._ONE)}) SELECT * FROM d"""
-
-
-@query(_defined_sql())
+@query(_DEFINED)
 def lateral_definitions(spark, sf_dir):
     """The parser as a table function, in a lateral join with the files."""
     from ..functions import sql
