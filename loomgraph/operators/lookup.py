@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -99,6 +100,14 @@ def inherits(entities: DataFrame, relations: DataFrame, term: str, types=("class
     return out.withColumn("direction", F.lit("out")).unionByName(back.withColumn("direction", F.lit("in")))
 
 
+class Layer(NamedTuple):
+    """What is reached in one hop: a table of ids, how many, and the ids themselves if they are at most ``FEW``."""
+
+    rows: DataFrame
+    many: int
+    ids: list | None
+
+
 class Paths:
     """Relations stored twice, in buckets by source and in buckets by target, for searches of shortest paths between two ends.
 
@@ -129,12 +138,24 @@ class Paths:
     def __exit__(self, *_) -> None:
         self.close()
 
-    def _from(self, front: DataFrame, many: int, forward: bool, directed: bool) -> DataFrame:
-        """``a, b, seq``: the edges that lead from a frontier (id) forward, or into it; b is the new end, a the frontier's."""
-        ids = [r["id"] for r in front.collect()] if many <= FEW else None
+    def _layer(self, found: DataFrame, small: bool) -> Layer:
+        """What a hop has found: named if there are few ids, else a written table. small: that there may be few."""
+        if small:
+            ids = [r["id"] for r in found.limit(FEW + 1).collect()]
+            if len(ids) <= FEW:
+                return self._named(ids)
+        table = staged(found, "reached")
+        return Layer(table, table.count(), None)
+
+    def _named(self, ids: list) -> Layer:
+        kind = T.StructType([T.StructField("id", self.out.schema["a"].dataType)])
+        return Layer(self.spark.createDataFrame([(x,) for x in ids], kind), len(ids), ids)
+
+    def _from(self, front: Layer, forward: bool, directed: bool) -> DataFrame:
+        """``a, b, seq``: the edges that lead from a frontier forward, or into it; b is the new end, a the frontier's."""
 
         def met(edges: DataFrame, here: str, there: str) -> DataFrame:
-            some = edges.where(F.col(here).isin(ids)) if ids is not None else edges.join(front.select(F.col("id").alias(here)), here, "left_semi")
+            some = edges.where(F.col(here).isin(front.ids)) if front.ids is not None else edges.join(front.rows.select(F.col("id").alias(here)), here, "left_semi")
             return some.select(F.col(here).alias("a"), F.col(there).alias("b"), "seq")
 
         ahead = met(self.out, "a", "b") if forward or not directed else None
@@ -148,40 +169,45 @@ class Paths:
         """
         if start == goal:
             return [start]
-        kind = self.out.schema["a"].dataType
-        one = lambda x: staged(self.spark.createDataFrame([(x,)], T.StructType([T.StructField("id", kind)])), "reached")
-        sides = [[(one(start), 1)], [(one(goal), 1)]]
+        sides = [[self._named([start])], [self._named([goal])]]
         met = None
         while met is None and sum(len(s) - 1 for s in sides) < most:
-            way = 0 if sides[0][-1][1] <= sides[1][-1][1] else 1
-            front, many = sides[way][-1]
-            new = self._from(front, many, way == 0, directed).select(F.col("b").alias("id")).distinct()
+            way = 0 if sides[0][-1].many <= sides[1][-1].many else 1
+            front, other = sides[way][-1], sides[1 - way][-1]
+            new = self._from(front, way == 0, directed).select(F.col("b").alias("id")).distinct()
             # of a layer's neighbours, only the layers next to it can hold what was reached before, if edges go both ways
-            for layer, _ in sides[way] if directed else sides[way][-2:]:
-                new = new.join(layer, "id", "left_anti")
-            new = staged(new, "reached")
-            many = new.count()
-            if not many:
+            for layer in sides[way] if directed else sides[way][-2:]:
+                new = new.where(~F.col("id").isin(layer.ids)) if layer.ids is not None else new.join(layer.rows, "id", "left_anti")
+            found = self._layer(new, front.ids is not None)
+            if not found.many:
                 return []
-            sides[way].append((new, many))
+            sides[way].append(found)
             # the frontiers meet for the first time in their last layers
-            both = new.join(sides[1 - way][-1][0], "id", "left_semi")
-            met = staged(both, "met") if both.limit(1).count() else None
-        return self._walked([f for f, _ in sides[0]], [f for f, _ in sides[1]], met, directed) if met is not None else []
+            both = self._both(found, other)
+            met = both if both.many else None
+        return self._walked(sides[0], sides[1], met, directed) if met is not None else []
+
+    def _both(self, a: Layer, b: Layer) -> Layer:
+        if a.ids is not None and b.ids is not None:
+            return self._named(sorted(set(a.ids) & set(b.ids)))
+        return self._layer(a.rows.join(b.rows, "id", "left_semi"), True)
 
-    def _walked(self, ahead: list[DataFrame], back: list[DataFrame], met: DataFrame, directed: bool) -> list:
+    def _walked(self, ahead: list[Layer], back: list[Layer], met: Layer, directed: bool) -> list:
         """The path through the layers of both sides, which meet in ``met``: for each layer, the edge from the one before it."""
+
+        def next_to(layer: Layer, forward: bool, among: Layer) -> Layer:
+            near = self._from(layer, forward, directed).select(F.col("b").alias("id")).distinct()
+            return self._layer(near.where(F.col("id").isin(among.ids)) if among.ids is not None else near.join(among.rows, "id", "left_semi"), True)
+
         # towards the start, what leads to met; from there on, what met leads to
         layers = [met]
         for layer in reversed(ahead[:-1]):
-            before = self._from(layers[0], layers[0].limit(FEW + 1).count(), False, directed).select(F.col("b").alias("id")).distinct()
-            layers.insert(0, staged(before.join(layer, "id", "left_semi"), "layer"))
+            layers.insert(0, next_to(layers[0], False, layer))
         for layer in reversed(back[:-1]):
-            after = self._from(layers[-1], layers[-1].limit(FEW + 1).count(), True, directed).select(F.col("b").alias("id")).distinct()
-            layers.append(staged(after.join(layer, "id", "left_semi"), "layer"))
-        path = layers[0].select("id", F.array("id").alias("path"))
+            layers.append(next_to(layers[-1], True, layer))
+        path = layers[0].rows.select("id", F.array("id").alias("path"))
         for before, layer in zip(layers, layers[1:]):
-            step = self._from(layer, layer.limit(FEW + 1).count(), False, directed).join(before.select(F.col("id").alias("b")), "b", "left_semi")
+            step = self._from(layer, False, directed).join(before.rows.select(F.col("id").alias("b")), "b", "left_semi")
             via = step.groupBy(F.col("a").alias("id")).agg(F.min_by("b", F.struct("seq", "b")).alias("via"))
             path = via.join(path.select(F.col("id").alias("via"), "path"), "via").select("id", F.concat("path", F.array("id")).alias("path"))
         return path.first()["path"]

@@ -54,8 +54,8 @@ def test_a_hop_moves_the_frontier_and_no_edges(spark):
     try:
         with lookup.Paths(edges, int(spark.conf.get("spark.sql.shuffle.partitions"))) as paths:
             front = spark.range(2000).selectExpr("cast(id as string) id")
-            plan = paths._from(front, 2000, True, True)._jdf.queryExecution().executedPlan().toString()
-            few = paths._from(front.limit(2), 2, True, True)._jdf.queryExecution().executedPlan().toString()
+            plan = paths._from(lookup.Layer(front, 2000, None), True, True)._jdf.queryExecution().executedPlan().toString()
+            few = paths._from(paths._named(["0", "1"]), True, True)._jdf.queryExecution().executedPlan().toString()
             names = list(paths.names)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
