@@ -39,6 +39,8 @@ QUERIES = 1_000
 TRIED, NEIGHBOURS, AIM = 200, 10, 0.96
 #: Shares of the cells that are tried, and candidates for each result that is asked for.
 SHARES, AGAIN = (1 / 16, 1 / 8, 1 / 4, 3 / 8, 1 / 2, 5 / 8, 3 / 4, 7 / 8, 1.0), (20, 50, 100)
+#: Numbers of a matrix of scores, at most: rows are worked on in slices.
+NUMBERS = 1 << 21
 #: Cell of vectors without a direction.
 NOWHERE = -1
 
@@ -75,6 +77,46 @@ def clustered(points: np.ndarray, many: int, seed: int = 11) -> np.ndarray:
     return centres
 
 
+def slices(batch: pa.RecordBatch, width: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices, for each of which a matrix with ``width`` numbers a row stays within ``NUMBERS``."""
+    step = max(1, NUMBERS // max(1, width))
+    for i in range(0, batch.num_rows, step):
+        yield batch.slice(i, step)
+
+
+class Best:
+    """The best rows so far of each of some queries: what a task holds, and what it gives, does not grow with its rows."""
+
+    def __init__(self, many: int, k: int) -> None:
+        self.k, self.score, self.cell, self.key = k, np.full((many, k), -np.inf), np.zeros((many, k), int), None
+
+    def take(self, who: np.ndarray, score: np.ndarray, own: np.ndarray, cell: int = 0, exact: bool = True) -> None:
+        """Scores of the rows ``own``, at least one, for the queries ``who``; ties to the smallest key if ``exact``."""
+        own = own.astype(object) if own.dtype.kind in "US" else own
+        if self.key is None:
+            self.key = np.full(self.score.shape, own[0], own.dtype)
+        some = (score >= self.score[who].min(1, keepdims=True)).any(1)
+        who, score = who[some], score[some]
+        if exact:
+            order = np.argsort(own, kind="stable")
+            top = order[np.argsort(-score[:, order], axis=1, kind="stable")[:, : self.k]]
+            score, own = np.take_along_axis(score, top, 1), own[top]
+        score = np.concatenate([self.score[who], score], 1)
+        own = np.concatenate([self.key[who], np.broadcast_to(own, (len(who), own.shape[-1]))], 1)
+        cells = np.concatenate([self.cell[who], np.full((len(who), own.shape[1] - self.k), cell)], 1)
+        if exact:
+            order = np.argsort(own, axis=1, kind="stable")
+            order = np.take_along_axis(order, np.argsort(-np.take_along_axis(score, order, 1), axis=1, kind="stable"), 1)[:, : self.k]
+        else:
+            order = np.argpartition(-score, self.k - 1, axis=1)[:, : self.k]
+        self.score[who], self.key[who], self.cell[who] = (np.take_along_axis(x, order, 1) for x in (score, own, cells))
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Queries, keys, cells and scores."""
+        q, i = np.nonzero(np.isfinite(self.score))
+        return q, self.key[q, i] if self.key is not None else q, self.cell[q, i], self.score[q, i]
+
+
 @dataclass
 class Model:
     """centres: of each cell. books: of each group of dimensions, the codes' vectors. radius: of each cell, how far its vectors lie at most.
@@ -143,7 +185,7 @@ def write(table: DataFrame, key: str, vector: str, path: str, cells: int | None
     kind = table.schema[key].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (some for whole in batches for some in slices(whole, max(dim, len(sent.value.centres), CODES))):
             points = unit(batch.column(1).to_pylist(), dim)
             cell, codes, far = sent.value.coded(points)
             cell = np.where(points.any(1), cell, NOWHERE)
@@ -203,21 +245,22 @@ class Index:
         tables = [q[:, c] @ b.T for c, b in zip(model.cuts, model.books)]
         sent = self.spark.sparkContext.broadcast((asked, tables, q @ model.centres.T))
         stored = self.rows.schema["key"].dataType
+        form = to_arrow_type(stored)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             asked, tables, base = sent.value
-            for batch in batches:
-                cell = batch.column(0).to_numpy()
+            best = Best(len(base), most)
+            for batch in (some for whole in batches for some in slices(whole, max(len(base), most))):
+                cell, own = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist())
                 codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(cell), -1)
                 for c in np.unique(cell).tolist():
                     rows, who = np.flatnonzero(cell == c), asked.get(c)
                     if who is None:
                         continue
                     score = base[who, c][:, None] + sum(t[who][:, codes[rows, g]] for g, t in enumerate(tables))
-                    top = np.argpartition(-score, min(most, len(rows)) - 1, 1)[:, :most]
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.repeat(who, top.shape[1]), pa.int32()), pa.array(np.full(top.size, c), pa.int32()), batch.column(1).take(pa.array(rows[top.ravel()])), pa.array(np.take_along_axis(score, top, 1).ravel()),
-                    ], ["q", "cell", "key", "score"])
+                    best.take(who, score, own[rows], c, exact=False)
+            who, own, cell, score = best.rows()
+            yield pa.RecordBatch.from_arrays([pa.array(who, pa.int32()), pa.array(cell, pa.int32()), pa.array(own.tolist(), form), pa.array(score)], ["q", "cell", "key", "score"])
 
         read = self.rows.where(F.col("cell").isin([int(c) for c in asked])).select("cell", "key", "codes")
         found = read.mapInArrow(run, f"q int, cell int, key {stored.simpleString()}, score double")
@@ -258,17 +301,16 @@ class Index:
 
             def run(batches: Iterator[pa.RecordBatch], names=names, sent=sent, kinds=kinds) -> Iterator[pa.RecordBatch]:
                 asked, q = sent.value
-                for batch in batches:
+                best = Best(len(names), k)
+                for batch in (some for whole in batches for some in slices(whole, max(q.shape))):
                     cell, own = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist())
                     points = unit(batch.column(2).to_pylist(), q.shape[1])
                     for c in np.unique(cell).tolist():
                         rows, who = np.flatnonzero(cell == c), asked.get(c)
-                        if who is None:
-                            continue
-                        rows = rows[np.argsort(own[rows], kind="stable")]
-                        s = q[who] @ points[rows].T
-                        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                        yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in np.repeat(who, top.shape[1])], kinds[0]), pa.array(own[rows[top]].ravel(), kinds[1]), pa.array(np.take_along_axis(s, top, 1).ravel())], [query, "key", "similarity"])
+                        if who is not None:
+                            best.take(who, q[who] @ points[rows].T, own[rows])
+                who, own, _, s = best.rows()
+                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in who], kinds[0]), pa.array(own.tolist(), kinds[1]), pa.array(s)], [query, "key", "similarity"])
 
             read = self.rows.where(F.col("cell").isin(list(asked))).select("cell", "key", "vector")
             found = read.mapInArrow(run, f"{query} {kind.simpleString()}, key {stored.simpleString()}, similarity double")

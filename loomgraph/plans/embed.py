@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.vectors import LOCAL_DIM, bucket, tokens
+from ..operators.vector_index import Best, slices
+from ..shipping import ship
 
 #: Query vectors that go to all tasks at once; more are worked on in blocks.
 QUERIES = 2_000
@@ -32,9 +34,10 @@ def embed(df: DataFrame, key: str, text: str, dim: int = LOCAL_DIM) -> DataFrame
 def nearest_vectors(queries: DataFrame, table: DataFrame, k: int, key: str = "id", vector: str = "vector", query: str = "query_id") -> DataFrame:
     """``query, key, similarity, rank`` of the k rows of ``table`` most similar, by cosine, to every row of ``queries`` (query, vector); ties by key.
 
-    Queries are a stated set and go to all tasks in blocks of ``QUERIES``; each batch of the table keeps its own k best
+    Queries are a stated set and go to all tasks in blocks of ``QUERIES``; each task keeps its own k best, slice by slice,
     before anything is shuffled. Null and all-zero vectors have similarity 0.
     """
+    ship(table.sparkSession)
     rows = [(r[0], r[1]) for r in queries.select(query, vector).where(F.col(vector).isNotNull()).orderBy(query).collect()]
     ids = {query: queries.schema[query].dataType, key: table.schema[key].dataType}
     schema = f"{query} {ids[query].simpleString()}, {key} {ids[key].simpleString()}, similarity double"
@@ -47,17 +50,15 @@ def nearest_vectors(queries: DataFrame, table: DataFrame, k: int, key: str = "id
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
 
         def run(batches: Iterator[pa.RecordBatch], names=names, q=q) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not len(names) or not batch.num_rows:
+            best = Best(len(names), k)
+            for batch in (some for whole in batches for some in slices(whole, max(q.shape))):
+                if not len(names):
                     continue
                 t = np.stack([np.asarray(v if v is not None else np.zeros(q.shape[1]), float) for v in batch.column(1).to_pylist()])
                 t /= np.maximum(np.linalg.norm(t, axis=1, keepdims=True), 1e-300)
-                s = q @ t.T
-                own = np.array(batch.column(0).to_pylist())
-                order = np.argsort(own, kind="stable")
-                top = np.argsort(-s[:, order], axis=1, kind="stable")[:, :k]
-                at = order[top]
-                yield pa.RecordBatch.from_pydict({query: pa.array(np.repeat(np.array(names), at.shape[1]), kinds[0]), key: pa.array(own[at].ravel(), kinds[1]), "similarity": pa.array(np.take_along_axis(s, at, 1).ravel())})
+                best.take(np.arange(len(names)), q @ t.T, np.array(batch.column(0).to_pylist()))
+            who, own, _, s = best.rows()
+            yield pa.RecordBatch.from_pydict({query: pa.array([names[i] for i in who], kinds[0]), key: pa.array(own.tolist(), kinds[1]), "similarity": pa.array(s)})
 
         found = table.select(key, vector).mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
