@@ -1,8 +1,8 @@
 """A posting index of trigrams over text units, written as Parquet, and text search that reads postings and matched texts.
 
 The index holds, for each trigram of the lower-cased texts, the numbers of the units that have it. Numbers are ``seq``, cut into
-blocks of ``BLOCK``: a row is one trigram's sorted places in one block, so that no list grows with the table, and a
-trigram that every unit has is as many rows as there are blocks. Rows lie in ``BUCKETS`` folders by the trigram's hash, sorted by
+blocks of ``BLOCK``: a row is one trigram's sorted places in one block, or in a part of it, so that no list grows with the
+table. Tasks make lists of some ``LETTERS`` at a time, and only these are shuffled. Rows lie in ``BUCKETS`` folders by the trigram's hash, sorted by
 trigram; lists are written with Parquet's delta encoding of integers. Beside them lie the units, in folders of blocks,
 sorted by number.
 
@@ -18,20 +18,26 @@ nothing; an empty table gives no rows.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.identity import occurrences
+from ..shipping import ship
 from . import search
 
 #: Unit numbers of a block, folders of trigrams, and blocks of a folder of units.
 BLOCK, BUCKETS, SPAN = 1 << 16, 64, 16
+#: Letters of the texts whose lists a task makes at once.
+LETTERS = 1 << 22
 #: Trigrams of a term that are intersected; a count on the texts does the rest.
 RAREST = 4
-#: Candidates that a filter names; more are joined.
-FEW = 2000
+#: Candidates that a filter names; more are joined, and up to ``SENT`` of them are sent to the units' tasks.
+FEW, SENT = 2000, 1_000_000
 
 
 def trigrams(text: Column) -> Column:
@@ -47,6 +53,61 @@ def _has_trigrams(text: Column) -> Column:
     return F.length(F.lower(text)) >= 3
 
 
+def _slices(batches: Iterator[pa.RecordBatch], letters: int) -> Iterator[tuple[list[int], list[str]]]:
+    """Numbers and texts of at most so many letters; of a longer text, parts that share two letters, each in a slice of its own."""
+    numbers, texts, size = [], [], 0
+    for batch in batches:
+        for number, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for i in range(0, max(1, len(text) - 2), letters):
+                part = text[i : i + letters + 2]
+                if texts and size + len(part) > letters:
+                    yield numbers, texts
+                    numbers, texts, size = [], [], 0
+                numbers.append(number)
+                texts.append(part)
+                size += len(part)
+    if texts:
+        yield numbers, texts
+
+
+def _lists(numbers: list[int], texts: list[str], block: int) -> pa.RecordBatch:
+    """``gram, block, places`` of some units, by one sort of whole numbers that stand for a trigram and a unit."""
+    seq = np.array(numbers, np.int64)
+    order = np.argsort(seq)
+    rank = np.empty(len(seq), np.int64)
+    rank[order] = np.arange(len(seq))
+    seq = seq[order]
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+    unit = np.repeat(rank, [len(t) for t in texts])
+    # letters are numbered as they are found, so that three of them and a unit are one whole number, but for very many letters
+    seen = np.zeros(0x110000, bool)
+    seen[points] = True
+    alphabet = np.flatnonzero(seen)
+    place = np.zeros(0x110000, np.int64)
+    place[alphabet] = np.arange(len(alphabet))
+    letter, many = place[points], len(alphabet)
+    whole = unit[:-2] == unit[2:]
+    gram = ((letter[:-2] * many + letter[1:-1]) * many + letter[2:])[whole]
+    unit, bits = unit[:-2][whole], max(1, int(len(seq) - 1).bit_length())
+    names = None
+    if many**3 >> (63 - bits):
+        names, gram = np.unique(gram, return_inverse=True)
+    key = (gram << bits) | unit
+    key.sort()
+    key = key[np.diff(key, prepend=-1) != 0]
+    gram, own = key >> bits, seq[key & ((1 << bits) - 1)]
+    blocks = own // block
+    first = np.flatnonzero((np.diff(gram, prepend=-1) != 0) | (np.diff(blocks, prepend=-1) != 0))
+    gram = gram[first] if names is None else names[gram[first]]
+    three = np.stack([alphabet[gram // many**2], alphabet[gram // many % many], alphabet[gram % many]], 1).astype("<u4").tobytes().decode("utf-32-le")
+    places = pa.ListArray.from_arrays(pa.array(np.append(first, len(own)), pa.int32()), pa.array(own % block, pa.int32()))
+    return pa.RecordBatch.from_arrays([pa.array([three[i : i + 3] for i in range(0, len(three), 3)], pa.string()), pa.array(blocks[first]), places], ["gram", "block", "places"])
+
+
+def _postings(block: int, letters: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    return lambda batches: (_lists(numbers, texts, block) for numbers, texts in _slices(batches, letters))
+
+
 def write(units: DataFrame, path: str) -> None:
     """Index ``units`` (text, seq and any other columns) below ``path``."""
     numbered = units.withColumn("block", F.floor(F.col("seq") / BLOCK).cast("long")).withColumn("folder", F.floor(F.col("seq") / (BLOCK * SPAN)).cast("long"))
@@ -55,8 +116,9 @@ def write(units: DataFrame, path: str) -> None:
     spark.createDataFrame([(numbered.schema.json(),)], "fields string").coalesce(1).write.mode("overwrite").parquet(f"{path}/schema")
     stored = _units(spark, path)
     has = stored.where(_has_trigrams(F.col("text")))
-    each = has.select("block", (F.col("seq") % BLOCK).cast("int").alias("place"), F.explode(trigrams(F.col("text"))).alias("gram"))
-    lists = each.groupBy("gram", "block").agg(F.array_sort(F.collect_list("place")).alias("places")).withColumn("n", F.size("places"))
+    ship(spark)
+    # a term is valid UTF-8, so that its trigrams are whatever stands for bytes that are not
+    lists = has.select("seq", F.make_valid_utf8(F.lower("text"))).mapInArrow(_postings(BLOCK, LETTERS), "gram string, block long, places array<int>").withColumn("n", F.size("places"))
     lists = lists.withColumn("bucket", _bucket(F.col("gram"))).hint("rebalance", "bucket").sortWithinPartitions("bucket", "gram", "block")
     lists.write.mode("overwrite").option("parquet.writer.version", "PARQUET_2_0").option("parquet.enable.dictionary", "false").partitionBy("bucket").parquet(f"{path}/postings")
 
@@ -95,8 +157,9 @@ class Index:
         if len(sizes) < len(grams):
             return self.postings.limit(0).select("block", F.lit(0).alias("place"))
         rare = sorted(grams, key=lambda g: (sizes[g[0]], g[0]))[:RAREST]
-        lists = self.read(rare).groupBy("block").agg(F.collect_list("places").alias("lists")).where(F.size("lists") == len(rare))
-        both = F.aggregate(F.slice("lists", 2, RAREST), F.element_at("lists", 1), lambda a, b: F.array_intersect(a, b))
+        own = [F.flatten(F.collect_list(F.when(F.col("gram") == g, F.col("places")))) for g, _ in rare]
+        lists = self.read(rare).groupBy("block").agg(F.array(*own).alias("lists"))
+        both = F.aggregate(F.slice("lists", 2, RAREST), F.array_distinct(F.element_at("lists", 1)), lambda a, b: F.array_intersect(a, b))
         return lists.select("block", F.explode(both).alias("place"))
 
     def matching(self, term: str) -> DataFrame:
@@ -109,7 +172,8 @@ class Index:
             folders = sorted({n // (BLOCK * SPAN) for n in few})
             some = self.units.where(F.col("folder").isin(folders) & F.col("seq").isin(few)) if few else self.units.limit(0)
         else:
-            some = self.units.join(found.select((F.col("block") * BLOCK + F.col("place")).alias("seq")), "seq", "left_semi")
+            found = found.select((F.col("block") * BLOCK + F.col("place")).alias("seq"))
+            some = self.units.join(F.broadcast(found) if found.limit(SENT + 1).count() <= SENT else found, "seq", "left_semi")
         return some.drop("block", "folder")
 
     def holding(self, term: str) -> DataFrame:
