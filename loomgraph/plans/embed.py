@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.vectors import LOCAL_DIM, bucket, tokens
+from ..functions.vectors import LOCAL_DIM, STOP_WORDS
 from ..operators.vector_index import Best, slices
 from ..shipping import ship
 
@@ -18,10 +21,52 @@ from ..shipping import ship
 QUERIES = 2_000
 
 
+#: Bytes of a text whose tokens are held at once, tokens whose buckets a task keeps, and bytes of such a token.
+PIECE, KEPT, SHORT = 1 << 20, 1 << 20, 64
+_WORD, _GAP = re.compile(rb"[a-z0-9_]+"), re.compile(rb"[^a-z0-9_]")
+
+
+class _Buckets(dict):
+    """The bucket of each token, ``dim`` for what is no token."""
+
+    def __init__(self, dim: int) -> None:
+        self.dim, self.left_out = dim, {w.encode() for w in STOP_WORDS}
+
+    def __missing__(self, word: bytes) -> int:
+        out = self.dim if len(word) < 2 or word in self.left_out else int.from_bytes(hashlib.md5(word).digest()[:8], "big") % self.dim
+        if len(word) <= SHORT:
+            self[word] = out
+        return out
+
+    def counts(self, text: bytes) -> np.ndarray:
+        """How many tokens of a lower-cased text fall into each bucket; long texts are cut between tokens."""
+        out, start = np.zeros(self.dim + 1, np.int64), 0
+        while start < len(text):
+            gap = _GAP.search(text, start + PIECE)
+            end = gap.start() if gap else len(text)
+            found = [self[w] for w in _WORD.findall(text, start, end)]
+            out += np.bincount(np.array(found, np.int64), minlength=self.dim + 1)
+            start = end
+            if len(self) > KEPT:
+                self.clear()
+        return out[: self.dim]
+
+
 def bucket_counts(df: DataFrame, key: str, text: str, dim: int = LOCAL_DIM) -> DataFrame:
-    """``key, bucket, n``: how many tokens of each text fall into each bucket. Tokens are counted before they are hashed."""
-    words = df.select(key, F.explode(tokens(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
-    return words.groupBy(key, bucket(F.col("token"), dim).alias("bucket")).agg(F.sum("n").alias("n"))
+    """``key, bucket, n``: how many tokens of each text fall into each bucket. A text's tokens are counted in the task that reads it."""
+    ship(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Buckets(dim)
+        for batch in (some for whole in batches for some in slices(whole, dim)):
+            n = np.stack([known.counts(t) for t in batch.column(1).to_pylist()])
+            row, bucket = np.nonzero(n)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(bucket, pa.int32()), pa.array(n[row, bucket])], [key, "bucket", "n"])
+
+    schema = T.StructType([df.schema[key], T.StructField("bucket", T.IntegerType()), T.StructField("n", T.LongType())])
+    counts = df.select(key, F.lower(text).cast("binary").alias("text")).where("text is not null").mapInArrow(run, schema)
+    # counts are added up where a key repeats; by tasks of their own, as before the shuffle there is hardly anything to add
+    return counts.repartition(key).groupBy(key, "bucket").agg(F.sum("n").alias("n"))
 
 
 def embed(df: DataFrame, key: str, text: str, dim: int = LOCAL_DIM) -> DataFrame:
