@@ -120,7 +120,7 @@ class Index:
             near = self._nearest(question, "report", k).withColumnRenamed("key", "report")
             return {"reports": named.join(F.broadcast(near), "report").orderBy("rank")}
         every = self._similar(question, "report").withColumnRenamed("key", "report")
-        scored = named.join(every, "report").join(self.t["communities"].select("level", "community", "parent"), ["level", "community"])
+        scored = named.join(every, "report").join(self.t["communities"].select("level", "community", "parent").distinct(), ["level", "community"])
         kept = scored.where("level = 0")
         for below in range(1, level + 1):
             above = kept.where(F.col("level") == below - 1).select(F.col("community").alias("parent"))
